@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_filter
+from . import isomedia, minhash, mixing, suffix, url_filter
 from .common import table
 
 
@@ -14,12 +14,24 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return isomedia.text_media_features(table(spark, sf_dir, "documents"))
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_media_columns, op2_url_filter, op4_minhash_near_dedup, op8_suffix_dedup, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
