@@ -406,13 +406,13 @@ def open_spans(texts: DataFrame, said: DataFrame, length: int, n: int) -> DataFr
                         first, at_byte, dd = first[rep] + shift, at_byte[rep] + shift, dd[rep]
                         k = mix64(r.hashes.of(at_byte, at_byte + length)) & np.uint64((1 << 8 * KEEP) - 1)
                         count = np.ones(len(rep), np.int64)
-                        # of equal windows of this block only the least document's travels
+                        # of equal windows of this block only the least document's travel
                         o = np.lexsort((dd, k))
                         least = _firsts([k[o]])
                         holder = dd[o][np.flatnonzero(least)][np.cumsum(least) - 1]
                         more = dd[o] > holder
                         whole.append((dd[o][more], first[o][more], first[o][more] + 1))
-                        o = o[least]
+                        o = o[~more]
                         first, at_byte, dd, k, count = first[o], at_byte[o], dd[o], k[o], count[o]
                     size = count + length - 1
                     byte = np.repeat(at_byte - (np.cumsum(size) - size), size) + np.arange(size.sum())
