@@ -29,8 +29,9 @@ from .common import cut, parts
 from .textkit import _powers, blocks, mix64
 
 GRAM = 16
-KEEP = 6  # bytes kept of an anchor's and a span's hash
+KEEP = 5  # bytes kept of an anchor's and a span's hash; the part that an anchor goes to is chosen by other bits
 FLUSH = 16 << 20  # bytes of text whose runs travel together
+LEVEL = 3  # of compression of all blocks that travel
 MANY = 4096  # spans of one anchor beyond which its windows travel by their own content
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -162,7 +163,7 @@ class Runs:
         n, w = len(raw), length - GRAM + 1
         if n < length:
             self.doc = self.first = self.count = np.zeros(0, np.int64)
-            self.key = self.span = np.zeros(0, np.uint64)
+            self.key = self.span = self.place = np.zeros(0, np.uint64)
             return
         self.hashes = PrefixHashes(raw)
         g = raw.astype(np.uint64) + np.uint64(1)
@@ -199,17 +200,26 @@ class Runs:
         self.first = first - begin[self.doc]
         low = np.uint64((1 << 8 * KEEP) - 1)
         self.key = g[anchor] & low
+        self.place = g[anchor] >> np.uint64(8 * KEEP)
         self.span = mix64(self.hashes.of(first, last + length) + self.count.astype(np.uint64)) & low
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of equal length as one block; 48-bit hashes take six bytes."""
+    """Arrays of equal length as one block; hashes take KEEP bytes."""
     out = [len(arrays[0]).to_bytes(8, "little")]
     for a in arrays:
         out.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :KEEP]).tobytes() if a.dtype == np.uint64 else np.ascontiguousarray(a).tobytes())
     return b"".join(out)
 
 
+def _squeezed(block: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=LEVEL).compress(block)
+
+
+def _whole(block: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(block)
+
+
 def _unpack(block: bytes, *kinds) -> list[np.ndarray]:
     n, at, out = int.from_bytes(block[:8], "little"), 8, []
     for kind in kinds:
@@ -225,7 +235,7 @@ def _unpack(block: bytes, *kinds) -> list[np.ndarray]:
 
 
 def _gather(column, *kinds) -> list[np.ndarray]:
-    got = [_unpack(x, *kinds) for x in column.to_pylist()]
+    got = [_unpack(_whole(x), *kinds) for x in column.to_pylist()]
     return [np.concatenate([g[k] for g in got]) if got else np.zeros(0, kind) for k, kind in enumerate(kinds)]
 
 
@@ -267,7 +277,7 @@ WHOLE, OPEN, SPREAD = 0, 1, 2
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], _NAMES)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([_squeezed(r[2]) for r in rows], pa.binary())], _NAMES)
 
 
 def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -282,27 +292,30 @@ def _firsts(sorted_cols: list[np.ndarray]) -> np.ndarray:
 
 
 def anchors(docs: DataFrame, length: int, n: int) -> DataFrame:
-    """Blocks of (anchor, span, least document) and of answers already known inside a task."""
+    """Blocks of (anchor, span, least document) and of answers already known inside a task; squeezed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _by_text(batches):
-            keys, spans, owners = [], [], []
+            keys, spans, owners, places = [], [], [], []
             for i, block in blocks(texts, 1 << 19):
                 r = Runs(block, length)
                 keys.append(r.key)
                 spans.append(r.span)
                 owners.append(ids[i + r.doc])
-            key, span, doc = np.concatenate(keys), np.concatenate(spans), np.concatenate(owners)
-            order = np.lexsort((doc, span, key))
-            key, span, doc = key[order], span[order], doc[order]
-            once = _firsts([key, span, doc])
-            key, span, doc = key[once], span[once], doc[once]
-            least = _firsts([key, span])
+                places.append(r.place % np.uint64(n))
+            key, span, doc, place = map(np.concatenate, (keys, spans, owners, places))
+            order = np.lexsort((doc, span, key, place))
+            key, span, doc, place = key[order], span[order], doc[order], place[order]
+            once = _firsts([place, key, span, doc])
+            key, span, doc, place = key[once], span[once], doc[once], place[once]
+            least = _firsts([place, key, span])
             rows = []
-            k, s, d = key[least], span[least], doc[least]
-            for p, at in _route((k % np.uint64(n)).astype(np.int64), n):
+            by_doc = np.argsort(doc[least], kind="stable")  # neighbours compress
+            k, s, d = key[least][by_doc], span[least][by_doc], doc[least][by_doc]
+            for p, at in _route(place[least][by_doc].astype(np.int64), n):
                 rows.append((ANCHOR, p, _pack(k[at], s[at], d[at])))
-            k, s, d = key[~least], span[~least], doc[~least]
+            by_doc = np.argsort(doc[~least], kind="stable")
+            k, s, d = key[~least][by_doc], span[~least][by_doc], doc[~least][by_doc]
             for p, at in _route(_home(d, n), n):
                 rows.append((ANSWER, p, _pack(k[at], s[at], d[at], np.zeros(len(at), np.uint8))))
             if rows:
@@ -318,7 +331,7 @@ def answers(found: DataFrame, n: int) -> DataFrame:
         if not t.num_rows:
             return _table([])
         if t["kind"][0].as_py() == ANSWER:
-            return t
+            return t  # known already, and squeezed
         key, span, doc = _gather(t["block"], np.uint64, np.uint64, np.int64)
         order = np.argsort(key, kind="stable")
         new = _firsts([key[order]])
@@ -337,7 +350,8 @@ def answers(found: DataFrame, n: int) -> DataFrame:
         mixed = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
         state = np.where(mixed & (kinds > 1), np.where(kinds > MANY, SPREAD, OPEN), 255).astype(np.uint8)
         verdict[least] = np.repeat(state, size)[least]
-        say = verdict != 255
+        say = np.flatnonzero(verdict != 255)
+        say = say[np.argsort(doc[say], kind="stable")]
         key, span, doc, verdict = key[say], span[say], doc[say], verdict[say]
         return _table([(ANSWER, p, _pack(key[at], span[at], doc[at], verdict[at])) for p, at in _route(_home(doc, n), n)])
 
@@ -348,13 +362,12 @@ def homes(docs: DataFrame, n: int) -> DataFrame:
     """The texts themselves, in compressed blocks for their homes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
         for ids, texts in _by_text(batches):
             rows = []
             for p, at in _route(_home(ids, n), n):
                 own = [texts[i] for i in at]
                 lens = np.fromiter(map(len, own), np.int64, len(own))
-                rows.append((TEXT, p, squeeze.compress(_pack(ids[at], lens) + b"".join(own))))
+                rows.append((TEXT, p, _pack(ids[at], lens) + b"".join(own)))
             if rows:
                 yield _batch(rows)
 
@@ -363,7 +376,7 @@ def homes(docs: DataFrame, n: int) -> DataFrame:
 
 def _texts(column) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     for block in column.to_pylist():
-        data = zstandard.ZstdDecompressor().decompress(block)
+        data = _whole(block)
         ids, lens = _unpack(data, np.int64, np.int64)
         at = 8 + 16 * len(ids)
         own = []
@@ -440,7 +453,7 @@ def compared(spans: DataFrame, length: int, n: int) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
-        for block in t["block"].to_pylist():
+        for block in map(_whole, t["block"].to_pylist()):
             k, d, f, c = _unpack(block, np.uint64, np.int64, np.int64, np.int64)
             for col, v in zip(cols, (k, d, f, c, np.frombuffer(block, np.uint8, offset=8 + (KEEP + 24) * len(k)))):
                 col.append(v)
