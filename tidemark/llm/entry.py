@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import isomedia, minhash, mixing, suffix, url_filter
+from . import forest, isomedia, langid, lines, minhash, mixing, suffix, unigram, url_filter
 from .common import table
 
 
@@ -18,10 +18,26 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isomedia.text_media_features(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_digest(table(spark, sf_dir, "documents"))
 
@@ -31,8 +47,8 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_url_filter, op4_minhash_near_dedup, op8_suffix_dedup, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_media_columns, op2_url_filter, op3_language_id, op4_minhash_near_dedup, op5_forest_neighbours, op6_line_dedup, op7_unigram_pieces, op8_suffix_dedup, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.oracle(), "op9_source_mixing": mixing.oracle()}
+    return {"op2_url_filter": url_filter.oracle(), "op6_line_dedup": lines.oracle(), "op9_source_mixing": mixing.oracle()}
