@@ -9,7 +9,8 @@ lower-cased text. The steps:
 3. Classes that share a band key meet at the least id of the key's bucket (a star, not all pairs). Pairs whose
    bit counts leave no doubt are dropped; all others are confirmed on full sets.
 4. Where a bucket still spans several components, its members of different components are compared in blocks
-   by bit counts, and what may reach the threshold is confirmed likewise.
+   by bit counts, and what may reach the threshold is confirmed likewise; in buckets where that is far more
+   pairs than rows, full sets are compared in place until the bucket is connected.
 5. Components of the confirmed links.
 
 Nothing is capped: a pair is given up only if no band agrees or its bit counts are ``MARGIN`` standard
@@ -183,38 +184,90 @@ def hopeful(pairs: DataFrame, sigs: DataFrame, p: Params) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _across(members: DataFrame, p: Params, kind: str) -> DataFrame:
-    """Pairs of members ``(key, id, comp, n, sig)`` of one bucket but of different components whose bit counts
-    may reach the threshold. Large buckets are compared block by block, each in a task of its own."""
-    k, least, num = p.bands * p.rows, p.least_estimate, p.num
+def _blocks_of(members: DataFrame) -> DataFrame:
+    """Members with the pair of blocks (lo, hi) in which they are compared; a bucket of up to BLOCK rows is one."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("_c"))
     m = members.join(sizes, "key").withColumn("_nb", F.ceil(F.col("_c") / BLOCK).cast("int"))
-    m = m.withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    m = m.select("key", F.least("_i", "_o").alias("lo"), F.greatest("_i", "_o").alias("hi"), F.col("_i").alias("blk"), "id", "comp", "n", "sig")
+    m = m.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    return m.withColumns({"lo": F.least("blk", "_o"), "hi": F.greatest("blk", "_o")}).drop("_c", "_nb", "_o")
+
+
+def _candidates(t: pa.Table, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, rows, estimates) of the pairs of two blocks of one bucket that lie in different components and may
+    reach the threshold, and each row's component as a number."""
+    k, least, num = p.bands * p.rows, p.least_estimate, p.num
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
+    n = t["n"].to_numpy().astype(np.int64)
+    code: dict = {}
+    comp = np.array([code.setdefault(repr(x), len(code)) for x in t["comp"].to_pylist()])
+    blk, lo, hi = t["blk"].to_numpy(), t["lo"][0].as_py(), t["hi"][0].as_py()
+    left = np.flatnonzero(blk == lo)
+    right = left if lo == hi else np.flatnonzero(blk == hi)
+    xs, ys, es = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    main = np.bincount(comp[right]).argmax() if len(right) else -1
+    few = right[comp[right] != main]  # rows of the largest component need only meet those of others
+    for at, i in enumerate(left.tolist()):
+        js = (few[few > i] if comp[i] == main else right[at + 1 :]) if lo == hi else (few if comp[i] == main else right)
+        js = js[(comp[js] != comp[i]) & (100 * np.minimum(n[js], n[i]) >= num * np.maximum(n[js], n[i]))]
+        if len(js):
+            e = estimate(sig[js], sig[i][None, :], k)
+            js, e = js[e >= least], e[e >= least]
+            xs.append(np.full(len(js), i))
+            ys.append(js)
+            es.append(e)
+    return np.concatenate(xs), np.concatenate(ys), np.concatenate(es), comp
+
+
+def _across(members: DataFrame, p: Params, kind: str) -> DataFrame:
+    """``(x, y, dense)``: pairs of members ``(key, id, comp, n, sig)`` of one bucket but of different components
+    whose bit counts may reach the threshold; or, where such pairs outnumber the rows four times, the bucket's
+    key in ``dense`` instead, so that the rows made stay in proportion to the rows read."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
-        n = t["n"].to_numpy().astype(np.int64)
-        comp = t["comp"].combine_chunks().dictionary_encode().indices.to_numpy() if not pa.types.is_struct(t["comp"].type) else np.unique([repr(x) for x in t["comp"].to_pylist()], return_inverse=True)[1]
-        blk = t["blk"].to_numpy()
-        lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
-        left = np.flatnonzero(blk == lo)
-        right = left if lo == hi else np.flatnonzero(blk == hi)
+        i, j, _, _ = _candidates(t, p)
+        if len(i) > 4 * t.num_rows:
+            none = pa.nulls(1, t["id"].type)
+            return pa.table({"x": none, "y": none, "dense": t["key"].slice(0, 1)})
+        return pa.table({"x": t["id"].take(pa.array(i)), "y": t["id"].take(pa.array(j)), "dense": pa.nulls(len(i), pa.int64())})
+
+    return _blocks_of(members).groupBy("key", "lo", "hi").applyInArrow(run, f"x {kind}, y {kind}, dense long")
+
+
+def _dense_links(members: DataFrame, texts: DataFrame, p: Params, kind: str) -> DataFrame:
+    """``(a, b)``: confirmed links between components of dense buckets, enough of them to connect what the
+    bucket's links connect. Full sets are compared where the rows meet, best estimates first, and pairs that
+    are connected by then are passed over, so no list of pairs leaves the task."""
+    m = _blocks_of(members).join(texts, "id")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        i, j, e, comp = _candidates(t, p)
+        parent = list(range(int(comp.max(initial=-1)) + 1))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        raw = [x or b"" for x in t["text"].cast(pa.binary()).to_pylist()]
+        used = np.unique(np.concatenate([i, j]))
+        sets: dict[int, np.ndarray] = {}
+        cutter = Shingler(p.width)
+        for at, block in blocks([raw[u] for u in used]):
+            sets.update(zip(used[at : at + len(block)].tolist(), cutter.sets(block)))
         xs, ys = [], []
-        for at in range(len(left)):
-            i = left[at]
-            js = right[at + 1 :] if lo == hi else right
-            js = js[(comp[js] != comp[i]) & (100 * np.minimum(n[js], n[i]) >= num * np.maximum(n[js], n[i]))]
-            if len(js):
-                js = js[estimate(sig[js], sig[i][None, :], k) >= least]
-                xs.append(np.full(len(js), i))
-                ys.append(js)
-        i, j = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (xs, ys))
-        ids = t["id"]
-        return pa.table({"x": ids.take(pa.array(i)), "y": ids.take(pa.array(j))})
+        order = np.argsort(-e, kind="stable")
+        for a, b in zip(i[order].tolist(), j[order].tolist()):
+            ra, rb = root(comp[a]), root(comp[b])
+            if ra != rb and reaches(len(np.intersect1d(sets[a], sets[b], assume_unique=True)), len(sets[a]), len(sets[b]), p.num):
+                parent[ra] = rb
+                xs.append(a)
+                ys.append(b)
+        return pa.table({"a": t["id"].take(pa.array(xs, pa.int64())), "b": t["id"].take(pa.array(ys, pa.int64()))})
 
-    return m.groupBy("key", "lo", "hi").applyInArrow(run, f"x {kind}, y {kind}").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    return m.groupBy("key", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_components(items: DataFrame, p: Params = Params(), id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -242,8 +295,15 @@ def near_components(items: DataFrame, p: Params = Params(), id_col: str = "id",
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).filter(F.col("_x") != F.col("_y")).select("key")
     rest = cut(labelled.join(open_keys, "key", "left_semi"))
     if not rest.isEmpty():
-        more = _across(rest.join(sigs, "id"), p, kind).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        extra = confirm(cut(more), texts, p).filter("ok").select("a", "b")
+        # buckets with the very same members need be compared once
+        once = rest.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("id").alias("_m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("_s")).groupBy("_c", "_m", "_s").agg(F.min("key").alias("key")).select("key")
+        rest = cut(rest.join(once, "key", "left_semi").join(sigs, "id"))
+        met = cut(_across(rest, p, kind))
+        more = met.filter(F.col("dense").isNull()).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        extra = confirm(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, p).filter("ok").select("a", "b")
+        dense = met.filter(F.col("dense").isNotNull()).select(F.col("dense").alias("key")).distinct()
+        if not dense.isEmpty():
+            extra = extra.unionByName(_dense_links(rest.join(dense, "key", "left_semi"), texts, p, kind))
         comp = cut(components(links.unionByName(extra)))
     class_of = classes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
     return feats.join(class_of, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
