@@ -27,3 +27,10 @@ def cut(df: DataFrame) -> DataFrame:
 def parts(df: DataFrame, factor: float = 1.0) -> int:
     """Shuffle partitions of the session, times a factor, at least one."""
     return max(1, round(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * factor))
+
+
+def parts_by_size(df: DataFrame, mb: float = 2.0) -> int:
+    """Parts of about ``mb`` megabytes of the optimizer's estimate of ``df``: at least two for each core, at most
+    four for each shuffle partition (also where there is no estimate)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, min(parts(df, 4), round(size / (mb * 1e6))))

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts
+from .common import cut, parts_by_size
 from .textkit import _powers, blocks, mix64
 
 GRAM = 16
@@ -291,14 +291,16 @@ def _firsts(sorted_cols: list[np.ndarray]) -> np.ndarray:
     return new
 
 
-def anchors(docs: DataFrame, length: int, n: int) -> DataFrame:
-    """Blocks of (anchor, span, least document) and of answers already known inside a task; squeezed."""
+def anchors(docs: DataFrame, make, n: int) -> DataFrame:
+    """Blocks of (anchor, span, least document) and of answers already known inside a task; squeezed.
+
+    ``make`` gives a block of texts' parallel arrays doc, key, place and span (see ``Runs``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _by_text(batches):
             keys, spans, owners, places = [], [], [], []
             for i, block in blocks(texts, 1 << 19):
-                r = Runs(block, length)
+                r = make(block)
                 keys.append(r.key)
                 spans.append(r.span)
                 owners.append(ids[i + r.doc])
@@ -538,9 +540,9 @@ def dedup_substrings(docs: DataFrame, length: int = 50, doc_id: str = "doc_id",
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     given = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n = parts(docs, 4)
+    n = parts_by_size(docs)
     texts = homes(given, n)
-    said = answers(anchors(given, length, n), n)
+    said = answers(anchors(given, lambda block: Runs(block, length), n), n)
     first = cut(open_spans(texts, said, length, n))
     known = first.filter(F.col("kind") == ANSWER).unionByName(compared(first.filter(F.col("kind") == SPANS), length, n))
     return removed(texts, known, length)
