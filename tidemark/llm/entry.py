@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import forest, isomedia, langid, lines, minhash, mixing, suffix, unigram, url_filter
+from . import forest, isomedia, langid, lines, minhash, mixing, paragraphs, suffix, unigram, url_filter
 from .common import table
 
 
@@ -46,8 +46,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.paragraph_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_url_filter, op3_language_id, op4_minhash_near_dedup, op5_forest_neighbours, op6_line_dedup, op7_unigram_pieces, op8_suffix_dedup, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_media_columns, op2_url_filter, op3_language_id, op4_minhash_near_dedup, op5_forest_neighbours, op6_line_dedup, op7_unigram_pieces, op8_suffix_dedup, op9_source_mixing, op10_paragraph_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -44,7 +44,9 @@ class Shingler:
             self.down = _powers(pow(_R, -1, 1 << 64), n)
 
     def words(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of every word, in order; number of words of each text)."""
+        """(hash of every word, in order; number of words of each text). ``start`` and ``end`` then hold where
+        the words lie in the texts joined by one space each."""
+        self.start = self.end = np.zeros(0, np.int64)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         raw = np.frombuffer(b" ".join([*texts, b""]) if len(texts) else b"", np.uint8)
         n = len(raw)
@@ -53,26 +55,30 @@ class Shingler:
         self._grow(n + 1)
         gap = self.space[raw]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
-        start, end = edge[::2], edge[1::2]
+        self.start, self.end = start, end = edge[::2], edge[1::2]
         acc = np.zeros(n + 1, np.uint64)
         np.cumsum((self.lower[raw].astype(np.uint64) + np.uint64(1)) * self.up[:n], out=acc[1:])
         hashes = mix64((acc[end] - acc[start]) * self.down[start] + (end - start).astype(np.uint64) * _M)
         bounds = np.concatenate(([0], np.cumsum(lens + 1)))
         return hashes, np.diff(np.searchsorted(start, bounds))
 
+    def runs(self, hashes: np.ndarray) -> np.ndarray:
+        """The hash of each ``width`` words in a row."""
+        w = self.width
+        if len(hashes) < w:
+            return hashes[:0]
+        out = hashes[: len(hashes) - w + 1].copy()
+        for k in range(1, w):
+            out *= _M
+            out += hashes[k : len(hashes) - w + 1 + k]
+        return mix64(out)
+
     def sets(self, texts: Sequence[bytes]) -> Iterator[np.ndarray]:
         """For each text the sorted distinct hashes of its shingles: with fewer words than a shingle has, the
         whole sequence is one; without words there are none."""
         hashes, counts = self.words(texts)
         w = self.width
-        if len(hashes) >= w:
-            runs = hashes[: len(hashes) - w + 1].copy()
-            for k in range(1, w):
-                runs *= _M
-                runs += hashes[k : len(hashes) - w + 1 + k]
-            runs = mix64(runs)
-        else:
-            runs = hashes[:0]
+        runs = self.runs(hashes)
         at = 0
         for n in counts.tolist():
             if n >= w:
