@@ -12,14 +12,14 @@ from tidemark.llm.common import stored, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language was found; those without a letter go. ``lang`` stays as it was labelled."""
     model = langid.fit(docs, langid.is_held_out())
-    labelled = langid.predict(docs, model, keep=("doc_id", "lang", "source", "n_chars", "text"))
-    return labelled.filter(F.col("lang_pred") != langid.UND).select(docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return langid.predict(whole, model, keep=("row",)).filter(F.col("lang_pred") != langid.UND).select("row.*")
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the chunks of lines that stand in an earlier document; texts that lose all of it go."""
     out = lines.dedup_lines(docs)
-    whole = F.col("chunks_removed") <= 0
+    whole = F.col("chunks_removed") == 0
     out = out.filter(whole | (F.col("text_kept") != ""))
     return out.withColumns({"n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length("text_kept")).cast(docs.schema["n_chars"].dataType), "text": F.col("text_kept")}).select(docs.columns)
 
@@ -32,8 +32,8 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, one or more rows each."""
-    times = mixing.mix(docs).filter(F.col("taken") > 0).select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    times = mixing.mix(docs).filter(F.col("taken") > 0).select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    return docs.join(times, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,18 +76,20 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mea
     Null texts stay null, empty and one-line texts stay as they are, rows without an id are never changed, and
     a text of which every chunk is removed becomes empty. Of repeated rows of one id only chunks that also
     occur under a smaller id, or earlier in the text, go; ids should be unique. An empty table gives an empty
-    result; columns of any other names are passed through.
+    result; other columns are passed through, but for ones of the two new names, which are replaced.
     """
     gone = repeated_chunks(docs, doc_id, text, mean, least).groupBy("doc_id").agg(F.collect_set("no").alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
-    out = docs.join(gone, docs[doc_id] == F.col("_gone_id"), "left")
-    kept = F.array_join(F.transform(F.filter(chunks(docs[text], mean), lambda c: ~F.array_contains("_gone", c["no"])), lambda c: c["body"]), "\n")
-    return out.select(*[docs[c] for c in docs.columns], F.when(F.col("_gone").isNull(), docs[text]).otherwise(kept).alias("text_kept"), F.coalesce(F.size("_gone"), F.lit(0)).cast("int").alias("chunks_removed"))
+    given, numbers = docs.alias("_given"), gone["_gone"]
+    out = given.join(gone, docs[doc_id] == gone["_gone_id"], "left")
+    kept = F.array_join(F.transform(F.filter(chunks(docs[text], mean), lambda c: ~F.array_contains(numbers, c["no"])), lambda c: c["body"]), "\n")
+    new = ("text_kept", "chunks_removed")
+    return out.select(*[docs[c] for c in docs.columns if c not in new], F.when(numbers.isNull(), docs[text]).otherwise(kept).alias(new[0]), F.when(numbers.isNull(), 0).otherwise(F.size(numbers)).alias(new[1]))
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_removed, kept_chars, kept_md5)`` of every document."""
     out = dedup_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.greatest("chunks_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.length("text_kept"), F.lit(0)).cast("long").alias("kept_chars"), F.md5(F.coalesce("text_kept", F.lit(""))).alias("kept_md5"))
+    return out.select("doc_id", F.col("chunks_removed").cast("long").alias("n_removed"), F.coalesce(F.length("text_kept"), F.lit(0)).cast("long").alias("kept_chars"), F.md5(F.coalesce("text_kept", F.lit(""))).alias("kept_md5"))
 
 
 def oracle(mean: int = MEAN, least: int = LEAST) -> str:

@@ -249,8 +249,9 @@ def encode_block(v: Vocabulary, texts: Sequence[bytes]) -> tuple[np.ndarray, np.
 
 def decode_block(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
     """The texts of id runs; ids outside the vocabulary are left out."""
-    ids = np.where((ids >= 0) & (ids < len(v.spell_at) - 1), ids, 0)
-    size = np.diff(v.spell_at)[ids]
+    known = (ids >= 0) & (ids < len(v.spell_at) - 1)
+    ids = np.where(known, ids, 0)
+    size = np.where(known, np.diff(v.spell_at)[ids], 0)
     at = v.spell_at[ids]
     raw = v.spell[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())].tobytes()
     ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(counts)))].tolist()
