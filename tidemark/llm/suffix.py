@@ -492,7 +492,7 @@ def compared(spans: DataFrame, length: int, n: int) -> DataFrame:
         if len(dd):
             new[1:] = (dd[1:] != dd[:-1]) | (a[1:] > b[:-1])
         s = np.flatnonzero(new)
-        last = np.append(s[1:], len(dd)) - 1
+        last = np.append(s, len(dd))[1:] - 1
         dd, a, b = dd[s], a[s], b[last]
         return _table([(ANSWER, p, _pack(dd[at], a[at], b[at])) for p, at in _route(_home(dd, n), n)])
 
