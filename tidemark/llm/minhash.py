@@ -192,30 +192,36 @@ def _blocks_of(members: DataFrame) -> DataFrame:
     return m.withColumns({"lo": F.least("blk", "_o"), "hi": F.greatest("blk", "_o")}).drop("_c", "_nb", "_o")
 
 
-def _candidates(t: pa.Table, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, rows, estimates) of the pairs of two blocks of one bucket that lie in different components and may
-    reach the threshold, and each row's component as a number."""
-    k, least, num = p.bands * p.rows, p.least_estimate, p.num
-    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
-    n = t["n"].to_numpy().astype(np.int64)
-    code: dict = {}
-    comp = np.array([code.setdefault(repr(x), len(code)) for x in t["comp"].to_pylist()])
-    blk, lo, hi = t["blk"].to_numpy(), t["lo"][0].as_py(), t["hi"][0].as_py()
-    left = np.flatnonzero(blk == lo)
-    right = left if lo == hi else np.flatnonzero(blk == hi)
-    xs, ys, es = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    main = np.bincount(comp[right]).argmax() if len(right) else -1
-    few = right[comp[right] != main]  # rows of the largest component need only meet those of others
-    for at, i in enumerate(left.tolist()):
-        js = (few[few > i] if comp[i] == main else right[at + 1 :]) if lo == hi else (few if comp[i] == main else right)
-        js = js[(comp[js] != comp[i]) & (100 * np.minimum(n[js], n[i]) >= num * np.maximum(n[js], n[i]))]
-        if len(js):
-            e = estimate(sig[js], sig[i][None, :], k)
-            js, e = js[e >= least], e[e >= least]
-            xs.append(np.full(len(js), i))
-            ys.append(js)
-            es.append(e)
-    return np.concatenate(xs), np.concatenate(ys), np.concatenate(es), comp
+class _Bucket:
+    """Two blocks of one bucket (or one block with itself), row by row: which rows of other components may still
+    reach the threshold. ``label`` is each row's component and may be joined on the way, which leaves less to do;
+    no list of pairs is ever held."""
+
+    def __init__(self, t: pa.Table, p: Params):
+        self.p, self.k, self.least = p, p.bands * p.rows, p.least_estimate
+        self.sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        self.n = t["n"].to_numpy().astype(np.int64)
+        code: dict = {}
+        self.label = np.array([code.setdefault(repr(x), len(code)) for x in t["comp"].to_pylist()])
+        blk, lo, hi = t["blk"].to_numpy(), t["lo"][0].as_py(), t["hi"][0].as_py()
+        self.same = lo == hi
+        self.left = np.flatnonzero(blk == lo)
+        self.right = self.left if self.same else np.flatnonzero(blk == hi)
+
+    def rows(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, rows that it may be linked to, best estimates first)."""
+        for at, i in enumerate(self.left.tolist()):
+            js = self.right[at + 1 :] if self.same else self.right
+            js = js[self.label[js] != self.label[i]]
+            js = js[100 * np.minimum(self.n[js], self.n[i]) >= self.p.num * np.maximum(self.n[js], self.n[i])]
+            if len(js):
+                e = estimate(self.sig[js], self.sig[i][None, :], self.k)
+                ok = np.flatnonzero(e >= self.least)
+                if len(ok):
+                    yield i, js[ok[np.argsort(-e[ok], kind="stable")]]
+
+    def join(self, i: int, j: int) -> None:
+        self.label[self.label == self.label[j]] = self.label[i]
 
 
 def _across(members: DataFrame, p: Params, kind: str) -> DataFrame:
@@ -225,10 +231,15 @@ def _across(members: DataFrame, p: Params, kind: str) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        i, j, _, _ = _candidates(t, p)
-        if len(i) > 4 * t.num_rows:
-            none = pa.nulls(1, t["id"].type)
-            return pa.table({"x": none, "y": none, "dense": t["key"].slice(0, 1)})
+        xs, ys, most = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 4 * t.num_rows
+        for row, others in _Bucket(t, p).rows():
+            xs.append(np.full(len(others), row))
+            ys.append(others)
+            most -= len(others)
+            if most < 0:
+                none = pa.nulls(1, t["id"].type)
+                return pa.table({"x": none, "y": none, "dense": t["key"].slice(0, 1)})
+        i, j = np.concatenate(xs), np.concatenate(ys)
         return pa.table({"x": t["id"].take(pa.array(i)), "y": t["id"].take(pa.array(j)), "dense": pa.nulls(len(i), pa.int64())})
 
     return _blocks_of(members).groupBy("key", "lo", "hi").applyInArrow(run, f"x {kind}, y {kind}, dense long")
@@ -242,29 +253,17 @@ def _dense_links(members: DataFrame, texts: DataFrame, p: Params, kind: str) ->
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        i, j, e, comp = _candidates(t, p)
-        parent = list(range(int(comp.max(initial=-1)) + 1))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        raw = [x or b"" for x in t["text"].cast(pa.binary()).to_pylist()]
-        used = np.unique(np.concatenate([i, j]))
-        sets: dict[int, np.ndarray] = {}
-        cutter = Shingler(p.width)
-        for at, block in blocks([raw[u] for u in used]):
-            sets.update(zip(used[at : at + len(block)].tolist(), cutter.sets(block)))
+        bucket, cutter = _Bucket(t, p), Shingler(p.width)
+        sets: list[np.ndarray] = []
+        for _, block in blocks(t["text"].cast(pa.binary()).to_pylist()):
+            sets += cutter.sets(block)
         xs, ys = [], []
-        order = np.argsort(-e, kind="stable")
-        for a, b in zip(i[order].tolist(), j[order].tolist()):
-            ra, rb = root(comp[a]), root(comp[b])
-            if ra != rb and reaches(len(np.intersect1d(sets[a], sets[b], assume_unique=True)), len(sets[a]), len(sets[b]), p.num):
-                parent[ra] = rb
-                xs.append(a)
-                ys.append(b)
+        for i, others in bucket.rows():
+            for j in others.tolist():
+                if bucket.label[i] != bucket.label[j] and reaches(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j]), p.num):
+                    bucket.join(i, j)
+                    xs.append(i)
+                    ys.append(j)
         return pa.table({"a": t["id"].take(pa.array(xs, pa.int64())), "b": t["id"].take(pa.array(ys, pa.int64()))})
 
     return m.groupBy("key", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
