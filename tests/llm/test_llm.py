@@ -347,6 +347,34 @@ def test_op10_repeated_passages(docs, empty):
     assert paragraphs.dedup_paragraphs(empty).count() == 0
 
 
+def _pieces(block):
+    p = paragraphs.Paragraphs(block, paragraphs.Shingler(paragraphs.WIDTH))
+    return {d: [(a, z) for i, a, z in zip(p.doc.tolist(), p.first.tolist(), p.last.tolist()) if i == d] for d in range(len(block))}
+
+
+def test_op10_cuts_do_not_depend_on_other_texts(spark):
+    """Exact copies of 8 to 30 words among other neighbours: alone, in other blocks, in other partitionings."""
+    rng = random.Random(11)
+    say = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    short = [say(n) for n in range(8, 31) for _ in range(4)]
+    alone = {t: _pieces([t.encode()])[0] for t in short}
+    for _ in range(3):
+        block = [x.encode() for t in short for x in (say(rng.randint(1, 40)), t)]
+        got = _pieces(block)
+        assert [got[2 * i + 1] for i in range(len(short))] == [alone[t] for t in short]
+        joined = _pieces([f"{say(9)}\n\n{t}\n\n{say(9)}".encode() for t in short])
+        inside = [[(a - 55, z - 55) for a, z in joined[i] if 55 <= a < 55 + len(t)] for i, t in enumerate(short)]
+        assert inside == [alone[t] for t in short]
+    rows = [(i, t) for i, t in enumerate(x for t in short for x in (t, say(rng.randint(1, 40))))]
+    rows += [(1000 + i, t) for i, t in enumerate(rng.sample(short, len(short)))]
+    texts = dict(rows)
+    for parts in (1, 3, 7):
+        got = rows_of(paragraphs.dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)))
+        for d, g in got.items():
+            cut = {i for a, z in alone.get(texts[d], ()) for i in range(a, z)} if d >= 1000 else set()
+            assert cut <= {i for s in g.spans for i in range(s.start, s.end)} and (d >= 1000 or not g.spans), d
+
+
 def _own(b, n=6):
     w = b.decode().translate(LOWER).split()
     return [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]

@@ -1,8 +1,9 @@
 """Substring dedup by paragraphs: MinHash banding, exact confirmation, removal by components.
 
 A text's paragraphs end at blank lines and are cut further before each word whose hash is the least of RADIUS
-words on either side. Such cuts depend on the words around them alone, so a passage that repeats inside longer
-paragraphs falls into the same ones wherever it stands. Paragraphs of at least LEAST words take part.
+words on either side, as far as its text and blank lines reach. Such cuts depend on the words around them alone,
+never on other texts of a block, so a passage that repeats inside longer paragraphs falls into the same ones
+wherever it stands. Paragraphs of at least LEAST words take part.
 
 1. Each task sends, for every band of a paragraph's minima, one row for each (band key, paragraph) held by the
    least document; the other documents of the very same words are already known to repeat it.
@@ -54,18 +55,18 @@ class Paragraphs:
         blank = np.zeros(len(raw), np.int64)
         blank[1:] = (raw[1:] == 10) & (raw[:-1] == 10)
         lines = np.cumsum(blank)[np.minimum(cutter.start, len(raw) - 1)]
-        around = np.full(n + 2 * RADIUS, np.uint64(0xFFFFFFFFFFFFFFFF))
-        around[RADIUS : RADIUS + n] = hashes
-        low, have, w = around, 1, 2 * RADIUS + 1
+        fresh = np.ones(n, bool)
+        fresh[1:] = (doc_of[1:] != doc_of[:-1]) | (lines[1:] != lines[:-1])
+        # RADIUS places before and after every text and blank line hold the maximum: no cut depends on words beyond
+        place = np.arange(n) + RADIUS * np.cumsum(fresh)
+        low = np.full(place[-1] + RADIUS + 1, np.uint64(0xFFFFFFFFFFFFFFFF))
+        low[place] = hashes
+        have, w = 1, 2 * RADIUS + 1
         while have < w:
             s = min(have, w - have)
             low = np.minimum(low[:-s], low[s:])
             have += s
-        new = hashes == low
-        # within reach of a text's first or last words the neighbours are another text's: the cut then is no
-        # matter of the words alone, and only costs a cut that copies elsewhere do not have
-        new[0] = True
-        new[1:] |= (doc_of[1:] != doc_of[:-1]) | (lines[1:] != lines[:-1])
+        new = fresh | (hashes == low[place - RADIUS])
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, n))
         keep = size >= LEAST
