@@ -284,6 +284,31 @@ def test_op8_windows(docs, empty, monkeypatch, many):
     assert suffix.dedup_substrings(empty).count() == 0
 
 
+def test_op8_colliding_hashes_remove_nothing(spark, monkeypatch):
+    """Windows and spans whose kept hashes collide are not taken for repeats: bytes, or the second hash, decide."""
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    common, twice = say(45), say(80)
+    rows = [(i, say(60) + common + say(60)) for i in range(300)] + [(300, twice), (301, twice)]
+    texts = {i: t.encode() for i, t in rows}
+
+    class Narrow(suffix.Runs):
+        def __init__(self, texts, length):
+            super().__init__(texts, length)
+            if len(self.doc):
+                self.span = self.span & np.uint64(3)
+                of = self.hashes.of
+                self.hashes.of = lambda a, b: of(a, b) & np.uint64(15)
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {d: sum(cov) for d, cov in removed_by_windows(texts).items()}
+    monkeypatch.setattr(suffix, "Runs", Narrow)
+    for many in (4096, 1):
+        monkeypatch.setattr(suffix, "MANY", many)
+        assert {d: g.n_removed for d, g in rows_of(suffix.removal_digest(df)).items()} == want
+    assert sum(want.values()) == len(twice)
+
+
 def test_op8_suffix_order():
     rng = np.random.default_rng(4)
     raw = rng.integers(97, 99, 400).astype(np.uint8)

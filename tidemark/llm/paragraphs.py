@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import minhash
 from .common import cut, parts_by_size
-from .suffix import ANSWER, BLOCKS, KEEP, SPANS, _gather, _home, _pack, _route, _table, _texts, _unpack, _whole, anchors, answers, homes, removed
+from .suffix import ANSWER, BLOCKS, KEEP, MORE, SPANS, _gather, _home, _mark, _pack, _route, _table, _texts, _unpack, _whole, anchors, answers, homes, removed
 from .textkit import Shingler, blocks, mix64
 
 RADIUS = 7
@@ -77,14 +77,14 @@ class Paragraphs:
 
 
 class Bands:
-    """Each paragraph once for every band: arrays doc, key, place, span and ``paragraph``."""
+    """Each paragraph once for every band: arrays doc, key, place, span, more and ``paragraph``."""
 
     def __init__(self, texts: list[bytes], cutter: Shingler, signer: minhash.Signer):
         self.p = p = Paragraphs(texts, cutter)
         low = np.uint64((1 << 8 * KEEP) - 1)
         if not len(p.doc):
             self.doc = self.paragraph = np.zeros(0, np.int64)
-            self.key = self.place = self.span = np.zeros(0, np.uint64)
+            self.key = self.place = self.span = self.more = np.zeros(0, np.uint64)
             return
         runs = cutter.runs(p.hashes)
         x = (runs ^ (runs >> np.uint64(32))).astype(np.uint32)
@@ -100,6 +100,9 @@ class Bands:
         flat = mix64(keys.ravel())
         self.key, self.place = flat & low, flat >> np.uint64(8 * KEEP)
         self.span = (whole & low)[self.paragraph]
+        again = np.concatenate(([np.uint64(0)], np.cumsum(mix64(runs ^ np.uint64(0xA5A5A5A5A5A5A5A5)))))
+        more = mix64(again[p.word + p.words - WIDTH + 1] - again[p.word]) >> np.uint64(64 - 8 * MORE)
+        self.more = more[self.paragraph]
 
 
 def _tools(bands: int, rows: int) -> tuple[Shingler, minhash.Signer]:
@@ -109,12 +112,9 @@ def _tools(bands: int, rows: int) -> tuple[Shingler, minhash.Signer]:
 def colliding(texts: DataFrame, said: DataFrame, bands: int, rows: int) -> DataFrame:
     """Per home: ranges of paragraphs known to repeat, and the paragraphs that share a band with different ones."""
 
-    def mark(doc: np.ndarray, key: np.ndarray, span: np.ndarray) -> np.ndarray:
-        return mix64(mix64(doc.view(np.uint64)) + key * np.uint64(0x9E3779B97F4A7C15) + mix64(span))
-
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, span, doc, verdict = _gather(right["block"], np.uint64, np.uint64, np.int64, np.uint8)
-        marks = mark(doc, key, span)
+        marks, verdict = _gather(right["block"], np.int64, np.uint8)
+        marks = marks.view(np.uint64)
         order = np.argsort(marks, kind="stable")
         marks, verdict = marks[order], verdict[order]
         cutter, signer = _tools(bands, rows)
@@ -124,7 +124,7 @@ def colliding(texts: DataFrame, said: DataFrame, bands: int, rows: int) -> DataF
                 r = Bands(block, cutter, signer)
                 if not len(r.doc):
                     continue
-                m = mark(ids[i + r.doc], r.key, r.span)
+                m = _mark(ids[i + r.doc], r.key, r.span, r.more)
                 at = np.minimum(np.searchsorted(marks, m), len(marks) - 1)
                 what = np.where(marks[at] == m, verdict[at], 255)
                 n = len(r.p.doc)

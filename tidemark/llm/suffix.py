@@ -29,7 +29,8 @@ from .common import cut, parts_by_size
 from .textkit import _powers, blocks, mix64
 
 GRAM = 16
-KEEP = 5  # bytes kept of an anchor's and a span's hash; the part that an anchor goes to is chosen by other bits
+KEEP = 5  # bytes kept of an anchor's hash and of a span's first; the part that an anchor goes to is chosen by other bits
+MORE = 6  # bytes kept of a span's second hash
 FLUSH = 16 << 20  # bytes of text whose runs travel together
 LEVEL = 3  # of compression of all blocks that travel
 MANY = 4096  # spans of one anchor beyond which its windows travel by their own content
@@ -45,6 +46,7 @@ class PrefixHashes:
         n = len(raw)
         up = _powers(_BASE, n + 1)
         self.raw, self.down = raw, _powers(_INV, n + 1)
+        self.up = up
         self.acc = np.zeros(n + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.acc[1:])
 
@@ -151,8 +153,8 @@ def repeated_windows(h: PrefixHashes, starts: np.ndarray, groups: np.ndarray, do
 class Runs:
     """The runs of windows of a block of texts: parallel arrays over runs.
 
-    ``doc``: index of the text; ``first``: start of the first window in its text; ``count``: windows; ``key``
-    and ``span``: hashes of the anchor and of the span.
+    ``doc``: index of the text; ``first``: start of the first window in its text; ``count``: windows; ``key``:
+    hash of the anchor; ``span`` and ``more``: two hashes of the span, of its bytes and of its mixed grams.
     """
 
     def __init__(self, texts: list[bytes], length: int):
@@ -163,7 +165,7 @@ class Runs:
         n, w = len(raw), length - GRAM + 1
         if n < length:
             self.doc = self.first = self.count = np.zeros(0, np.int64)
-            self.key = self.span = self.place = np.zeros(0, np.uint64)
+            self.key = self.span = self.more = self.place = np.zeros(0, np.uint64)
             return
         self.hashes = PrefixHashes(raw)
         g = raw.astype(np.uint64) + np.uint64(1)
@@ -202,6 +204,8 @@ class Runs:
         self.key = g[anchor] & low
         self.place = g[anchor] >> np.uint64(8 * KEEP)
         self.span = mix64(self.hashes.of(first, last + length) + self.count.astype(np.uint64)) & low
+        grams = np.concatenate(([np.uint64(0)], np.cumsum(g * self.hashes.up[: len(g)])))
+        self.more = mix64((grams[last + w] - grams[first]) * self.hashes.down[first]) >> np.uint64(64 - 8 * MORE)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -212,6 +216,16 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def _narrow(more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """MORE bytes of a span's second hash as two columns of a block."""
+    return more.astype(np.uint32), (more >> np.uint64(32)).astype(np.uint16)
+
+
+def _mark(doc: np.ndarray, key: np.ndarray, span: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The 64-bit name by which a document's span finds its answer at the document's home."""
+    return mix64(mix64(mix64(doc.view(np.uint64)) + key * np.uint64(0x9E3779B97F4A7C15) + mix64(span)) + more)
+
+
 def _squeezed(block: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=LEVEL).compress(block)
 
@@ -292,34 +306,35 @@ def _firsts(sorted_cols: list[np.ndarray]) -> np.ndarray:
 
 
 def anchors(docs: DataFrame, make, n: int) -> DataFrame:
-    """Blocks of (anchor, span, least document) and of answers already known inside a task; squeezed.
+    """Blocks of (anchor, span, more, least document) and of answers already known inside a task; squeezed.
 
-    ``make`` gives a block of texts' parallel arrays doc, key, place and span (see ``Runs``)."""
+    ``make`` gives a block of texts' parallel arrays doc, key, place, span and more (see ``Runs``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _by_text(batches):
-            keys, spans, owners, places = [], [], [], []
+            keys, spans, mores, owners, places = [], [], [], [], []
             for i, block in blocks(texts, 1 << 19):
                 r = make(block)
                 keys.append(r.key)
                 spans.append(r.span)
+                mores.append(r.more)
                 owners.append(ids[i + r.doc])
                 places.append(r.place % np.uint64(n))
-            key, span, doc, place = map(np.concatenate, (keys, spans, owners, places))
-            order = np.lexsort((doc, span, key, place))
-            key, span, doc, place = key[order], span[order], doc[order], place[order]
-            once = _firsts([place, key, span, doc])
-            key, span, doc, place = key[once], span[once], doc[once], place[once]
-            least = _firsts([place, key, span])
+            key, span, more, doc, place = map(np.concatenate, (keys, spans, mores, owners, places))
+            order = np.lexsort((doc, more, span, key, place))
+            key, span, more, doc, place = (x[order] for x in (key, span, more, doc, place))
+            once = _firsts([place, key, span, more, doc])
+            key, span, more, doc, place = (x[once] for x in (key, span, more, doc, place))
+            least = _firsts([place, key, span, more])
             rows = []
             by_doc = np.argsort(doc[least], kind="stable")  # neighbours compress
-            k, s, d = key[least][by_doc], span[least][by_doc], doc[least][by_doc]
+            k, s, m, d = (x[least][by_doc] for x in (key, span, more, doc))
             for p, at in _route(place[least][by_doc].astype(np.int64), n):
-                rows.append((ANCHOR, p, _pack(k[at], s[at], d[at])))
+                rows.append((ANCHOR, p, _pack(k[at], s[at], *_narrow(m[at]), d[at])))
             by_doc = np.argsort(doc[~least], kind="stable")
-            k, s, d = key[~least][by_doc], span[~least][by_doc], doc[~least][by_doc]
+            k, s, m, d = (x[~least][by_doc] for x in (key, span, more, doc))
             for p, at in _route(_home(d, n), n):
-                rows.append((ANSWER, p, _pack(k[at], s[at], d[at], np.zeros(len(at), np.uint8))))
+                rows.append((ANSWER, p, _pack(_mark(d[at], k[at], s[at], m[at]).view(np.int64), np.zeros(len(at), np.uint8))))
             if rows:
                 yield _batch(rows)
 
@@ -327,24 +342,25 @@ def anchors(docs: DataFrame, make, n: int) -> DataFrame:
 
 
 def answers(found: DataFrame, n: int) -> DataFrame:
-    """What is known of shared anchors: blocks of (anchor, span, document, verdict) for the documents' homes."""
+    """What is known of shared anchors: blocks of (mark, verdict) for the documents' homes."""
 
     def run(t: pa.Table) -> pa.Table:
         if not t.num_rows:
             return _table([])
         if t["kind"][0].as_py() == ANSWER:
             return t  # known already, and squeezed
-        key, span, doc = _gather(t["block"], np.uint64, np.uint64, np.int64)
+        key, span, low, high, doc = _gather(t["block"], np.uint64, np.uint64, np.uint32, np.uint16, np.int64)
+        more = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
         order = np.argsort(key, kind="stable")
         new = _firsts([key[order]])
         size = np.diff(np.append(np.flatnonzero(new), len(key)))
         order = order[np.repeat(size > 1, size)]
-        key, span, doc = key[order], span[order], doc[order]
-        order = np.lexsort((doc, span, key))
-        key, span, doc = key[order], span[order], doc[order]
+        key, span, more, doc = key[order], span[order], more[order], doc[order]
+        order = np.lexsort((doc, more, span, key))
+        key, span, more, doc = key[order], span[order], more[order], doc[order]
         if not len(key):
             return _table([])
-        least = _firsts([key, span])
+        least = _firsts([key, span, more])
         verdict = np.zeros(len(key), np.uint8)
         start = np.flatnonzero(_firsts([key]))
         size = np.diff(np.append(start, len(key)))
@@ -354,8 +370,8 @@ def answers(found: DataFrame, n: int) -> DataFrame:
         verdict[least] = np.repeat(state, size)[least]
         say = np.flatnonzero(verdict != 255)
         say = say[np.argsort(doc[say], kind="stable")]
-        key, span, doc, verdict = key[say], span[say], doc[say], verdict[say]
-        return _table([(ANSWER, p, _pack(key[at], span[at], doc[at], verdict[at])) for p, at in _route(_home(doc, n), n)])
+        mark, doc, verdict = _mark(doc[say], key[say], span[say], more[say]).view(np.int64), doc[say], verdict[say]
+        return _table([(ANSWER, p, _pack(mark[at], verdict[at])) for p, at in _route(_home(doc, n), n)])
 
     return found.groupBy("kind", "part").applyInArrow(run, BLOCKS)
 
@@ -392,10 +408,8 @@ def open_spans(texts: DataFrame, said: DataFrame, length: int, n: int) -> DataFr
     """Per home: ranges of window starts known to repeat, and the spans that must be compared."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, span, doc, verdict = _gather(right["block"], np.uint64, np.uint64, np.int64, np.uint8)
-        order = np.lexsort((span, key, doc))
-        key, span, doc, verdict = key[order], span[order], doc[order], verdict[order]
-        mark = mix64(mix64(doc.view(np.uint64)) + key * np.uint64(0x9E3779B97F4A7C15) + mix64(span))
+        mark, verdict = _gather(right["block"], np.int64, np.uint8)
+        mark = mark.view(np.uint64)
         order = np.argsort(mark, kind="stable")
         mark, verdict = mark[order], verdict[order]
         rows: list[tuple[int, int, bytes]] = []
@@ -405,7 +419,7 @@ def open_spans(texts: DataFrame, said: DataFrame, length: int, n: int) -> DataFr
             for i, block in blocks(own, 1 << 19):
                 r = Runs(block, length)
                 d = ids[i + r.doc]
-                m = mix64(mix64(d.view(np.uint64)) + r.key * np.uint64(0x9E3779B97F4A7C15) + mix64(r.span))
+                m = _mark(d, r.key, r.span, r.more)
                 at = np.minimum(np.searchsorted(mark, m), len(mark) - 1)
                 what = np.where(mark[at] == m, verdict[at], 255)
                 hit = what == WHOLE
@@ -424,11 +438,17 @@ def open_spans(texts: DataFrame, said: DataFrame, length: int, n: int) -> DataFr
                         # of equal windows of this block only the least document's travel
                         o = np.lexsort((dd, k))
                         least = _firsts([k[o]])
-                        holder = dd[o][np.flatnonzero(least)][np.cumsum(least) - 1]
-                        more = dd[o] > holder
+                        holder = o[np.flatnonzero(least)][np.cumsum(least) - 1]
+                        more = dd[o] > dd[holder]
+                        window = np.lib.stride_tricks.sliding_window_view(r.raw, length)
+                        later = np.flatnonzero(more)
+                        for c in range(0, len(later), 1 << 16):  # hashes may collide: bytes decide, and unequal windows travel on
+                            part = later[c : c + (1 << 16)]
+                            more[part] = (window[at_byte[o[part]]] == window[at_byte[holder[part]]]).all(axis=1)
                         whole.append((dd[o][more], first[o][more], first[o][more] + 1))
                         o = o[~more]
-                        first, at_byte, dd, k, count = first[o], at_byte[o], dd[o], k[o], count[o]
+                        sent.append((k[o], dd[o], first[o], count[o], window[at_byte[o]].ravel()))
+                        continue
                     size = count + length - 1
                     byte = np.repeat(at_byte - (np.cumsum(size) - size), size) + np.arange(size.sum())
                     sent.append((k, dd, first, count, r.raw[byte]))
