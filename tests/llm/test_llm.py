@@ -400,6 +400,35 @@ def test_op10_cuts_do_not_depend_on_other_texts(spark):
             assert cut <= {i for s in g.spans for i in range(s.start, s.end)} and (d >= 1000 or not g.spans), d
 
 
+def test_op10_whole_paragraphs_at_the_threshold(spark):
+    """Near copies of whole paragraphs of any length, inside differing texts or alone, go by exact Jaccard similarity."""
+    rng = random.Random(12)
+    say = lambda n: ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+    rows, want = [], {}
+    for n, edits in ((60, 1), (100, 2), (200, 4), (8, 0), (9, 0), (13, 0), (30, 0), (60, 4)) * 6:
+        base, copy = (w := say(n)), list(w)
+        for k in range(edits):
+            copy[(2 * k + 1) * n // (2 * edits)] = f"edit{k}"
+        a, b = shingles(" ".join(base)), shingles(" ".join(copy))
+        alone = len(rows) % 4 == 0
+        text, head = " ".join(copy), "" if alone else " ".join(say(20)) + "\n\n"
+        rows.append((len(rows), " ".join(base) if alone else " ".join(say(25)) + "\n\n" + " ".join(base) + "\n\n" + " ".join(say(12))))
+        rows.append((len(rows), head + text + ("" if alone else "\n\n" + " ".join(say(15)))))
+        want[len(rows) - 1] = (len(head), len(head) + len(text), 100 * len(a & b) >= 75 * len(a | b))
+    assert {ok for *_, ok in want.values()} == {True, False}
+    got = rows_of(paragraphs.dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    caught = 0
+    for d, g in got.items():
+        spans = [(s.start, s.end) for s in g.spans]
+        if d not in want:
+            assert not spans
+        elif want[d][2]:
+            caught += spans == [want[d][:2]]
+        else:
+            assert spans != [want[d][:2]] and all(want[d][0] <= s and e <= want[d][1] for s, e in spans)
+    assert caught >= 0.95 * sum(ok for *_, ok in want.values())
+
+
 def _own(b, n=6):
     w = b.decode().translate(LOWER).split()
     return [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]

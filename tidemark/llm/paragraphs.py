@@ -1,9 +1,10 @@
 """Substring dedup by paragraphs: MinHash banding, exact confirmation, removal by components.
 
-A text's paragraphs end at blank lines and are cut further before each word whose hash is the least of RADIUS
-words on either side, as far as its text and blank lines reach. Such cuts depend on the words around them alone,
-never on other texts of a block, so a passage that repeats inside longer paragraphs falls into the same ones
-wherever it stands. Paragraphs of at least LEAST words take part.
+A text's paragraphs end at blank lines. They take part whole, and besides in pieces, cut before each word whose
+hash is the least of RADIUS words on either side, as far as its paragraph reaches. Such cuts depend on the words
+around them alone, never on other texts of a block, so a passage that repeats inside longer paragraphs falls into the
+same pieces wherever it stands. Paragraphs and pieces of at least LEAST words take part; both are called paragraphs
+below.
 
 1. Each task sends, for every band of a paragraph's minima, one row for each (band key, paragraph) held by the
    least document; the other documents of the very same words are already known to repeat it.
@@ -36,7 +37,7 @@ LEAST = 8  # words of the shortest paragraph that takes part
 
 
 class Paragraphs:
-    """The paragraphs of a block of texts: parallel arrays over them.
+    """The pieces and then the whole paragraphs of a block of texts: parallel arrays over them.
 
     ``doc``: index of the text; ``first``, ``last``: its bytes in the text; ``word``, ``words``: its first word in
     the block and number of words.
@@ -67,10 +68,11 @@ class Paragraphs:
             low = np.minimum(low[:-s], low[s:])
             have += s
         new = fresh | (hashes == low[place - RADIUS])
-        at = np.flatnonzero(new)
-        size = np.diff(np.append(at, n))
-        keep = size >= LEAST
-        self.word, self.words = at[keep], size[keep]
+        at, whole = np.flatnonzero(new), np.flatnonzero(fresh)
+        size, length = np.diff(np.append(at, n)), np.diff(np.append(whole, n))
+        keep, divided = size >= LEAST, length >= LEAST
+        divided &= np.diff(np.append(np.searchsorted(at, whole), len(at))) > 1  # of one piece: it stands there already
+        self.word, self.words = np.append(at[keep], whole[divided]), np.append(size[keep], length[divided])
         self.doc = doc_of[self.word]
         self.first = cutter.start[self.word] - begin[self.doc]
         self.last = cutter.end[self.word + self.words - 1] - begin[self.doc]
@@ -143,8 +145,8 @@ def colliding(texts: DataFrame, said: DataFrame, bands: int, rows: int) -> DataF
 
 
 def _items(blocks_: DataFrame) -> DataFrame:
-    """``(id, end, text)`` of the paragraphs in blocks; an id is (document, first byte)."""
-    kind = pa.struct([("doc", pa.int64()), ("start", pa.int64())])
+    """``(id, text)`` of the paragraphs in blocks; an id is (document, first byte, end)."""
+    kind = pa.struct([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,10 +154,10 @@ def _items(blocks_: DataFrame) -> DataFrame:
                 d, a, z = _unpack(block, np.int64, np.int64, np.int64)
                 at = 8 + 24 * len(d) + np.concatenate(([0], np.cumsum(z - a)))
                 texts = pa.array([block[x:y] for x, y in zip(at.tolist(), at[1:].tolist())], pa.binary()).cast(pa.string())
-                ids = pa.StructArray.from_arrays([pa.array(d), pa.array(a)], fields=list(kind))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(z), texts], ["id", "end", "text"])
+                ids = pa.StructArray.from_arrays([pa.array(d), pa.array(a), pa.array(z)], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([ids, texts], ["id", "text"])
 
-    return blocks_.select("block").mapInArrow(run, "id struct<doc:long,start:long>, end long, text string")
+    return blocks_.select("block").mapInArrow(run, "id struct<doc:long,start:long,end:long>, text string")
 
 
 def _ranges(rows: DataFrame, n: int) -> DataFrame:
@@ -189,7 +191,7 @@ def dedup_paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, doc_
     met = cut(colliding(texts, said, bands, rows))
     items = cut(_items(met.filter(F.col("kind") == SPANS)))
     groups = minhash.near_components(items, minhash.Params(bands=16, rows=3, width=WIDTH))
-    gone = groups.filter(F.col("component.doc") != F.col("id.doc")).select("id").join(items.select("id", "end"), "id").select(F.col("id.doc").alias("d"), F.col("id.start").alias("a"), F.col("end").alias("b"))
+    gone = groups.filter(F.col("component.doc") != F.col("id.doc")).select(F.col("id.doc").alias("d"), F.col("id.start").alias("a"), F.col("id.end").alias("b"))
     known = met.filter(F.col("kind") == ANSWER).unionByName(_ranges(gone, n))
     return removed(texts, known, 1)
 
