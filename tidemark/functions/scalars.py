@@ -31,10 +31,6 @@ def normalized_body(c: Column) -> Column:
     return F.when(ascii_only, plain).otherwise(_folded(F.when(~ascii_only, c)))
 
 
-def normalized_ascii(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), r"[\s\x1c-\x1f]+", " "))
-
-
 def prefixed_sha(prefix: str, c: Column) -> Column:
     return F.concat(F.lit(prefix + ":"), F.sha2(c, 256))
 

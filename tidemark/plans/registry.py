@@ -216,24 +216,22 @@ def agg_05_cross_request(spark, d):
     return a.select("links", "articles", (F.col("links") - F.col("articles")).alias("across"), "requests")
 
 
-CONTENT = "c AS (SELECT 'content_sha256:' || sha256(trim(regexp_replace(lower(text), '[ \\t-\\r\\x1c-\\x1f]+', ' ', 'g'))) AS content_id, min(doc_id) AS representative, count(*) AS members, count(DISTINCT source) AS hosts FROM fx_ascii GROUP BY 1)"
-
-
+#: Full Unicode normalisation has no SQL: tests/test_contents.py compares with Python, and with SQL on plain ASCII.
 def _contents(spark, d):
-    return N.contents(view(spark, d, "fx_ascii"), S.normalized_ascii(F.col("text")), "doc_id", "source")
+    return N.contents(view(spark, d, "documents"), S.normalized_body(F.col("text")), "doc_id", "source")
 
 
-@query(f"WITH {CONTENT} SELECT * FROM c")
+@query()
 def agg_06_fn_02_04_contents(spark, d):
     return _contents(spark, d)
 
 
-@query(f"WITH {CONTENT} SELECT count(*) AS contents, sum(members)::BIGINT AS articles, sum(members - 1)::BIGINT AS collapsed, count(*) FILTER (members > 1) AS groups, coalesce(sum(members) FILTER (members > 1), 0)::BIGINT AS grouped, count(*) FILTER (members > 1 AND hosts > 1) AS cross_source, max(members) AS largest FROM c")
+@query()
 def agg_07_flt_13_duplicate_report(spark, d):
     return N.duplicate_report(_contents(spark, d))
 
 
-@query(f"WITH {CONTENT} SELECT members, count(*) AS n FROM c GROUP BY members")
+@query()
 def agg_07_group_sizes(spark, d):
     return _contents(spark, d).groupBy("members").agg(F.count(F.lit(1)).alias("n"))
 
