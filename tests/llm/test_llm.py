@@ -121,6 +121,13 @@ def test_op3_gradients_and_held_out_accuracy(spark):
     assert {g.lang_pred for g in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_op3_learns_every_labelled_language(spark):
+    rows = [(i, f"some words {i}", f"l{i % 150:03}") for i in range(1500)]
+    _, labels, langs = langid.sample_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(False), sample=640)
+    assert langs == sorted({r[2] for r in rows}) and set(labels.tolist()) == set(range(150))
+    assert len(labels) == 1500
+
+
 def shingles(t):
     w = words(t)
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 HIDDEN = 8  # units a direction
 WINDOW = 96  # bytes that the network reads from zero state
-SAMPLE = 6000  # labelled windows at most, in all languages
+SAMPLE = 6000  # labelled windows at most, in all languages; beyond SHARED languages so many more as keep each one's share
 STEPS = 300
 BATCH = 192
-MAX_LANGS = 64
+SHARED = 64
 UND = "und"
 LETTER = r"\p{L}"
 
@@ -206,18 +206,20 @@ class Reader:
 def sample_windows(docs: DataFrame, held_out, sample: int = SAMPLE, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[np.ndarray, np.ndarray, list[str]]:
     """At most ``sample`` labelled windows, as many a language as there are, from hashed places of the texts.
 
+    Every labelled language is learned: beyond SHARED of them the sample grows with their number.
+
     Documents are drawn by a hash of their id at rates that follow from the languages' counts. Only the
-    windows reach the driver, so what does is bounded by ``sample * window`` characters.
+    windows reach the driver, so what does is bounded by that many times ``window`` characters.
     """
     known = docs.filter(F.col(lang).isNotNull() & ~held_out & F.col(text).rlike(LETTER))
-    counts = dict(known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGS).collect())
+    counts = dict(known.groupBy(lang).count().collect())
     langs = sorted(counts)
     if not langs:
         return np.zeros((0, window), np.uint8), np.zeros(0, np.int64), []
+    sample = max(sample, -(-sample * len(langs) // SHARED))
     each = sample // len(langs)
-    rate = F.lit(0.0)
-    for name in langs:
-        rate = F.when(F.col(lang) == name, F.lit(min(1.0, 1.5 * each / counts[name]))).otherwise(rate)
+    rates = {name: min(1.0, 1.5 * each / counts[name]) for name in langs}
+    rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col(lang))
     order = F.xxhash64(F.lit("window"), F.col(doc_id).cast("string"), F.octet_length(text))
     place = F.pmod(F.xxhash64(F.lit("place"), F.col(doc_id).cast("string")), F.greatest(F.length(text) - window, F.lit(1))).cast("int")
     drawn = known.withColumn("_h", order).filter(F.pmod("_h", F.lit(1 << 30)) < rate * (1 << 30))
@@ -234,7 +236,7 @@ def fit(docs: DataFrame, held_out, **columns) -> tuple[dict[str, np.ndarray], li
     windows, labels, langs = sample_windows(docs, held_out, **columns)
     if not langs or not len(windows):
         return {}, []
-    return train(windows, labels, len(langs)), langs
+    return train(windows, labels, len(langs), steps=-(-STEPS * max(len(langs), SHARED) // SHARED)), langs
 
 
 def predict(docs: DataFrame, model: tuple[dict[str, np.ndarray], list[str]], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
