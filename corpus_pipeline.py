@@ -9,11 +9,21 @@ from tidemark.llm import langid, lines, minhash, mixing, unigram
 from tidemark.llm.common import stored, table
 
 
+#: A language is found where the network gives one more than all others together.
+LEAST_SCORE = 0.5
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language was found; those without a letter go. ``lang`` stays as it was labelled."""
+    """Documents in which a language was found; ``lang`` stays as it was labelled.
+
+    Those without a letter go, and those whose likeliest language has a probability of at most LEAST_SCORE. Where
+    nothing is labelled and so nothing can be learned, all with a letter stay.
+    """
     model = langid.fit(docs, langid.is_held_out())
+    if not model[1]:
+        return docs.filter(F.col("text").rlike(langid.LETTER))
     whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return langid.predict(whole, model, keep=("row",)).filter(F.col("lang_pred") != langid.UND).select("row.*")
+    return langid.predict(whole, model, keep=("row",)).filter((F.col("lang_pred") != langid.UND) & (F.col("score") > LEAST_SCORE)).select("row.*")
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

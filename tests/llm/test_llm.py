@@ -478,3 +478,17 @@ def test_pipeline_stages(docs, empty, spark):
     for _, stage in P.STAGES:
         nothing = stage(spark, nothing, "")
     assert nothing.count() == 0
+
+
+def test_pipeline_language_stage_uses_the_network(docs, spark, monkeypatch):
+    import corpus_pipeline as P
+
+    lettered = {r.doc_id for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")}
+    ids = lambda df: {r.doc_id for r in P.identify_language(spark, df, "").select("doc_id").collect()}
+    assert ids(docs.withColumn("lang", F.lit(None).cast("string"))) == lettered  # nothing to learn from
+    rng = np.random.default_rng(1)
+    w = langid.Direction.init(rng, 3, "f") | langid.Direction.init(rng, 3, "b") | {"o": np.zeros((6, 3)), "ob": np.zeros(3)}
+    monkeypatch.setattr(langid, "fit", lambda *a, **b: (w, ["xx", "yy", "zz"]))
+    assert ids(docs) == set()  # each language as likely as any other
+    w["ob"][1] = 5.0
+    assert ids(docs) == lettered
