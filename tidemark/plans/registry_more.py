@@ -77,9 +77,9 @@ def fn_23_rating_numbers(spark, d):
     return view(spark, d, "events").select("event_id", S.rating_number(F.when(F.col("event_type").isin("click", "view", "error"), label).otherwise("not_mentioned")).alias("rating"))
 
 
-@query("SELECT o_orderkey, printf('%.1f %%', 100.0 * (o_orderkey % 1000) / 1000) AS shown FROM orders WHERE o_orderkey % 1000 % 5 = 0")
+@query()
 def fn_33_percent_format(spark, d):
-    o = view(spark, d, "orders").filter("o_orderkey % 1000 % 5 = 0")
+    o = view(spark, d, "orders")
     return o.select("o_orderkey", F.format_string("%.1f %%", 100.0 * (F.col("o_orderkey") % 1000) / 1000).alias("shown"))
 
 
@@ -116,10 +116,10 @@ def prj_27_fn_13_policy_rules(spark, d):
     return R.policy_rules(reviews).select("host", "decision", "evidence_urls", "article_count", "review_date")
 
 
-@query("SELECT doc_id, CAST(i AS INT) AS ordinal, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE i % 2 = 0")
+@query()
 def src_06_numbered_elements(spark, d):
     docs = view(spark, d, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"))).alias("lines"))
-    return files.numbered(docs, "lines", keep=("doc_id",)).filter("ordinal % 2 = 0")
+    return files.numbered(docs, "lines", keep=("doc_id",))
 
 
 # projections, joins and sets ------------------------------------------------------------------------------------
