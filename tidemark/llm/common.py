@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,18 +14,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for checkpoints and tables: the session's, or ``spark.checkpoint.dir``.
 
-    The folder named by ``spark.checkpoint.dir`` is used; only where the session names none
-    (local tests) a temporary one is set.
+    Only a local master, as in tests, gets a temporary one; elsewhere a missing setting is an error, as other
+    machines would not see a folder of the driver's.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def lean(spark: SparkSession, mb: int = 4) -> None:
+    """Let Arrow batches end at ``mb`` megabytes where the session sets no limit of its own, so that what a Python
+    task holds does not follow from how long the texts of 10,000 rows are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(mb << 20))
+
+
+def named(column: str):
+    """A column by its very name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, by: str, least: int = 256) -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row a key, with the ``count`` of rows that hold it), hot keys split.
+
+    A key is hot if it holds over a thousandth of all rows (and over ``least``), so there are fewer than a
+    thousand of them, and only those are broadcast. Their rows are dealt by ``by`` over as many salts as they
+    fill, and their one row of ``keyed`` goes to each salt.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    big = max(least, total // 1000)
+    salts = F.when(F.col(count) > big, F.ceil(F.col(count) / big)).otherwise(1).cast("int")
+    hot = keyed.filter(F.col(count) > big).select(F.col(key).alias("_hot"), salts.alias("_salts"))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_hot", "_salts")
+    return dealt.join(keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))), [key, "_salt"]).drop("_salt", count)
+
+
 def parts(df: DataFrame, factor: float = 1.0) -> int:
     """Shuffle partitions of the session, times a factor, at least one."""
     return max(1, round(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * factor))
@@ -39,10 +77,14 @@ def parts_by_size(df: DataFrame, mb: float = 2.0) -> int:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the cluster's shared folder and read again."""
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
-    path = f"{jsc.getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, named
+
 HIDDEN = 8  # units a direction
 WINDOW = 96  # bytes that the network reads from zero state
 SAMPLE = 6000  # labelled windows at most, in all languages; beyond SHARED languages so many more as keep each one's share
@@ -240,20 +242,23 @@ def fit(docs: DataFrame, held_out, **columns) -> tuple[dict[str, np.ndarray], li
 
 
 def predict(docs: DataFrame, model: tuple[dict[str, np.ndarray], list[str]], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``(keep..., lang_pred, score)`` of every whole text.
+    """``(keep..., lang_pred, score)`` of every whole text; a text that is kept goes to Python once.
 
     Null texts and texts without a letter get ``und`` and 0.0, as does every text where nothing was learned.
     Repeated rows are labelled each; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    letter = F.coalesce(F.col(text).rlike(LETTER), F.lit(False))
+    letter = F.coalesce(named(text).rlike(LETTER), F.lit(False))
+    lean(docs.sparkSession)
+    sent = keep if text in keep else (*keep, text)
+    at = sent.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, langs = shared.value
         reader = Reader(w) if langs else None
         for batch in batches:
-            texts = batch.column(len(keep)).cast(pa.binary()).to_pylist()
-            ok = batch.column(len(keep) + 1).to_pylist()
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            ok = batch.column(len(sent)).to_pylist()
             i = 0
             while i < len(texts):
                 j, size = i, 0
@@ -269,8 +274,8 @@ def predict(docs: DataFrame, model: tuple[dict[str, np.ndarray], list[str]], kee
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(len(keep))), pa.array(pred), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
                 i = j
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, text, letter.alias("_letter")).mapInArrow(run, f"{kinds}lang_pred string, score double")
+    kinds = "".join("`" + c.replace("`", "``") + f"` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return docs.select(*map(named, sent), letter.alias("_letter")).mapInArrow(run, f"{kinds}lang_pred string, score double")
 
 
 def is_held_out(doc_id: str = "doc_id"):

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_join, named
 
 MEAN = 4  # mean lines of a chunk
 LEAST = 2  # lines that a chunk must have to be removed
@@ -54,20 +54,20 @@ def chunks(text: Column, mean: int = MEAN) -> Column:
 
 
 def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mean: int = MEAN, least: int = LEAST) -> DataFrame:
-    """``(doc_id, no)`` of every chunk that is removed: equal, byte by byte, to the earliest chunk of its hash.
+    """``(doc_id, no)`` of every chunk that is removed: equal, byte by byte, to an earlier chunk.
 
-    Should two different chunks share a hash, those that differ from the earliest stay.
+    Chunks are grouped by hash first and by their bodies then, so different chunks of one hash are kept apart. A
+    chunk that very many texts hold is dealt by salt.
     """
-    d = docs.filter(F.col(doc_id).isNotNull() & F.col(text).contains("\n")).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    d = docs.filter(named(doc_id).isNotNull() & named(text).contains("\n")).select(named(doc_id).alias("doc_id"), named(text).alias("text"))
     hashed = d.select("doc_id", F.explode(F.transform(F.filter(chunks(F.col("text"), mean), lambda c: c["lines"] >= least), lambda c: F.struct(c["no"].alias("no"), F.xxhash64(c["body"]).alias("h")))).alias("c"))
     hashed = cut(hashed.select("doc_id", "c.no", "c.h"))
-    place = F.struct("doc_id", "no")
-    shared = hashed.groupBy("h").agg(F.min(place).alias("lead"), F.max(place).alias("_last")).filter(F.col("lead") != F.col("_last")).select("h", "lead")
-    marks = hashed.join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("no", "h", "lead")).alias("marks"))
-    met = d.join(marks, "doc_id").select("doc_id", F.explode(_let(chunks(F.col("text"), mean), lambda cs: F.transform("marks", lambda m: F.struct(m["no"].alias("no"), m["h"].alias("h"), m["lead"].alias("lead"), F.try_element_at(cs, m["no"])["body"].alias("body"))))).alias("c"))
+    shared = cut(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1))
+    marks = hot_join(hashed, shared, "h", "_n", "doc_id").groupBy("doc_id").agg(F.collect_set("no").alias("marks"))
+    met = d.join(marks, "doc_id").select("doc_id", F.explode(_let(chunks(F.col("text"), mean), lambda cs: F.transform("marks", lambda m: F.struct(m.alias("no"), F.try_element_at(cs, m)["body"].alias("body"))))).alias("c"))
     bodies = cut(met.select("doc_id", "c.*"))
-    first = bodies.filter(place == F.col("lead")).groupBy("h").agg(F.min("body").alias("first_body"))
-    return bodies.filter(place != F.col("lead")).join(first, "h").filter(F.col("body") == F.col("first_body")).select("doc_id", "no").distinct()
+    first = bodies.groupBy("body").agg(F.min(F.struct("doc_id", "no")).alias("lead"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    return hot_join(bodies, cut(first), "body", "_n", "doc_id").filter(F.struct("doc_id", "no") != F.col("lead")).select("doc_id", "no").distinct()
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mean: int = MEAN, least: int = LEAST) -> DataFrame:
@@ -80,10 +80,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mea
     """
     gone = repeated_chunks(docs, doc_id, text, mean, least).groupBy("doc_id").agg(F.collect_set("no").alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
     given, numbers = docs.alias("_given"), gone["_gone"]
-    out = given.join(gone, docs[doc_id] == gone["_gone_id"], "left")
-    kept = F.array_join(F.transform(F.filter(chunks(docs[text], mean), lambda c: ~F.array_contains(numbers, c["no"])), lambda c: c["body"]), "\n")
+    of = lambda c: docs["`" + c.replace("`", "``") + "`"]
+    out = given.join(gone, of(doc_id) == gone["_gone_id"], "left")
+    kept = F.array_join(F.transform(F.filter(chunks(of(text), mean), lambda c: ~F.array_contains(numbers, c["no"])), lambda c: c["body"]), "\n")
     new = ("text_kept", "chunks_removed")
-    return out.select(*[docs[c] for c in docs.columns if c not in new], F.when(numbers.isNull(), docs[text]).otherwise(kept).alias(new[0]), F.when(numbers.isNull(), 0).otherwise(F.size(numbers)).alias(new[1]))
+    return out.select(*[of(c) for c in docs.columns if c not in new], F.when(numbers.isNull(), of(text)).otherwise(kept).alias(new[0]), F.when(numbers.isNull(), 0).otherwise(F.size(numbers)).alias(new[1]))
 
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:

@@ -3,14 +3,17 @@
 Items have an id of any orderable type and a text. An item's set is the distinct 5-word shingles of its
 lower-cased text. The steps:
 
-1. One pass over the texts gives each item its set's size, a 128-bit fingerprint of the set, the band keys of
-   its minima and its signature: the low 2 bits of each of the minima, packed.
-2. Items with equal fingerprints are one class, held by its least id; copies are never paired.
+1. One pass over the texts gives each item its set's size, a BLAKE2b digest of its whole word sequence, the band
+   keys of its minima and its signature: the low 2 bits of each of the minima, packed.
+2. Items of the same words in the same order are one class, held by its least id; copies are never paired.
+   Equal sets in another order are links like any others.
 3. Classes that share a band key meet at the least id of the key's bucket (a star, not all pairs). Pairs whose
-   bit counts leave no doubt are dropped; all others are confirmed on full sets.
+   bit counts leave no doubt are dropped; all others are confirmed on full sets. The pairs of a leader with many
+   are dealt by salt.
 4. Where a bucket still spans several components, its members of different components are compared in blocks
    by bit counts, and what may reach the threshold is confirmed likewise; in buckets where that is far more
-   pairs than rows, full sets are compared in place until the bucket is connected.
+   pairs than rows, full sets are compared in place until the bucket is connected. Blocks are bounded by rows
+   and by shingles.
 5. Components of the confirmed links.
 
 Nothing is capped: a pair is given up only if no band agrees or its bit counts are ``MARGIN`` standard
@@ -19,6 +22,7 @@ deviations below the threshold.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -28,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts
+from .common import cut, hot_join, lean, named
 from .components import components
 from .textkit import Shingler, blocks, mix64
 
 BITS = 2
 MARGIN = 5.5
 BLOCK = 8192  # rows of a bucket that one task compares with as many others
+SHINGLES = 1 << 21  # shingles, about, of the rows of a bucket whose full sets one task compares with as many others
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 class Params(NamedTuple):
@@ -112,8 +118,13 @@ def reaches(inter: int, a: int, b: int, num: int) -> bool:
     return 100 * inter >= num * (a + b - inter)
 
 
+def digest(text: bytes) -> bytes:
+    """128 bits of BLAKE2b of a text's words, lower-cased, one space between."""
+    return hashlib.blake2b(b" ".join(text.translate(_LOWER).split()), digest_size=16).digest()
+
+
 def features(items: DataFrame, p: Params, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``(id, n, f1, f2, sig, bands)`` of every item; ``sig`` and ``bands`` are null for empty sets."""
+    """``(id, n, f, sig, bands)`` of every item; ``f``, ``sig`` and ``bands`` are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, signer = Shingler(p.width), Signer(p)
@@ -124,23 +135,25 @@ def features(items: DataFrame, p: Params, id_col: str = "id", text_col: str = "t
                 n = np.fromiter(map(len, sets), np.int32, len(sets))
                 full = n > 0
                 minima = np.stack([signer.minima(s) if len(s) else np.zeros(signer.k, np.uint32) for s in sets])
-                f1 = np.fromiter((int(s.sum()) for s in sets), np.uint64, len(sets)).view(np.int64)
-                f2 = np.fromiter((int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()) for s in sets), np.uint64, len(sets)).view(np.int64)
+                f = [digest(t) if ok else None for t, ok in zip(block, full)]
                 sig = [bytes(r) if ok else None for r, ok in zip(signer.packed(minima), full)]
                 keys = [r if ok else None for r, ok in zip(signer.bands(minima), full)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(block)), pa.array(n), pa.array(f1), pa.array(f2), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "f1", "f2", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(block)), pa.array(n), pa.array(f, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "f", "sig", "bands"])
 
     kind = items.schema[id_col].dataType.simpleString()
-    return items.select(id_col, text_col).mapInArrow(run, f"id {kind}, n int, f1 long, f2 long, sig binary, bands array<long>")
+    return items.select(id_col, text_col).mapInArrow(run, f"id {kind}, n int, f binary, sig binary, bands array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """``(a, b, ok)``: whether the full sets of a pair reach the threshold. ``texts``: (id, text).
 
-    Pairs arrive grouped by ``b`` where they can, so that a bucket leader's set is computed once a batch.
+    Where a ``b`` has very many pairs, its text goes to several salts, each with some of them.
     """
     t = texts.select(F.col("id").alias("_id"), "text")
-    both = pairs.join(t.withColumnsRenamed({"_id": "b", "text": "tb"}), "b").join(t.withColumnsRenamed({"_id": "a", "text": "ta"}), "a").select("a", "b", "ta", "tb")
+    pairs = cut(pairs)
+    leaders = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_pairs")))
+    led = leaders.join(t.withColumnsRenamed({"_id": "b", "text": "tb"}), "b")
+    both = hot_join(pairs, led, "b", "_pairs", "a").join(t.withColumnsRenamed({"_id": "a", "text": "ta"}), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Shingler(p.width)
@@ -184,12 +197,14 @@ def hopeful(pairs: DataFrame, sigs: DataFrame, p: Params) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _blocks_of(members: DataFrame) -> DataFrame:
-    """Members with the pair of blocks (lo, hi) in which they are compared; a bucket of up to BLOCK rows is one."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("_c"))
-    m = members.join(sizes, "key").withColumn("_nb", F.ceil(F.col("_c") / BLOCK).cast("int"))
+def _blocks_of(members: DataFrame, shingles: int | None = None) -> DataFrame:
+    """Members with the pair of blocks (lo, hi) in which they are compared; a bucket of up to BLOCK rows (and of up
+    to that many ``shingles``) is one."""
+    need = F.ceil(F.count(F.lit(1)) / BLOCK)
+    sizes = members.groupBy("key").agg((F.greatest(need, F.ceil(F.sum("n") / shingles)) if shingles else need).cast("int").alias("_nb"))
+    m = members.join(sizes, "key")
     m = m.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    return m.withColumns({"lo": F.least("blk", "_o"), "hi": F.greatest("blk", "_o")}).drop("_c", "_nb", "_o")
+    return m.withColumns({"lo": F.least("blk", "_o"), "hi": F.greatest("blk", "_o")}).drop("_nb", "_o")
 
 
 class _Bucket:
@@ -249,7 +264,7 @@ def _dense_links(members: DataFrame, texts: DataFrame, p: Params, kind: str) ->
     """``(a, b)``: confirmed links between components of dense buckets, enough of them to connect what the
     bucket's links connect. Full sets are compared where the rows meet, best estimates first, and pairs that
     are connected by then are passed over, so no list of pairs leaves the task."""
-    m = _blocks_of(members).join(texts, "id")
+    m = _blocks_of(members, SHINGLES).join(texts, "id")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -272,14 +287,24 @@ def _dense_links(members: DataFrame, texts: DataFrame, p: Params, kind: str) ->
 def near_components(items: DataFrame, p: Params = Params(), id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``(id, n, component)`` of every item: its set's size and the least id that it reaches by links.
 
-    Items with empty sets (null, empty or blank texts) are alone. Ids must be unique and not null. An empty
-    table gives an empty result; other columns are not read.
+    Items with empty sets (null, empty or blank texts) are alone. Rows that share an id are one item that holds
+    each of their texts, and each gets a row. Rows with a null id get a null component and link nothing. An
+    empty table gives an empty result; other columns are not read.
     """
+    lean(items.sparkSession)
     kind = items.schema[id_col].dataType.simpleString()
     texts = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     feats = cut(features(texts, p))
-    full = feats.filter(F.col("n") > 0)
-    classes = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
+    texts = texts.filter(F.col("id").isNotNull())
+    full = feats.filter((F.col("n") > 0) & F.col("id").isNotNull())
+    classes = full.groupBy("f").agg(F.min("id").alias("rep"))
+    again = cut(full.groupBy("id").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > 1).select("id"))
+    same = None  # links between the classes of one id's texts
+    if not again.isEmpty():
+        repeated = full.join(again, "id", "left_semi").dropDuplicates(["id", "f"])
+        full = full.join(again, "id", "left_anti").unionByName(repeated)
+        texts = texts.join(again, "id", "left_anti").unionByName(texts.join(again, "id", "left_semi").distinct())
+        same = repeated.join(classes, "f").filter(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     held = full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     keyed = held.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("_last")).filter(F.col("lead") != F.col("_last")).select("key", "lead")
@@ -288,6 +313,7 @@ def near_components(items: DataFrame, p: Params = Params(), id_col: str = "id",
     star = members.filter(F.col("id") != F.col("lead")).select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     tried = cut(confirm(hopeful(star, sigs, p), texts, p))
     links = tried.filter("ok").select("a", "b")
+    links = links if same is None else links.unionByName(same)
     comp = cut(components(links))
     # buckets that still span several components
     labelled = members.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
@@ -304,11 +330,14 @@ def near_components(items: DataFrame, p: Params = Params(), id_col: str = "id",
         if not dense.isEmpty():
             extra = extra.unionByName(_dense_links(rest.join(dense, "key", "left_semi"), texts, p, kind))
         comp = cut(components(links.unionByName(extra)))
-    class_of = classes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
-    return feats.join(class_of, ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    class_of = classes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("f", F.coalesce("component", "rep").alias("component"))
+    return feats.select("id", "n", "f").join(class_of, "f", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``: one row a document; the least id of each group is kept."""
-    out = near_components(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), p)
-    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    """``(doc_id, n_shingles, component_id, kept)``: one row a document; the least id of each group is kept.
+
+    Rows without an id have no component and are kept; rows that share an id are one document of several texts.
+    """
+    out = near_components(docs.select(named(doc_id).alias("id"), named(text).alias("text")), p)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

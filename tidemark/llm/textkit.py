@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 _M = np.uint64(0x9E3779B97F4A7C15)
-_R = 0x5851F42D4C957F2D | 1  # the base of the byte polynomial, odd and so invertible modulo 2**64
+_SEED = 0x5851F42D4C957F2D
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -36,12 +36,6 @@ class Shingler:
         self.lower[65:91] += 32
         self.space = np.zeros(256, bool)
         self.space[[0x20, *range(0x09, 0x0E)]] = True
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            self.up = _powers(_R, n)
-            self.down = _powers(pow(_R, -1, 1 << 64), n)
 
     def words(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(hash of every word, in order; number of words of each text). ``start`` and ``end`` then hold where
@@ -49,16 +43,21 @@ class Shingler:
         self.start = self.end = np.zeros(0, np.int64)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         raw = np.frombuffer(b" ".join([*texts, b""]) if len(texts) else b"", np.uint8)
-        n = len(raw)
-        if not n:
+        if not len(raw):
             return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-        self._grow(n + 1)
         gap = self.space[raw]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
         self.start, self.end = start, end = edge[::2], edge[1::2]
-        acc = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.lower[raw].astype(np.uint64) + np.uint64(1)) * self.up[:n], out=acc[1:])
-        hashes = mix64((acc[end] - acc[start]) * self.down[start] + (end - start).astype(np.uint64) * _M)
+        at = np.flatnonzero(~gap)
+        size = end - start
+        first = np.cumsum(size) - size
+        # a word's hash sums a random function of (place in the word, byte): no polynomial, whose values modulo a
+        # power of two agree for some words whatever the base
+        terms = (at - np.repeat(start, size)).astype(np.uint64) << np.uint64(8)
+        terms |= self.lower[raw[at]]
+        terms *= _M
+        terms = mix64(terms + np.uint64(_SEED))
+        hashes = mix64(np.add.reduceat(terms, first) + size.astype(np.uint64) * _M) if len(first) else np.zeros(0, np.uint64)
         bounds = np.concatenate(([0], np.cumsum(lens + 1)))
         return hashes, np.diff(np.searchsorted(start, bounds))
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: The default model file; any SentencePiece model with byte fallback can be named instead.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
@@ -275,6 +277,7 @@ def encode(docs: DataFrame, model_file: str = MODEL, text: str = "text", keep: S
     Null texts have null ids and ``exact``, and 0 pieces; empty texts have no ids. Repeated rows are encoded
     each; an empty table gives an empty result; other columns are not read.
     """
+    lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(load_vocabulary(model_file)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
