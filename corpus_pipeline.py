@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, lines, minhash, mixing, unigram
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import cut, discard, lean, named, stored, table
 
 
 #: A language is found where the network gives one more than all others together.
@@ -22,8 +22,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.fit(docs, langid.is_held_out())
     if not model[1]:
         return docs.filter(F.col("text").rlike(langid.LETTER))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return langid.predict(whole, model, keep=("row",)).filter((F.col("lang_pred") != langid.UND) & (F.col("score") > LEAST_SCORE)).select("row.*")
+    place = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    numbered = docs.select(*[named(c).alias(p) for c, p in place.items()])
+    told = langid.predict(numbered, model, keep=tuple(place.values()), text=place["text"])
+    return told.filter((F.col("lang_pred") != langid.UND) & (F.col("score") > LEAST_SCORE)).select(*[F.col(p).alias(c) for c, p in place.items()])
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,19 +33,33 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     out = lines.dedup_lines(docs)
     whole = F.col("chunks_removed") == 0
     out = out.filter(whole | (F.col("text_kept") != ""))
-    return out.withColumns({"n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length("text_kept")).cast(docs.schema["n_chars"].dataType), "text": F.col("text_kept")}).select(docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text_kept")).cast(docs.schema["n_chars"].dataType))
+    return out.withColumn("text", F.col("text_kept")).select(*map(named, docs.columns))
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near copies: the one with the least id. Rows without an id stay."""
+    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*map(named, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none, one or more rows each."""
-    times = mixing.mix(docs).filter(F.col("taken") > 0).select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    return docs.join(times, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    """Documents as often as the mix takes them: none, one or more rows each.
+
+    Rows without an id or with a repeated one have each a share of their own in the mix; of those that agree in id
+    and number of words, those of lesser source, then text, are taken less often.
+    """
+    times = (F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
+    mixed = cut(mixing.mix(docs).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), times.alias("__times")))
+    if mixed.groupBy("__id").count().filter((F.col("count") > 1) | F.col("__id").isNull()).isEmpty():
+        out = docs.join(mixed.filter("__times > 0"), F.col("doc_id") == F.col("__id"))
+    else:
+        number = lambda of, *order: F.row_number().over(Window.partitionBy(*of).orderBy(*order))
+        left = docs.withColumn("__words", mixing.n_words("text")).withColumn("__no", number(("doc_id", "__words"), "source", "text"))
+        right = mixed.withColumn("__place", number(("__id", "__size"), "__times"))
+        out = left.join(right, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")) & (F.col("__no") == F.col("__place"))).filter("__times > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*map(named, docs.columns))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +80,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; the last one's rows."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else stored(out, f"pipeline-{k}")
-    return docs
+    """All stages over the documents of ``sf_dir``; the last one's rows. A stage's table goes once the next stands."""
+    lean(spark)
+    docs = given = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        out = stored(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        if docs is not given:
+            discard(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)
