@@ -304,6 +304,7 @@ def test_op8_colliding_hashes_remove_nothing(spark, monkeypatch):
             super().__init__(texts, length)
             if len(self.doc):
                 self.span = self.span & np.uint64(3)
+                self.key = self.key & np.uint64(7)
                 of = self.hashes.of
                 self.hashes.of = lambda a, b: of(a, b) & np.uint64(15)
 
@@ -370,15 +371,79 @@ def test_op10_repeated_passages(docs, empty):
         w = texts[d].decode().translate(LOWER).split()
         for i in range(len(w) - 50):
             first[tuple(w[i : i + 51])].append(d)
-    need = {d for ds in first.values() for d in ds if d > ds[0]} - {d for d in texts if texts[d].startswith(b"and and")}
+    need = {d for ds in first.values() for d in ds if d > ds[0]}
     touched = {d for d, g in got.items() if g.spans}
     assert need and len(need & touched) >= 0.95 * len(need)
     shared = {x for x, ds in _windows(texts).items() if len(ds) > 1}
-    clean = {d for d in texts if not any(x in shared for x in _own(texts[d]))}
+    whole = {d: tuple(words(texts[d].decode())) for d in texts}
+    copies = {d for d, w in whole.items() if w and any(whole[e] == w for e in texts if e < d)}
+    clean = {d for d in texts if not any(x in shared for x in _own(texts[d]))} - copies
     assert clean and not clean & touched
+    assert all(not words(bytes(got[d].kept).decode()) for d in copies)
     assert paragraphs.dedup_paragraphs(empty).count() == 0
 
 
+def test_op10_exact_copies_of_any_length_and_wording(spark):
+    licence = "\n\n".join(f"clause {i} of it" for i in range(200))
+    texts = ["and " * 400, "na na hey " * 200, "one two three four five six seven", licence, "word", "Other  Words\there"]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts, texts[5].lower().replace("\t", " ")])]
+    for parts in (1, 4):
+        got = rows_of(paragraphs.dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)))
+        for d, t in rows:
+            left = words(bytes(got[d].kept).decode())
+            assert (left == words(t) and not got[d].spans) if d < len(texts) else not left, d
+
+
+def test_op10_paragraphs_against_brute_force(spark):
+    """Every paragraph, whole or cut as stated, goes if a chain of links at the threshold leads to a smaller document."""
+    rng = random.Random(21)
+    vocab = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(300)]
+    pool = [rng.choices(vocab, k=n) for n in (3, 4, 12, 30, 30, 60, 90, 140)]
+    rows = []
+    for i in range(80):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = list(rng.choice(pool)) if rng.random() < 0.5 else rng.choices(vocab, k=rng.randint(1, 50))
+            if rng.random() < 0.3:
+                w[rng.randrange(len(w))] = "edit"
+            parts.append(" ".join(w))
+        rows.append((i, "\n\n".join(parts)))
+    items = {}
+    for d, t in rows:
+        p = paragraphs.Paragraphs([t.encode()], paragraphs.Shingler(paragraphs.WIDTH))
+        at = 0
+        for para in t.split("\n\n"):  # the rule for cuts, from its statement
+            h = paragraphs.Shingler(paragraphs.WIDTH).words([para.encode()])[0].tolist()
+            r = paragraphs.RADIUS
+            cuts = [0] + [k for k in range(r, len(h) - r) if h[k] < min(h[k - r : k]) and h[k] <= min(h[k + 1 : k + r + 1])] + [len(h)]
+            spots = [m.span() for m in re.finditer(r"\S+", para)]
+            for x, y in {*zip(cuts, cuts[1:]), (0, len(h))}:
+                items[(d, at + spots[x][0], at + spots[y - 1][1])] = shingles(para[spots[x][0] : spots[y - 1][1]])
+            at += len(para) + 2
+        assert {(a, z) for a, z in zip(p.first.tolist(), p.last.tolist())} == {k[1:] for k in items if k[0] == d}
+    want = defaultdict(set)
+    for k, c in groups(items).items():
+        if c[0] != k[0]:
+            want[k[0]] |= set(range(k[1], k[2]))
+    got = rows_of(paragraphs.dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    have = {d: {x for s in g.spans for x in range(s.start, s.end)} for d, g in got.items()}
+    assert all(have[d] <= want[d] for d in have)  # bands may miss a pair at the threshold, but none is invented
+    assert sum(map(len, have.values())) >= 0.98 * sum(map(len, want.values())) > 0
+
+
+@pytest.mark.parametrize("dedup", [suffix.dedup_substrings, paragraphs.dedup_paragraphs])
+def test_op8_op10_null_and_repeated_ids(spark, dedup):
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    a, b = say(40), say(40)
+    rows = [(1, a), (2, a), (2, a), (2, "z" + b), (None, a), (None, None), (3, b), (4, None), (4, None), (5, "é" * 5000 + a)]
+    got = sorted((r.doc_id or 0, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.kept)) for r in dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(a)
+    tail = 0 if dedup is paragraphs.dedup_paragraphs else n
+    assert [g for g in got if g[0] < 5] == sorted([(1, n, 0, n), (2, n, n, 0), (2, n, n, 0), (2, n + 1, 0, n + 1), (0, n, 0, n), (0, 0, 0, 0), (3, n, 0, n), (4, 0, 0, 0), (4, 0, 0, 0)])
+    assert got[-1][:2] == (5, 10000 + n) and got[-1][2] >= tail
+
+
 def _pieces(block):
     p = paragraphs.Paragraphs(block, paragraphs.Shingler(paragraphs.WIDTH))
     return {d: [(a, z) for i, a, z in zip(p.doc.tolist(), p.first.tolist(), p.last.tolist()) if i == d] for d in range(len(block))}

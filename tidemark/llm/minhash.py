@@ -284,12 +284,12 @@ def _dense_links(members: DataFrame, texts: DataFrame, p: Params, kind: str) ->
     return m.groupBy("key", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_components(items: DataFrame, p: Params = Params(), id_col: str = "id", text_col: str = "text") -> DataFrame:
+def near_components(items: DataFrame, p: Params = Params(), id_col: str = "id", text_col: str = "text", unique: bool = False) -> DataFrame:
     """``(id, n, component)`` of every item: its set's size and the least id that it reaches by links.
 
     Items with empty sets (null, empty or blank texts) are alone. Rows that share an id are one item that holds
     each of their texts, and each gets a row. Rows with a null id get a null component and link nothing. An
-    empty table gives an empty result; other columns are not read.
+    empty table gives an empty result; other columns are not read. ``unique`` says that no id is repeated.
     """
     lean(items.sparkSession)
     kind = items.schema[id_col].dataType.simpleString()
@@ -298,9 +298,9 @@ def near_components(items: DataFrame, p: Params = Params(), id_col: str = "id",
     texts = texts.filter(F.col("id").isNotNull())
     full = feats.filter((F.col("n") > 0) & F.col("id").isNotNull())
     classes = full.groupBy("f").agg(F.min("id").alias("rep"))
-    again = cut(full.groupBy("id").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > 1).select("id"))
     same = None  # links between the classes of one id's texts
-    if not again.isEmpty():
+    again = None if unique else cut(full.groupBy("id").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > 1).select("id"))
+    if not unique and not again.isEmpty():
         repeated = full.join(again, "id", "left_semi").dropDuplicates(["id", "f"])
         full = full.join(again, "id", "left_anti").unionByName(repeated)
         texts = texts.join(again, "id", "left_anti").unionByName(texts.join(again, "id", "left_semi").distinct())

@@ -1,15 +1,16 @@
 """Substring dedup by paragraphs: MinHash banding, exact confirmation, removal by components.
 
-A text's paragraphs end at blank lines. They take part whole, and besides in pieces, cut before each word whose
-hash is the least of RADIUS words on either side, as far as its paragraph reaches. Such cuts depend on the words
-around them alone, never on other texts of a block, so a passage that repeats inside longer paragraphs falls into the
-same pieces wherever it stands. Paragraphs and pieces of at least LEAST words take part; both are called paragraphs
-below.
-
-1. Each task sends, for every band of a paragraph's minima, one row for each (band key, paragraph) held by the
-   least document; the other documents of the very same words are already known to repeat it.
-2. Where a band key is shared by different paragraphs, those are fetched from the texts and meet in full:
-   colliding paragraphs are confirmed by exact Jaccard similarity and joined to components.
+A text's paragraphs end at blank lines. They take part whole, however short, and long ones besides in pieces, cut
+before each word whose hash is less than those of the RADIUS words before it and no more than those of the RADIUS words
+after it. Such a cut depends on the words around it alone, so a passage that repeats inside longer paragraphs falls into
+the same pieces wherever it stands; a run of the same words has no cut, and no piece is shorter than RADIUS words.
+Pieces and whole paragraphs are both called paragraphs below.
+
+1. Each task names its paragraphs by a 128-bit BLAKE2b digest of their words. The same words in a larger document of
+   the task repeat those of the least. For others one row goes out for the digest and one for each band of minima.
+2. Where a digest has several documents, all but the least repeat it. Where a band key is shared by different paragraphs
+   of several documents, those are fetched from the texts and meet in full: they are confirmed by exact Jaccard
+   similarity and joined to components.
 3. All but the earliest paragraph of a component are removed, as are paragraphs whose words stand in a smaller
    document. A document never repeats itself here.
 """
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import cut, parts_by_size
-from .suffix import ANSWER, BLOCKS, KEEP, MORE, SPANS, _gather, _home, _mark, _pack, _route, _table, _texts, _unpack, _whole, anchors, answers, homes, removed
+from .common import cut, lean, parts_by_size
+from .suffix import ANCHOR, ANSWER, BLOCKS, KEEP, KNOWN, SPANS, _batch, _by_text, _firsts, _gather, _home, _joined, _of_kind, _pack, _route, _table, _texts, _unpack, _whole, each_row, homes, known_rows, removed
 from .textkit import Shingler, blocks, mix64
 
 RADIUS = 7
@@ -33,7 +34,9 @@ ROWS = 2
 RECALL = 0.99
 BANDS = minhash.tuned(0.75, ROWS, RECALL)
 WIDTH = 5
-LEAST = 8  # words of the shortest paragraph that takes part
+FLUSH = 4 << 20  # bytes of text whose paragraphs travel together
+NAME = 5  # kind of the blocks of digests
+REPEATS, OPEN = 0, 1
 
 
 class Paragraphs:
@@ -45,7 +48,7 @@ class Paragraphs:
 
     def __init__(self, texts: list[bytes], cutter: Shingler):
         hashes, counts = cutter.words(texts)
-        self.hashes, n = hashes, len(hashes)
+        self.texts, self.hashes, n = texts, hashes, len(hashes)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         begin = np.cumsum(lens + 1) - lens - 1
         doc_of = np.repeat(np.arange(len(texts)), counts)
@@ -58,87 +61,151 @@ class Paragraphs:
         lines = np.cumsum(blank)[np.minimum(cutter.start, len(raw) - 1)]
         fresh = np.ones(n, bool)
         fresh[1:] = (doc_of[1:] != doc_of[:-1]) | (lines[1:] != lines[:-1])
-        # RADIUS places before and after every text and blank line hold the maximum: no cut depends on words beyond
-        place = np.arange(n) + RADIUS * np.cumsum(fresh)
-        low = np.full(place[-1] + RADIUS + 1, np.uint64(0xFFFFFFFFFFFFFFFF))
-        low[place] = hashes
-        have, w = 1, 2 * RADIUS + 1
-        while have < w:
-            s = min(have, w - have)
+        whole = np.flatnonzero(fresh)
+        length = np.diff(np.append(whole, n))
+        place = np.arange(n) - np.repeat(whole, length)
+        inside = np.flatnonzero((place >= RADIUS) & (np.repeat(length, length) - 1 - place >= RADIUS))
+        low, have = hashes, 1  # low[i]: the least of RADIUS words from i on
+        while have < RADIUS:
+            s = min(have, RADIUS - have)
             low = np.minimum(low[:-s], low[s:])
             have += s
-        new = fresh | (hashes == low[place - RADIUS])
-        at, whole = np.flatnonzero(new), np.flatnonzero(fresh)
-        size, length = np.diff(np.append(at, n)), np.diff(np.append(whole, n))
-        keep, divided = size >= LEAST, length >= LEAST
-        divided &= np.diff(np.append(np.searchsorted(at, whole), len(at))) > 1  # of one piece: it stands there already
-        self.word, self.words = np.append(at[keep], whole[divided]), np.append(size[keep], length[divided])
+        new = fresh.copy()
+        new[inside] = (hashes[inside] < low[inside - RADIUS]) & (hashes[inside] <= low[inside + 1]) if len(inside) else False
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, n))
+        divided = np.diff(np.append(np.searchsorted(at, whole), len(at))) > 1  # of one piece: it stands there already
+        self.word, self.words = np.append(at, whole[divided]), np.append(size, length[divided])
         self.doc = doc_of[self.word]
         self.first = cutter.start[self.word] - begin[self.doc]
         self.last = cutter.end[self.word + self.words - 1] - begin[self.doc]
 
-
-class Bands:
-    """Each paragraph once for every band: arrays doc, key, place, span, more and ``paragraph``."""
-
-    def __init__(self, texts: list[bytes], cutter: Shingler, signer: minhash.Signer):
-        self.p = p = Paragraphs(texts, cutter)
-        low = np.uint64((1 << 8 * KEEP) - 1)
-        if not len(p.doc):
-            self.doc = self.paragraph = np.zeros(0, np.int64)
-            self.key = self.place = self.span = self.more = np.zeros(0, np.uint64)
-            return
-        runs = cutter.runs(p.hashes)
-        x = (runs ^ (runs >> np.uint64(32))).astype(np.uint32)
-        x = np.append(x, np.uint32(0))
-        ends = np.stack([p.word, p.word + p.words - WIDTH + 1], axis=1).ravel()
+    def names(self) -> np.ndarray:
+        """(paragraphs, 2) uint64: the digest of every paragraph's words."""
+        texts = self.texts
+        got = b"".join(minhash.digest(texts[d][a:z]) for d, a, z in zip(self.doc.tolist(), self.first.tolist(), self.last.tolist()))
+        return np.frombuffer(got, np.uint64).reshape(-1, 2)
+
+    def band_keys(self, of: np.ndarray, cutter: Shingler, signer: minhash.Signer) -> np.ndarray:
+        """(paragraphs, bands) uint64 of those numbered ``of``, each of at least WIDTH words."""
+        runs = cutter.runs(self.hashes)
+        x = np.append((runs ^ (runs >> np.uint64(32))).astype(np.uint32), np.uint32(0))
+        ends = np.stack([self.word[of], self.word[of] + self.words[of] - WIDTH + 1], axis=1).ravel()
         minima = np.stack([np.minimum.reduceat(x * a + b, ends)[::2] for a, b in zip(signer.a[:, 0], signer.b[:, 0])], axis=1)
-        keys = signer.bands(minima).view(np.uint64)
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(mix64(runs))))
-        whole = mix64((sums[p.word + p.words - WIDTH + 1] - sums[p.word]) + p.words.astype(np.uint64))
-        n = keys.shape[1]
-        self.paragraph = np.repeat(np.arange(len(p.doc)), n)
-        self.doc = p.doc[self.paragraph]
-        flat = mix64(keys.ravel())
-        self.key, self.place = flat & low, flat >> np.uint64(8 * KEEP)
-        self.span = (whole & low)[self.paragraph]
-        again = np.concatenate(([np.uint64(0)], np.cumsum(mix64(runs ^ np.uint64(0xA5A5A5A5A5A5A5A5)))))
-        more = mix64(again[p.word + p.words - WIDTH + 1] - again[p.word]) >> np.uint64(64 - 8 * MORE)
-        self.more = more[self.paragraph]
+        return mix64(signer.bands(minima).view(np.uint64))
 
 
 def _tools(bands: int, rows: int) -> tuple[Shingler, minhash.Signer]:
     return Shingler(WIDTH), minhash.Signer(minhash.Params(bands=bands, rows=rows))
 
 
-def colliding(texts: DataFrame, said: DataFrame, bands: int, rows: int) -> DataFrame:
+_LOW = np.uint64((1 << 8 * KEEP) - 1)
+
+
+def _mark(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
+    return mix64(mix64(doc.astype(np.int64).view(np.uint64)) + name)
+
+
+def said_of(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
+    """Blocks of digests and of band keys with their least documents, and of ranges known to repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, signer = _tools(bands, rows)
+        for ids, texts in _by_text(batches, FLUSH):
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            seen: list[tuple[np.ndarray, np.ndarray]] = []
+            total = 0
+            for i, block in blocks(texts, 1 << 19):
+                p = Paragraphs(block, cutter)
+                if len(p.doc):
+                    name = p.names()
+                    for col, v in zip(cols, (ids[i + p.doc], p.first, p.last, name[:, 0], name[:, 1])):
+                        col.append(v)
+                    keys = np.zeros((len(p.doc), bands), np.uint64)
+                    long = np.flatnonzero(p.words >= WIDTH)  # the set of fewer words is their sequence: equal or disjoint
+                    if len(long):
+                        keys[long] = p.band_keys(long, cutter, signer)
+                    seen.append((keys, p.words >= WIDTH))
+                    total += len(p.doc)
+            if not total:
+                continue
+            doc, first, last, one, two = map(np.concatenate, cols)
+            keys, long = (np.concatenate(x) for x in zip(*seen))
+            order = np.lexsort((doc, two, one))
+            new = _firsts([one[order], two[order]])
+            held = order[np.flatnonzero(new)]
+            repeats = order[doc[order] > doc[held][np.cumsum(new) - 1]]
+            out = known_rows(doc[repeats], first[repeats], last[repeats], n)
+            held = held[np.argsort(doc[held], kind="stable")]  # neighbours compress
+            for part, at in _route((one[held] % np.uint64(n)).astype(np.int64), n):
+                at = held[at]
+                out.append((NAME, part, _pack(one[at].view(np.int64), two[at].view(np.int64), doc[at])))
+            held = held[long[held]]
+            key, row = keys[held].ravel(), np.repeat(held, bands)
+            for part, at in _route(((key >> np.uint64(8 * KEEP)) % np.uint64(n)).astype(np.int64), n):
+                out.append((ANCHOR, part, _pack(key[at] & _LOW, one[row[at]] & _LOW, doc[row[at]])))
+            if out:
+                yield _batch(out)
+
+    return docs.mapInArrow(run, BLOCKS)
+
+
+def answers(found: DataFrame, n: int) -> DataFrame:
+    """What is known of digests and band keys that documents share: (mark, verdict) for the documents' homes."""
+
+    def run(t: pa.Table) -> pa.Table:
+        kind = t["kind"][0].as_py() if t.num_rows else KNOWN
+        if kind == KNOWN:
+            return t
+        if kind == NAME:
+            one, two, doc = _gather(t["block"], np.int64, np.int64, np.int64)
+            order = np.lexsort((doc, two, one))
+            one, two, doc = one[order].view(np.uint64), two[order].view(np.uint64), doc[order]
+            new = _firsts([one, two])
+            say = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            mark, doc, verdict = _mark(doc[say], one[say] ^ mix64(two[say])), doc[say], REPEATS
+        else:
+            key, name, doc = _gather(t["block"], np.uint64, np.uint64, np.int64)
+            order = np.lexsort((doc, name, key))
+            key, name, doc = key[order], name[order], doc[order]
+            start = np.flatnonzero(_firsts([key]))
+            least = _firsts([key, name])
+            several = np.add.reduceat(least.astype(np.int64), start) > 1
+            several &= np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+            say = least & np.repeat(several, np.diff(np.append(start, len(key))))
+            mark, at = np.unique(_mark(doc[say], name[say]), return_index=True)
+            doc, verdict = doc[say][at], OPEN
+        return _table([(ANSWER, p, _pack(mark[at].view(np.int64), np.full(len(at), verdict, np.uint8))) for p, at in _route(_home(doc, n), n)])
+
+    return found.groupBy("kind", "part").applyInArrow(run, BLOCKS)
+
+
+def colliding(texts: DataFrame, said: DataFrame) -> DataFrame:
     """Per home: ranges of paragraphs known to repeat, and the paragraphs that share a band with different ones."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        marks, verdict = _gather(right["block"], np.int64, np.uint8)
-        marks = marks.view(np.uint64)
-        order = np.argsort(marks, kind="stable")
-        marks, verdict = marks[order], verdict[order]
-        cutter, signer = _tools(bands, rows)
+        mark, verdict = _gather(_of_kind(right, ANSWER), np.int64, np.uint8)
+        marks = [np.unique(mark[verdict == v].view(np.uint64)) for v in (REPEATS, OPEN)]
+        known = [tuple(_gather(_of_kind(right, KNOWN), np.int64, np.int64, np.int64))]
         out: list[tuple[int, int, bytes]] = []
-        for ids, own in _texts(left["block"]) if len(marks) else ():
+        cutter = Shingler(WIDTH)
+        part = (left if left.num_rows else right)["part"][0].as_py()
+        for ids, own in _texts(left["block"]) if len(mark) else ():
             for i, block in blocks(own, 1 << 19):
-                r = Bands(block, cutter, signer)
-                if not len(r.doc):
+                p = Paragraphs(block, cutter)
+                if not len(p.doc):
                     continue
-                m = _mark(ids[i + r.doc], r.key, r.span, r.more)
-                at = np.minimum(np.searchsorted(marks, m), len(marks) - 1)
-                what = np.where(marks[at] == m, verdict[at], 255)
-                n = len(r.p.doc)
-                repeats, opened = np.zeros(n, bool), np.zeros(n, bool)
-                repeats[r.paragraph[what == 0]] = True
-                opened[r.paragraph[(what != 0) & (what != 255)]] = True
-                opened &= ~repeats
-                for kind, these in ((ANSWER, np.flatnonzero(repeats)), (SPANS, np.flatnonzero(opened))):
-                    if len(these):
-                        d, a, b = ids[i + r.p.doc[these]], r.p.first[these], r.p.last[these]
-                        body = b"".join(block[t][x:y] for t, x, y in zip(r.p.doc[these].tolist(), a.tolist(), b.tolist())) if kind == SPANS else b""
-                        out.append((kind, left["part"][0].as_py(), _pack(d, a, b) + body))
+                d, name = ids[i + p.doc], p.names()
+                repeats = np.isin(_mark(d, name[:, 0] ^ mix64(name[:, 1])), marks[REPEATS])
+                opened = np.flatnonzero(~repeats & np.isin(_mark(d, name[:, 0] & _LOW), marks[OPEN]))
+                known.append((d[repeats], p.first[repeats], p.last[repeats]))
+                if len(opened):
+                    a, b = p.first[opened], p.last[opened]
+                    body = b"".join(block[t][x:y] for t, x, y in zip(p.doc[opened].tolist(), a.tolist(), b.tolist()))
+                    out.append((SPANS, part, _pack(d[opened], a, b) + body))
+        d, a, b = _joined(*(np.concatenate(x) for x in zip(*known)))
+        if len(d):
+            out.append((KNOWN, part, _pack(d, a, b)))
         return _table(out)
 
     return texts.groupBy("part").cogroup(said.groupBy("part")).applyInArrow(run, BLOCKS)
@@ -165,35 +232,32 @@ def _ranges(rows: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d, a, z = (b.column(c).to_numpy() for c in range(3))
-            got = [(ANSWER, p, _pack(d[at], a[at], z[at])) for p, at in _route(_home(d, n), n)]
+            got = known_rows(*(b.column(c).to_numpy() for c in range(3)), n)
             if got:
-                yield from _table(got).to_batches()
+                yield _batch(got)
 
     return rows.mapInArrow(run, BLOCKS)
 
 
 def dedup_paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, spans, kept)`` for every document with an id.
+    """``(doc_id, n_bytes, spans, kept)`` for every document.
 
     ``spans`` are the bytes of removed paragraphs (what stands between two neighbouring ones stays); ``kept`` is
-    what is left. Null and empty texts have no bytes and no spans. Rows that repeat an id never remove from each
-    other; ids should be unique. Rows without an id are left out. An empty table gives an empty result.
+    what is left. Null and empty texts have no bytes and no spans. Rows without an id, or with a repeated one, are
+    treated as ``suffix.each_row`` says. An empty table gives an empty result.
     """
-    given = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    lean(docs.sparkSession)
     n = parts_by_size(docs)
-    texts = homes(given, n)
-
-    def make(block: list[bytes], tools=_tools(bands, rows)) -> Bands:
-        return Bands(block, *tools)
-
-    said = answers(anchors(given, make, n), n)
-    met = cut(colliding(texts, said, bands, rows))
-    items = cut(_items(met.filter(F.col("kind") == SPANS)))
-    groups = minhash.near_components(items, minhash.Params(bands=16, rows=3, width=WIDTH))
-    gone = groups.filter(F.col("component.doc") != F.col("id.doc")).select(F.col("id.doc").alias("d"), F.col("id.start").alias("a"), F.col("id.end").alias("b"))
-    known = met.filter(F.col("kind") == ANSWER).unionByName(_ranges(gone, n))
-    return removed(texts, known, 1)
+
+    def dedup(given: DataFrame) -> DataFrame:
+        texts = homes(given, n, FLUSH)
+        met = cut(colliding(texts, answers(said_of(given, bands, rows, n), n)))
+        items = cut(_items(met.filter(F.col("kind") == SPANS)))
+        groups = minhash.near_components(items, minhash.Params(bands=16, rows=3, width=WIDTH), unique=True)
+        gone = groups.filter(F.col("component.doc") != F.col("id.doc")).select(F.col("id.doc").alias("d"), F.col("id.start").alias("a"), F.col("id.end").alias("b"))
+        return removed(texts, met.filter(F.col("kind") == KNOWN).unionByName(_ranges(gone, n)), 1)
+
+    return each_row(docs, doc_id, text, dedup)
 
 
 def paragraph_digest(docs: DataFrame) -> DataFrame:

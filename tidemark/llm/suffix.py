@@ -4,15 +4,17 @@ Every ``length``-byte string (a window) has an anchor: the leftmost of its GRAM-
 hash. Equal windows have equal anchors at equal places, so windows are compared only where anchors agree.
 Windows that follow each other and share an anchor form a run; a run's bytes are its span.
 
-1. Each task reduces its runs to one row per (anchor, span), held by the least document; the other documents
-   of the same span are already known to repeat it. Rows travel in packed blocks, not one by one.
-2. Where an anchor is shared, equal spans repeat the least document's as a whole. Anchors with several spans
-   are ``open``: they need their windows compared.
-3. Open spans are fetched from the texts and meet by anchor (by window, where an anchor has very many spans).
-   Their windows are suffix-sorted: by the first eight bytes, then by a mergesort whose comparisons find the
-   common extension by binary search over prefix polynomial hashes. Neighbours that agree for the whole length
-   are verified byte by byte. Windows above the least document of their class are repeats.
+1. Each task reduces its runs to one row per (anchor, span), held by the least document; the same span in other
+   documents of the task is compared with it byte by byte and known to repeat it. Rows travel in packed blocks.
+2. Where an anchor is shared by documents, its spans are ``open``: they are fetched from the texts (equal ones of a
+   block once, again compared by bytes) and meet by anchor, or window by window where an anchor has very many spans.
+3. What meets is suffix-sorted: by the first eight bytes, then by a mergesort whose comparisons find the common
+   extension by binary search over prefix polynomial hashes. Neighbours that agree for the whole length are
+   verified byte by byte. Whole spans are sorted first; then the windows of those that repeat no other.
+   What stands above the least document of its class is a repeat.
 4. Covered bytes are cut from the texts.
+
+No byte is removed on a hash: all that hashes do is to choose what is compared.
 """
 
 from __future__ import annotations
@@ -21,16 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts_by_size
+from .common import cut, lean, named, parts_by_size
 from .textkit import _powers, blocks, mix64
 
 GRAM = 16
-KEEP = 5  # bytes kept of an anchor's hash and of a span's first; the part that an anchor goes to is chosen by other bits
-MORE = 6  # bytes kept of a span's second hash
+KEEP = 5  # bytes kept of an anchor's hash and of a span's; the part that an anchor goes to is chosen by other bits
 FLUSH = 16 << 20  # bytes of text whose runs travel together
 LEVEL = 3  # of compression of all blocks that travel
 MANY = 4096  # spans of one anchor beyond which its windows travel by their own content
@@ -66,17 +68,19 @@ class PrefixHashes:
             hi = np.where(wide & ~same, mid - 1, hi)
 
 
-def suffix_sort(h: PrefixHashes, starts: np.ndarray, groups: np.ndarray, length: int) -> np.ndarray:
+def suffix_sort(h: PrefixHashes, starts: np.ndarray, groups: np.ndarray, length: int | np.ndarray) -> np.ndarray:
     """Order of the suffixes at ``starts``, cut at ``length`` bytes, within each group; ties keep input order.
 
-    Each suffix must have ``length`` bytes. The first eight bytes are compared as a number; what they leave
-    equal is merge-sorted, all runs of a level at once, each comparison taking a logarithmic number of hashes.
+    Each suffix must have ``length`` bytes, all of a group the same. The first eight bytes are compared as a number;
+    what they leave equal is merge-sorted, all runs of a level at once, each comparison taking a logarithmic number
+    of hashes.
     """
     n = len(starts)
     if n < 2:
         return np.arange(n)
+    length = np.broadcast_to(np.asarray(length, np.int64), n)
     first = np.zeros(n, np.uint64)
-    for k in range(min(8, length)):
+    for k in range(min(8, int(length.min()))):
         first = (first << np.uint64(8)) | h.raw[starts + k].astype(np.uint64)
     order = np.lexsort((first, groups))
     f, g = first[order], groups[order]
@@ -84,8 +88,7 @@ def suffix_sort(h: PrefixHashes, starts: np.ndarray, groups: np.ndarray, length:
     new[1:] = (f[1:] != f[:-1]) | (g[1:] != g[:-1])
     seg_start = np.flatnonzero(new)
     seg_len = np.diff(np.append(seg_start, n))
-    tied = seg_len > 1
-    if not tied.any():
+    if not (seg_len > 1).any():
         return order
     at = np.repeat(seg_start, seg_len)  # start of every place's segment
     size = np.repeat(seg_len, seg_len)
@@ -101,7 +104,7 @@ def suffix_sort(h: PrefixHashes, starts: np.ndarray, groups: np.ndarray, length:
         sib = at[p] + np.where(left, run + 1, run - 1) * width  # where the run to merge with begins
         top = at[p] + size[p]
         sib_end = np.minimum(sib + width, top)
-        own = starts[order[p]]
+        own, most = starts[order[p]], length[order[p]]
         lo, hi = np.minimum(sib, top), np.maximum(np.minimum(sib, top), sib_end)
         base = lo.copy()
         while True:  # how many of the other run come before this suffix
@@ -109,12 +112,11 @@ def suffix_sort(h: PrefixHashes, starts: np.ndarray, groups: np.ndarray, length:
             if not len(wide):
                 break
             mid = (lo[wide] + hi[wide]) >> 1
-            i, j = own[wide], starts[order[mid]]
-            ext = h.common(i, j, np.full(len(i), length))
-            equal = ext >= length
-            e = np.minimum(ext, length - 1)
+            i, j, z = own[wide], starts[order[mid]], most[wide]
+            ext = h.common(i, j, z)
+            e = np.minimum(ext, z - 1)
             less = h.raw[j + e] < h.raw[i + e]  # the other one comes first
-            go = np.where(equal, ~left[wide], less)
+            go = np.where(ext >= z, ~left[wide], less)
             lo[wide] = np.where(go, mid + 1, lo[wide])
             hi[wide] = np.where(go, hi[wide], mid)
         pair = at[p] + (run - run % 2) * width
@@ -126,35 +128,73 @@ def suffix_sort(h: PrefixHashes, starts: np.ndarray, groups: np.ndarray, length:
     return order
 
 
-def repeated_windows(h: PrefixHashes, starts: np.ndarray, groups: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
-    """Whether each window's bytes also start in a smaller document of its group."""
+def same_bytes(raw: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray, limit: int = 1 << 18) -> np.ndarray:
+    """Whether the ``size`` bytes (at least one) at i and at j are equal, about ``limit`` bytes at a time."""
+    out = np.zeros(len(i), bool)
+    total = np.cumsum(size)
+    a = 0
+    while a < len(i):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + limit, "right")))
+        z = size[a:b]
+        at = np.cumsum(z) - z
+        step = np.arange(z.sum()) - np.repeat(at, z)
+        out[a:b] = np.logical_and.reduceat(raw[np.repeat(i[a:b], z) + step] == raw[np.repeat(j[a:b], z) + step], at)
+        a = b
+    return out
+
+
+def repeated_windows(h: PrefixHashes, starts: np.ndarray, groups: np.ndarray, docs: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+    """Whether each string of ``length`` bytes also starts in a smaller document of its group."""
     n = len(starts)
     out = np.zeros(n, bool)
     if not n:
         return out
+    length = np.broadcast_to(np.asarray(length, np.int64), n)
     order = suffix_sort(h, starts, groups, length)
-    s, g = starts[order], groups[order]
+    s, g, z = starts[order], groups[order], length[order]
     new = np.ones(n, bool)
     same = np.flatnonzero(g[1:] == g[:-1])
     if len(same):
-        ext = h.common(s[same], s[same + 1], np.full(len(same), length))
-        same = same[ext >= length]
-        step = np.arange(length)
-        for k in range(0, len(same), 1 << 16):  # hashes may collide: bytes decide
-            part = same[k : k + (1 << 16)]
-            equal = (h.raw[s[part][:, None] + step] == h.raw[s[part + 1][:, None] + step]).all(axis=1)
-            new[part[equal] + 1] = False
+        same = same[h.common(s[same], s[same + 1], z[same]) >= z[same]]
+        # hashes may collide: bytes decide
+        new[same[same_bytes(h.raw, s[same], s[same + 1], z[same])] + 1] = False
     seg = np.cumsum(new) - 1
     least = np.minimum.reduceat(docs[order], np.flatnonzero(new))
     out[order] = docs[order] > least[seg]
     return out
 
 
+def equal_spans(raw: np.ndarray, at: np.ndarray, size: np.ndarray, names: list[np.ndarray], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(repeats, rest): rows whose bytes are those of the first row of the same names in a smaller document, and
+    rows to go on with: first rows, and rows whose names agree by chance. The rest of a first row's document go with it."""
+    order = np.lexsort((docs, *names))
+    first = _firsts([x[order] for x in names])
+    holder = order[np.flatnonzero(first)][np.cumsum(first) - 1]
+    later = np.flatnonzero(~first)
+    row, held = order[later], holder[later]
+    equal = size[row] == size[held]
+    equal[equal] = same_bytes(raw, at[row[equal]], at[held[equal]], size[row[equal]])
+    own = docs[row] == docs[held]
+    return row[equal & ~own], np.concatenate((order[first], row[~equal]))
+
+
+def _joined(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of one document that touch or overlap, as one."""
+    o = np.lexsort((a, d))
+    d, a, b = d[o], a[o], b[o]
+    new = np.ones(len(d), bool)
+    if len(d):
+        new[1:] = (d[1:] != d[:-1]) | (a[1:] > b[:-1])
+    s = np.flatnonzero(new)
+    last = np.append(s, len(d))[1:] - 1
+    return d[s], a[s], np.maximum.reduceat(b, s) if len(s) else b[last]
+
+
 class Runs:
     """The runs of windows of a block of texts: parallel arrays over runs.
 
-    ``doc``: index of the text; ``first``: start of the first window in its text; ``count``: windows; ``key``:
-    hash of the anchor; ``span`` and ``more``: two hashes of the span, of its bytes and of its mixed grams.
+    ``doc``: index of the text; ``first``: start of the first window in its text, ``at``: in the block; ``count``:
+    windows; ``key``: hash of the anchor; ``span``: hash of the span.
     """
 
     def __init__(self, texts: list[bytes], length: int):
@@ -164,8 +204,8 @@ class Runs:
         self.raw, self.begin = raw, begin
         n, w = len(raw), length - GRAM + 1
         if n < length:
-            self.doc = self.first = self.count = np.zeros(0, np.int64)
-            self.key = self.span = self.more = self.place = np.zeros(0, np.uint64)
+            self.doc = self.first = self.at = self.count = np.zeros(0, np.int64)
+            self.key = self.span = self.place = np.zeros(0, np.uint64)
             return
         self.hashes = PrefixHashes(raw)
         g = raw.astype(np.uint64) + np.uint64(1)
@@ -204,8 +244,6 @@ class Runs:
         self.key = g[anchor] & low
         self.place = g[anchor] >> np.uint64(8 * KEEP)
         self.span = mix64(self.hashes.of(first, last + length) + self.count.astype(np.uint64)) & low
-        grams = np.concatenate(([np.uint64(0)], np.cumsum(g * self.hashes.up[: len(g)])))
-        self.more = mix64((grams[last + w] - grams[first]) * self.hashes.down[first]) >> np.uint64(64 - 8 * MORE)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -216,14 +254,9 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def _narrow(more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """MORE bytes of a span's second hash as two columns of a block."""
-    return more.astype(np.uint32), (more >> np.uint64(32)).astype(np.uint16)
-
-
-def _mark(doc: np.ndarray, key: np.ndarray, span: np.ndarray, more: np.ndarray) -> np.ndarray:
+def _mark(doc: np.ndarray, key: np.ndarray, span: np.ndarray) -> np.ndarray:
     """The 64-bit name by which a document's span finds its answer at the document's home."""
-    return mix64(mix64(mix64(doc.view(np.uint64)) + key * np.uint64(0x9E3779B97F4A7C15) + mix64(span)) + more)
+    return mix64(mix64(mix64(doc.view(np.uint64)) + key * np.uint64(0x9E3779B97F4A7C15)) + span)
 
 
 def _squeezed(block: bytes) -> bytes:
@@ -267,8 +300,8 @@ def _home(docs: np.ndarray, n: int) -> np.ndarray:
     return (mix64(docs.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
-def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """(ids, texts) of about FLUSH bytes each."""
+def _by_text(batches: Iterator[pa.RecordBatch], flush: int = FLUSH) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(ids, texts) of about ``flush`` bytes each."""
     ids: list = []
     texts: list[bytes] = []
     size = 0
@@ -277,7 +310,7 @@ def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, li
             ids.append(i)
             texts.append(t or b"")
             size += len(texts[-1]) + 64
-            if size >= FLUSH:
+            if size >= flush:
                 yield np.array(ids, np.int64), texts
                 ids, texts, size = [], [], 0
     if ids:
@@ -286,8 +319,8 @@ def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, li
 
 BLOCKS = "kind int, part int, block binary"
 _NAMES = ["kind", "part", "block"]
-ANCHOR, ANSWER, TEXT, SPANS = 0, 1, 2, 3
-WHOLE, OPEN, SPREAD = 0, 1, 2
+ANCHOR, ANSWER, TEXT, SPANS, KNOWN = 0, 1, 2, 3, 4
+OPEN, SPREAD = 1, 2
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -305,36 +338,32 @@ def _firsts(sorted_cols: list[np.ndarray]) -> np.ndarray:
     return new
 
 
-def anchors(docs: DataFrame, make, n: int) -> DataFrame:
-    """Blocks of (anchor, span, more, least document) and of answers already known inside a task; squeezed.
+def known_rows(d: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
+    """Blocks of known ranges for the documents' homes."""
+    d, a, b = _joined(d, a, b)
+    return [(KNOWN, p, _pack(d[at], a[at], b[at])) for p, at in _route(_home(d, n), n)]
+
 
-    ``make`` gives a block of texts' parallel arrays doc, key, place, span and more (see ``Runs``)."""
+def anchors(docs: DataFrame, length: int, n: int) -> DataFrame:
+    """Blocks of (anchor, span, least document), and of ranges known to repeat a smaller document of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _by_text(batches):
-            keys, spans, mores, owners, places = [], [], [], [], []
+            cols: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+            base = 0
             for i, block in blocks(texts, 1 << 19):
-                r = make(block)
-                keys.append(r.key)
-                spans.append(r.span)
-                mores.append(r.more)
-                owners.append(ids[i + r.doc])
-                places.append(r.place % np.uint64(n))
-            key, span, more, doc, place = map(np.concatenate, (keys, spans, mores, owners, places))
-            order = np.lexsort((doc, more, span, key, place))
-            key, span, more, doc, place = (x[order] for x in (key, span, more, doc, place))
-            once = _firsts([place, key, span, more, doc])
-            key, span, more, doc, place = (x[once] for x in (key, span, more, doc, place))
-            least = _firsts([place, key, span, more])
-            rows = []
-            by_doc = np.argsort(doc[least], kind="stable")  # neighbours compress
-            k, s, m, d = (x[least][by_doc] for x in (key, span, more, doc))
-            for p, at in _route(place[least][by_doc].astype(np.int64), n):
-                rows.append((ANCHOR, p, _pack(k[at], s[at], *_narrow(m[at]), d[at])))
-            by_doc = np.argsort(doc[~least], kind="stable")
-            k, s, m, d = (x[~least][by_doc] for x in (key, span, more, doc))
-            for p, at in _route(_home(d, n), n):
-                rows.append((ANSWER, p, _pack(_mark(d[at], k[at], s[at], m[at]).view(np.int64), np.zeros(len(at), np.uint8))))
+                r = Runs(block, length)
+                for col, v in zip(cols, (r.place % np.uint64(n), r.key, r.span, ids[i + r.doc], r.first, base + r.at, r.count)):
+                    col.append(v)
+                base += sum(map(len, block))
+            place, key, span, doc, first, at, count = map(np.concatenate, cols)
+            raw = np.frombuffer(b"".join(texts), np.uint8)
+            repeats, rest = equal_spans(raw, at, count + length - 1, [span, key], doc)
+            rows = known_rows(doc[repeats], first[repeats], first[repeats] + count[repeats], n)
+            rest = rest[np.argsort(doc[rest], kind="stable")]  # neighbours compress
+            for p, of in _route(place[rest].astype(np.int64), n):
+                of = rest[of]
+                rows.append((ANCHOR, p, _pack(key[of], span[of], doc[of])))
             if rows:
                 yield _batch(rows)
 
@@ -342,45 +371,32 @@ def anchors(docs: DataFrame, make, n: int) -> DataFrame:
 
 
 def answers(found: DataFrame, n: int) -> DataFrame:
-    """What is known of shared anchors: blocks of (mark, verdict) for the documents' homes."""
+    """What is known of anchors that several documents share: blocks of (mark, verdict) for the documents' homes."""
 
     def run(t: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return _table([])
-        if t["kind"][0].as_py() == ANSWER:
-            return t  # known already, and squeezed
-        key, span, low, high, doc = _gather(t["block"], np.uint64, np.uint64, np.uint32, np.uint16, np.int64)
-        more = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-        order = np.argsort(key, kind="stable")
-        new = _firsts([key[order]])
-        size = np.diff(np.append(np.flatnonzero(new), len(key)))
-        order = order[np.repeat(size > 1, size)]
-        key, span, more, doc = key[order], span[order], more[order], doc[order]
-        order = np.lexsort((doc, more, span, key))
-        key, span, more, doc = key[order], span[order], more[order], doc[order]
-        if not len(key):
-            return _table([])
-        least = _firsts([key, span, more])
-        verdict = np.zeros(len(key), np.uint8)
+        if not t.num_rows or t["kind"][0].as_py() == KNOWN:
+            return t
+        key, span, doc = _gather(t["block"], np.uint64, np.uint64, np.int64)
+        order = np.lexsort((span, key))
+        key, span, doc = key[order], span[order], doc[order]
         start = np.flatnonzero(_firsts([key]))
         size = np.diff(np.append(start, len(key)))
-        kinds = np.add.reduceat(least.astype(np.int64), start)
+        kinds = np.add.reduceat(_firsts([key, span]).astype(np.int64), start)
         mixed = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
-        state = np.where(mixed & (kinds > 1), np.where(kinds > MANY, SPREAD, OPEN), 255).astype(np.uint8)
-        verdict[least] = np.repeat(state, size)[least]
+        verdict = np.repeat(np.where(mixed, np.where(kinds > MANY, SPREAD, OPEN), 255).astype(np.uint8), size)
         say = np.flatnonzero(verdict != 255)
         say = say[np.argsort(doc[say], kind="stable")]
-        mark, doc, verdict = _mark(doc[say], key[say], span[say], more[say]).view(np.int64), doc[say], verdict[say]
+        mark, doc, verdict = _mark(doc[say], key[say], span[say]).view(np.int64), doc[say], verdict[say]
         return _table([(ANSWER, p, _pack(mark[at], verdict[at])) for p, at in _route(_home(doc, n), n)])
 
     return found.groupBy("kind", "part").applyInArrow(run, BLOCKS)
 
 
-def homes(docs: DataFrame, n: int) -> DataFrame:
+def homes(docs: DataFrame, n: int, flush: int = FLUSH) -> DataFrame:
     """The texts themselves, in compressed blocks for their homes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _by_text(batches):
+        for ids, texts in _by_text(batches, flush):
             rows = []
             for p, at in _route(_home(ids, n), n):
                 own = [texts[i] for i in at]
@@ -404,74 +420,68 @@ def _texts(column) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         yield ids, own
 
 
+def _of_kind(t: pa.Table, kind: int):
+    return t.filter(pc.equal(t["kind"], kind))["block"]
+
+
+def _bytes_of(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of ranges, one after the other."""
+    return raw[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
 def open_spans(texts: DataFrame, said: DataFrame, length: int, n: int) -> DataFrame:
     """Per home: ranges of window starts known to repeat, and the spans that must be compared."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        mark, verdict = _gather(right["block"], np.int64, np.uint8)
+        mark, verdict = _gather(_of_kind(right, ANSWER), np.int64, np.uint8)
         mark = mark.view(np.uint64)
         order = np.argsort(mark, kind="stable")
         mark, verdict = mark[order], verdict[order]
+        known = [tuple(_gather(_of_kind(right, KNOWN), np.int64, np.int64, np.int64))]
         rows: list[tuple[int, int, bytes]] = []
-        whole: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        sent: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        sent: list[tuple[np.ndarray, ...]] = []
         for ids, own in _texts(left["block"]) if len(mark) else ():
             for i, block in blocks(own, 1 << 19):
                 r = Runs(block, length)
                 d = ids[i + r.doc]
-                m = _mark(d, r.key, r.span, r.more)
+                m = _mark(d, r.key, r.span)
                 at = np.minimum(np.searchsorted(mark, m), len(mark) - 1)
                 what = np.where(mark[at] == m, verdict[at], 255)
-                hit = what == WHOLE
-                whole.append((d[hit], r.first[hit], r.first[hit] + r.count[hit]))
                 for state in (OPEN, SPREAD):
                     q = np.flatnonzero(what == state)
                     if not len(q):
                         continue
-                    first, at_byte, count, k, dd = r.first[q], r.at[q], r.count[q], r.key[q], d[q]
+                    first, at_byte, count, k, name, dd = r.first[q], r.at[q], r.count[q], r.key[q], r.span[q], d[q]
                     if state == SPREAD:  # each window goes by its own content
                         rep = np.repeat(np.arange(len(q)), count)
                         shift = np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)
                         first, at_byte, dd = first[rep] + shift, at_byte[rep] + shift, dd[rep]
-                        k = mix64(r.hashes.of(at_byte, at_byte + length)) & np.uint64((1 << 8 * KEEP) - 1)
+                        name = r.hashes.of(at_byte, at_byte + length)
+                        k = mix64(name) & np.uint64((1 << 8 * KEEP) - 1)
                         count = np.ones(len(rep), np.int64)
-                        # of equal windows of this block only the least document's travel
-                        o = np.lexsort((dd, k))
-                        least = _firsts([k[o]])
-                        holder = o[np.flatnonzero(least)][np.cumsum(least) - 1]
-                        more = dd[o] > dd[holder]
-                        window = np.lib.stride_tricks.sliding_window_view(r.raw, length)
-                        later = np.flatnonzero(more)
-                        for c in range(0, len(later), 1 << 16):  # hashes may collide: bytes decide, and unequal windows travel on
-                            part = later[c : c + (1 << 16)]
-                            more[part] = (window[at_byte[o[part]]] == window[at_byte[holder[part]]]).all(axis=1)
-                        whole.append((dd[o][more], first[o][more], first[o][more] + 1))
-                        o = o[~more]
-                        sent.append((k[o], dd[o], first[o], count[o], window[at_byte[o]].ravel()))
-                        continue
-                    size = count + length - 1
-                    byte = np.repeat(at_byte - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    sent.append((k, dd, first, count, r.raw[byte]))
+                    repeats, _ = equal_spans(r.raw, at_byte, count + length - 1, [name, k], dd)
+                    known.append((dd[repeats], first[repeats], first[repeats] + count[repeats]))
+                    go = np.ones(len(dd), bool)
+                    go[repeats] = False
+                    k, dd, first, count, at_byte = (x[go] for x in (k, dd, first, count, at_byte))
+                    sent.append((k, dd, first, count, _bytes_of(r.raw, at_byte, count + length - 1)))
         if sent:
-            k, d, f, c = (np.concatenate([x[j] for x in sent]) for j in range(4))
-            raw = np.concatenate([x[4] for x in sent])
+            k, d, f, c, raw = (np.concatenate(x) for x in zip(*sent))
             size = c + length - 1
             start = np.cumsum(size) - size
             for p, at in _route((k % np.uint64(n)).astype(np.int64), n):
-                z = size[at]
-                byte = np.repeat(start[at] - (np.cumsum(z) - z), z) + np.arange(z.sum())
-                rows.append((SPANS, p, _pack(k[at], d[at], f[at], c[at]) + raw[byte].tobytes()))
-        if whole:
-            d, a, b = (np.concatenate([x[j] for x in whole]) for j in range(3))
-            if len(d):
-                rows.append((ANSWER, left["part"][0].as_py(), _pack(d, a, b)))
+                rows.append((SPANS, p, _pack(k[at], d[at], f[at], c[at]) + _bytes_of(raw, start[at], size[at]).tobytes()))
+        d, a, b = _joined(*(np.concatenate(x) for x in zip(*known)))
+        if len(d):
+            rows.append((KNOWN, (left if left.num_rows else right)["part"][0].as_py(), _pack(d, a, b)))
         return _table(rows)
 
     return texts.groupBy("part").cogroup(said.groupBy("part")).applyInArrow(run, BLOCKS)
 
 
 def compared(spans: DataFrame, length: int, n: int) -> DataFrame:
-    """Suffix-sort the windows of spans that share an anchor: ranges of repeated window starts, for the homes."""
+    """Suffix-sort the spans that share an anchor, then the windows of those that repeat no other: ranges of
+    repeated window starts, for the homes."""
 
     def run(t: pa.Table) -> pa.Table:
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -485,36 +495,31 @@ def compared(spans: DataFrame, length: int, n: int) -> DataFrame:
         group = np.unique(k, return_inverse=True)[1]
         order = np.lexsort((d, group))
         ends = np.append(np.flatnonzero(_firsts([group[order]])), len(order))
+        weight = np.concatenate(([0], np.cumsum(size[order])))[ends]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         i = 0
         while i < len(ends) - 1:  # whole groups, about half a megabyte at once
-            j = i + 1
-            while j < len(ends) - 1 and size[order[ends[i] : ends[j + 1]]].sum() < 1 << 19:
-                j += 1
+            j = max(i + 1, int(np.searchsorted(weight, weight[i] + (1 << 19), "right")) - 1)
             rows = order[ends[i] : ends[j]]
+            i = j
             z = size[rows]
             at = np.cumsum(z) - z
-            h = PrefixHashes(raw[np.repeat(start[rows] - at, z) + np.arange(z.sum())])
+            h = PrefixHashes(_bytes_of(raw, start[rows], z))
+            gone = repeated_windows(h, at, group[rows] * (2 * length) + z, d[rows], z)
+            out.append((d[rows[gone]], f[rows[gone]], f[rows[gone]] + c[rows[gone]]))
+            g = group[rows] - group[rows[0]]
+            left = np.bincount(g[~gone])  # spans of a group; one alone has nothing to repeat
+            go = ~gone
+            go[go] = left[g[go]] > 1
+            rows, at = rows[go], at[go]
             cnt = c[rows]
             rep = np.repeat(np.arange(len(rows)), cnt)
             shift = np.arange(len(rep)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
             hit = repeated_windows(h, at[rep] + shift, group[rows][rep], d[rows][rep], length)
             w = (f[rows][rep] + shift)[hit]
             out.append((d[rows][rep][hit], w, w + 1))
-            i = j
-        if not out:
-            return _table([])
-        dd, a, b = (np.concatenate([x[q] for x in out]) for q in range(3))
-        # neighbouring windows of one document become one range
-        o = np.lexsort((a, dd))
-        dd, a, b = dd[o], a[o], b[o]
-        new = np.ones(len(dd), bool)
-        if len(dd):
-            new[1:] = (dd[1:] != dd[:-1]) | (a[1:] > b[:-1])
-        s = np.flatnonzero(new)
-        last = np.append(s, len(dd))[1:] - 1
-        dd, a, b = dd[s], a[s], b[last]
-        return _table([(ANSWER, p, _pack(dd[at], a[at], b[at])) for p, at in _route(_home(dd, n), n)])
+        d, a, b = (np.concatenate(x) for x in zip(*out))
+        return _table(known_rows(d, a, b, n))
 
     return spans.groupBy("part").applyInArrow(run, BLOCKS)
 
@@ -549,23 +554,46 @@ def removed(texts: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
     return texts.groupBy("part").cogroup(ranges.groupBy("part")).applyInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
+def each_row(docs: DataFrame, doc_id: str, text: str, dedup) -> DataFrame:
+    """``dedup`` of the documents (one row an id, no nulls) as one row for every row of ``docs``.
+
+    Rows without an id are left whole. Of rows that share an id the one of the least text takes part; rows equal to
+    it share its result, others are left whole.
+    """
+    given = docs.select(named(doc_id).cast("long").alias("doc_id"), F.coalesce(named(text), F.lit("")).alias("text"))
+    odd = cut(given.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | F.col("doc_id").isNull()).select("doc_id"))
+    if odd.isEmpty():
+        return dedup(given)
+    of_odd = given.filter(F.col("doc_id").isNotNull()).join(odd, "doc_id", "left_semi")
+    once = given.filter(F.col("doc_id").isNotNull()).join(odd, "doc_id", "left_anti")
+    held = of_odd.groupBy("doc_id").agg(F.min("text").alias("text"))
+    out = cut(dedup(once.unionByName(held)))
+    again = of_odd.unionByName(given.filter(F.col("doc_id").isNull())).withColumnRenamed("doc_id", "_id")
+    known = out.join(held.withColumnRenamed("text", "_text"), "doc_id")
+    whole = {"n_bytes": F.octet_length("text").cast("long"), "spans": F.array().cast(out.schema["spans"].dataType), "kept": F.encode("text", "UTF-8")}
+    again = again.join(known, (F.col("_id") == F.col("doc_id")) & (F.col("text") == F.col("_text")), "left").select(F.col("_id").alias("doc_id"), *[F.coalesce(c, w).alias(c) for c, w in whole.items()])
+    return out.join(odd, "doc_id", "left_anti").unionByName(again)
+
+
 def dedup_substrings(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, spans, kept)`` for every document with an id.
+    """``(doc_id, n_bytes, spans, kept)`` for every document.
 
     ``spans`` are the maximal runs of bytes covered by a ``length``-byte string that also starts in a document
     with a smaller id; ``kept`` is what is left, joined. Null and empty texts have no bytes and no spans. Rows
-    that repeat an id never remove from each other; as answers go to ids, two different texts of one id share
-    theirs, so ids should be unique. Rows without an id are left out. An empty table gives an empty result.
+    without an id, or with a repeated one, are treated as ``each_row`` says. An empty table gives an empty result.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    given = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    lean(docs.sparkSession)
     n = parts_by_size(docs)
-    texts = homes(given, n)
-    said = answers(anchors(given, lambda block: Runs(block, length), n), n)
-    first = cut(open_spans(texts, said, length, n))
-    known = first.filter(F.col("kind") == ANSWER).unionByName(compared(first.filter(F.col("kind") == SPANS), length, n))
-    return removed(texts, known, length)
+
+    def dedup(given: DataFrame) -> DataFrame:
+        texts = homes(given, n)
+        first = cut(open_spans(texts, answers(anchors(given, length, n), n), length, n))
+        known = first.filter(F.col("kind") == KNOWN).unionByName(compared(first.filter(F.col("kind") == SPANS), length, n))
+        return removed(texts, known, length)
+
+    return each_row(docs, doc_id, text, dedup)
 
 
 def removal_digest(docs: DataFrame, length: int = 50) -> DataFrame:
