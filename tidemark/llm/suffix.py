@@ -34,7 +34,7 @@ from .textkit import _powers, blocks, mix64
 GRAM = 16
 KEEP = 5  # bytes kept of an anchor's hash and of a span's; the part that an anchor goes to is chosen by other bits
 FLUSH = 16 << 20  # bytes of text whose runs travel together
-LEVEL = 3  # of compression of all blocks that travel
+LEVEL = 6  # of compression of all blocks that travel
 MANY = 4096  # spans of one anchor beyond which its windows travel by their own content
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -481,9 +481,11 @@ def open_spans(texts: DataFrame, said: DataFrame, length: int, n: int) -> DataFr
 
 def compared(spans: DataFrame, length: int, n: int) -> DataFrame:
     """Suffix-sort the spans that share an anchor, then the windows of those that repeat no other: ranges of
-    repeated window starts, for the homes."""
+    repeated window starts, for the homes. Ranges that are known already pass."""
 
     def run(t: pa.Table) -> pa.Table:
+        if not t.num_rows or t["kind"][0].as_py() == KNOWN:
+            return t
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
         for block in map(_whole, t["block"].to_pylist()):
             k, d, f, c = _unpack(block, np.uint64, np.int64, np.int64, np.int64)
@@ -521,7 +523,7 @@ def compared(spans: DataFrame, length: int, n: int) -> DataFrame:
         d, a, b = (np.concatenate(x) for x in zip(*out))
         return _table(known_rows(d, a, b, n))
 
-    return spans.groupBy("part").applyInArrow(run, BLOCKS)
+    return spans.groupBy("kind", "part").applyInArrow(run, BLOCKS)
 
 
 def removed(texts: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
@@ -589,9 +591,8 @@ def dedup_substrings(docs: DataFrame, length: int = 50, doc_id: str = "doc_id",
 
     def dedup(given: DataFrame) -> DataFrame:
         texts = homes(given, n)
-        first = cut(open_spans(texts, answers(anchors(given, length, n), n), length, n))
-        known = first.filter(F.col("kind") == KNOWN).unionByName(compared(first.filter(F.col("kind") == SPANS), length, n))
-        return removed(texts, known, length)
+        # one plan from end to end: the shuffled texts serve both steps that read them, and spans are written once
+        return removed(texts, compared(open_spans(texts, answers(anchors(given, length, n), n), length, n), length, n), length)
 
     return each_row(docs, doc_id, text, dedup)
 
