@@ -1,11 +1,10 @@
 """Substring dedup by paragraphs: MinHash banding, exact confirmation, removal by components.
 
-A text's paragraphs end at blank lines. They take part whole, however short, and long ones besides in pieces: lines of
-at least RADIUS words are cut off from what surrounds them, and lines are cut before each word whose hash is less than
-those of the RADIUS words before it and no more than those of the RADIUS words after it. Such a cut depends on the words
-and lines around it alone, so a passage that repeats inside longer paragraphs falls into the same pieces wherever it
-stands; a run of the same words has no cut. Shorter lines between long ones take part with their paragraph only: a few
-words recur by chance. Pieces and whole paragraphs are both called paragraphs below.
+A text's paragraphs end at blank lines. They take part whole, however short, and long ones besides in pieces, cut
+before each word whose hash is less than those of the RADIUS words before it and no more than those of the RADIUS words
+after it. Such a cut depends on the words around it alone, so a passage that repeats inside longer paragraphs falls into
+the same pieces wherever it stands; a run of the same words has no cut, and no piece is shorter than RADIUS words.
+Pieces and whole paragraphs are both called paragraphs below.
 
 1. Each task names its paragraphs by a 128-bit BLAKE2b digest of their words. The same words in a larger document of
    the task repeat those of the least. For others one row goes out for the digest and one for each band of minima.
@@ -58,21 +57,13 @@ class Paragraphs:
             return
         raw = np.frombuffer(b" ".join(texts), np.uint8)
         ends = np.flatnonzero(raw == 10)
-        blank = ends[1:][np.diff(ends) == 1]
-        para, line = (np.searchsorted(e, cutter.start) for e in (blank, ends))
-        changes = lambda of: np.append(True, of[1:] != of[:-1])
-        text = changes(doc_of)
-        fresh = text | changes(para)
-        starts = np.flatnonzero(fresh | changes(line))
-        length = np.diff(np.append(starts, n))
-        long = length >= RADIUS
-        apart = long.copy()  # a line boundary is a cut if the line on either side is long
-        apart[1:] |= long[:-1]
+        para = np.searchsorted(ends[1:][np.diff(ends) == 1], cutter.start)
+        fresh = np.ones(n, bool)
+        fresh[1:] = (doc_of[1:] != doc_of[:-1]) | (para[1:] != para[:-1])
         new = fresh.copy()
-        new[starts[apart]] = True
-        at = np.flatnonzero(new)
-        length = np.diff(np.append(at, n))
-        place = np.arange(n) - np.repeat(at, length)
+        whole = np.flatnonzero(fresh)
+        length = np.diff(np.append(whole, n))
+        place = np.arange(n) - np.repeat(whole, length)
         inside = np.flatnonzero((place >= RADIUS) & (np.repeat(length, length) - 1 - place >= RADIUS))
         low, have = hashes, 1  # low[i]: the least of RADIUS words from i on
         while have < RADIUS:
@@ -81,13 +72,10 @@ class Paragraphs:
             have += s
         if len(inside):
             new[inside] = (hashes[inside] < low[inside - RADIUS]) & (hashes[inside] <= low[inside + 1])
-        whole = np.flatnonzero(fresh)
-        length = np.diff(np.append(whole, n))
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, n))
         divided = np.diff(np.append(np.searchsorted(at, whole), len(at))) > 1  # of one piece: it stands there already
-        keep = (size >= RADIUS) | np.isin(at, whole[~divided])
-        self.word, self.words = np.append(at[keep], whole[divided]), np.append(size[keep], length[divided])
+        self.word, self.words = np.append(at, whole[divided]), np.append(size, length[divided])
         self.doc = doc_of[self.word]
         self.first = cutter.start[self.word] - begin[self.doc]
         self.last = cutter.end[self.word + self.words - 1] - begin[self.doc]
