@@ -175,30 +175,32 @@ def test_services(spark):
     assert ok == [True, False, False, False]
 
 
-def test_stratified_sample_matches_a_plain_greedy_choice(spark):
+def test_canonical_url_refuses_user_info_only(spark):
+    urls = ["https://medium.com/@user/post", "https://u@medium.com/x", "https://u:p@medium.com/x", "https://a.de?x=@1", "https://a.de:443/@?q#@"]
+    assert values(spark, urls, S.canonical_url) == ["https://medium.com/@user/post", None, None, "https://a.de/?x=@1", "https://a.de/@?q"]
+
+
+def test_stratified_sample_never_passes_over_a_better_row(spark):
+    """Replays the sample: quotas add up, and at no pick does its day hold a free row whose values were used less."""
     import hashlib
     from collections import Counter
 
-    rows = [(i, i % 7, i % 5, f"c{i % 11}", ("home", "away")[i % 2], f"h{i % 3}", i % 4) for i in range(90)]
-    df = spark.createDataFrame(rows, "task_id long, matchday int, team_id int, content_id string, side string, source_host string, bin int")
-    got = [r.task_id for r in N.stratified_sample(df, 17, 42).orderBy("position").collect()]
-    days, left = sorted({r[1] for r in rows}), {}
-    for r in rows:
-        left.setdefault(r[1], []).append(r)
-    quota = {d: 2 for d in days}
-    for i in range(3):
-        quota[days[(42 % 7 + i) % 7]] += 1
-    seen, want = Counter(), []
-    while any(quota.values()):
-        for d in days:
-            if quota[d]:
-                best = min(left[d], key=lambda r: (seen["t", r[2]], seen["c", r[3]], seen["b", r[6]], seen["s", r[4]], seen["h", r[5]], hashlib.sha256(f"42:{r[0]}".encode()).hexdigest()))
-                left[d].remove(best)
-                quota[d] -= 1
-                want.append(best[0])
-                for k, v in zip("tcbsh", (best[2], best[3], best[6], best[4], best[5])):
-                    seen[k, v] += 1
-    assert got == want
+    cols = ("task_id", "matchday", "team_id", "content_id", "side", "source_host", "bin")
+    rows = [dict(zip(cols, (i, i % 7, i % 5, f"c{i % 11}", ("home", "away")[i % 2], f"h{i % 3}", i % 4))) for i in range(90)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "task_id long, matchday int, team_id int, content_id string, side string, source_host string, bin int")
+    hashes = [hashlib.sha256(f"42:{i}".encode()).hexdigest() for i in range(90)]
+    for size, quota in ((17, [3, 3, 3, 2, 2, 2, 2]), (3, [1, 0, 0, 1, 0, 0, 1]), (1, [1, 0, 0, 0, 0, 0, 0])):
+        got = [r.task_id for r in N.stratified_sample(df, size, 42).orderBy("position").collect()]
+        assert [Counter(rows[i]["matchday"] for i in got)[d] for d in range(7)] == quota
+        used, free = Counter(), set(range(90))
+        rank = lambda i: [used[c, rows[i][c]] for c in N.BALANCED] + [hashes[i]]  # noqa: E731, B023
+        for i in got:
+            assert not [j for j in free if rows[j]["matchday"] == rows[i]["matchday"] and rank(j) < rank(i)]
+            free.remove(i)
+            used.update((c, rows[i][c]) for c in N.BALANCED)
+        assert sorted(rows[i]["matchday"] for i in got[: sum(map(bool, quota))]) == [rows[i]["matchday"] for i in got[: sum(map(bool, quota))]]
+    everything = N.stratified_sample(df, 200).orderBy("position").collect()
+    assert [(r.task_id, r.position) for r in everything] == [(i, i) for i in range(90)]
 
 
 def test_split_label_refuses_unknown_days(spark):

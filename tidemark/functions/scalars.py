@@ -35,7 +35,7 @@ def prefixed_sha(prefix: str, c: Column) -> Column:
     return F.concat(F.lit(prefix + ":"), F.sha2(c, 256))
 
 
-def article_id(uri: Column, url: Column, prefix: str = "registry") -> Column:
+def article_id(uri: Column, url: Column, prefix: str = "event_registry") -> Column:
     return F.coalesce(F.concat(F.lit(prefix + ":"), uri), prefixed_sha("url_sha256", url))
 
 
@@ -61,7 +61,7 @@ def homepage(c: Column) -> Column:
 def canonical_url(c: Column) -> Column:
     """Scheme and host lower-cased, default port and fragment dropped, empty path ``/``; null if not plain http(s)."""
     s = optional_text(c)
-    pattern = r"^(?i)(https?)://(\[[^\]]*\]|[^/?#:@]*)(?::([0-9]*))?([^?#@]*)(\?[^#]*)?(?:#.*)?$"
+    pattern = r"^(?i)(https?)://(\[[^\]]*\]|[^/?#:@]*)(?::([0-9]*))?(/[^?#]*)?(\?[^#]*)?(?:#.*)?$"
     scheme, port = F.lower(F.regexp_extract(s, pattern, 1)), F.regexp_extract(s, pattern, 3)
     host = F.rtrim(F.lower(F.regexp_extract(s, pattern, 2)), F.lit("."))
     path, query = F.regexp_extract(s, pattern, 4), F.regexp_extract(s, pattern, 5)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,42 +155,76 @@ def seeded_order(key: Column, seed: int) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
 
 
-def stratified_sample(tasks: DataFrame, size: int, seed: int = 42, id_col: str = "task_id", day: str = "matchday", team: str = "team_id", content: str = "content_id", side: str = "side", source: str = "source_host", length: str = "bin") -> DataFrame:
-    """A deterministic pilot, balanced over teams, contents, length bins, sides and sources day by day.
+BALANCED = ("team_id", "content_id", "bin", "side", "source_host")
+MOST_CANDIDATES = 1_000_000
 
-    The greedy choice is sequential, so it runs on the driver; what reaches it is only, for each day, the first
-    rows by seeded hash of every combination of the balanced columns - as many as the day's quota - which are the
-    only rows the choice can take.
+
+def day_quotas(days: DataFrame, size: int, seed: int, day: str) -> DataFrame:
+    """``(day, rank, quota)`` of distinct days: ``size`` picks spread over them.
+
+    With a pick or more for each day all get the same, and the remainder goes to days in a row, beginning with the
+    one at the seed's remainder and going round. With fewer picks than days they stand at even distances from the
+    first day to the last (halves to the even rank); a single one stands at the seed's remainder.
+    """
+    w = Window.partitionBy(F.lit(1))
+    ranked = days.withColumns({"rank": F.row_number().over(w.orderBy(day)) - 1, "_m": F.count(F.lit(1)).over(w)})
+    even = F.floor(F.lit(size) / F.col("_m")) + (F.pmod(F.col("rank") - seed, F.col("_m")) < F.lit(size) % F.col("_m")).cast("int")
+    spots = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.bround(i * (F.col("_m") - 1) / F.lit(max(size - 1, 1)), 0).cast("int"))
+    sparse = F.size(F.filter(spots, lambda x: x == F.col("rank"))) if size > 1 else (F.col("rank") == F.lit(seed) % F.col("_m")).cast("int")
+    return ranked.select(day, "rank", F.when(F.lit(size) >= F.col("_m"), even).otherwise(sparse).cast("int").alias("quota"))
+
+
+def _picks(rank: np.ndarray, quota: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Rows in the order of choice. Rows are sorted by hash; ``codes`` has a column for each balanced property.
+
+    The schedule takes one row for each day with quota left, day after day and round after round. A pick narrows its
+    day's free rows property by property to those whose value was used least so far; the first by hash is taken.
+    """
+    used = [np.zeros(c.max() + 1, np.int64) for c in codes.T]
+    days = {d: np.flatnonzero(rank == d) for d in np.unique(rank[quota > 0]).tolist()}
+    limit = {d: int(quota[rows[0]]) for d, rows in days.items()}
+    schedule = [d for k in range(max(limit.values(), default=0)) for d in sorted(days) if limit[d] > k and len(days[d]) > k]
+    free = np.ones(len(rank), bool)
+    taken = np.empty(len(schedule), np.int64)
+    for at, d in enumerate(schedule):
+        rows = days[d][free[days[d]]]
+        for counts, c in zip(used, codes.T):
+            seen = counts[c[rows]]
+            rows = rows[seen == seen.min()]
+        taken[at] = pick = rows[0]
+        free[pick] = False
+        for counts, c in zip(used, codes[pick]):
+            counts[c] += 1
+    return taken
+
+
+def stratified_sample(tasks: DataFrame, size: int, seed: int = 42, id_col: str = "task_id", day: str = "matchday", balanced: Sequence[str] = BALANCED) -> DataFrame:
+    """A deterministic pilot of ``size`` tasks with their ``position``, balanced over the given columns day by day.
+
+    Quotas and candidates are tables: of every combination of the balanced columns a day keeps as many rows, first by
+    seeded hash, as its quota. The choice itself is sequential and runs in one task, which refuses more than
+    MOST_CANDIDATES rows. A size of at least all tasks gives all of them, in the order of their ids; a day with fewer
+    tasks than its quota gives those it has.
     """
-    n = tasks.count()
-    if size >= n:
-        return tasks
-    days = [r[0] for r in tasks.select(day).distinct().orderBy(day).collect()]
-    quota = dict.fromkeys(days, 0)
-    if size < len(days):
-        picks = [days[seed % len(days)]] if size == 1 else [days[round(i * (len(days) - 1) / (size - 1))] for i in range(size)]
-        for d in picks:
-            quota[d] += 1
-    else:
-        base, more = divmod(size, len(days))
-        quota = {d: base for d in days} | {days[(seed % len(days) + i) % len(days)]: base + 1 for i in range(more)}
-    most = max(quota.values())
-    kinds = [team, content, length, side, source]
-    h = seeded_order(F.col(id_col), seed)
-    ranked = tasks.withColumn("_h", h).withColumn("_r", F.row_number().over(Window.partitionBy(day, *kinds).orderBy("_h"))).filter(F.col("_r") <= most)
-    by_day: dict = {d: [] for d in days}
-    for r in ranked.select(id_col, day, *kinds, "_h").toLocalIterator():
-        by_day[r[day]].append(r)
-    seen: dict[str, dict] = {k: {} for k in kinds}
-    chosen = []
-    while any(quota.values()):
-        for d in days:
-            if quota[d] > 0:
-                best = min(by_day[d], key=lambda r: (*[seen[k].get(r[k], 0) for k in kinds], r["_h"]))
-                by_day[d].remove(best)
-                quota[d] -= 1
-                chosen.append((len(chosen), best[id_col]))
-                for k in kinds:
-                    seen[k][best[k]] = seen[k].get(best[k], 0) + 1
-    order = tasks.sparkSession.createDataFrame(chosen, f"position int, {id_col} {tasks.schema[id_col].dataType.simpleString()}")
-    return tasks.join(F.broadcast(order), id_col)
+    if size < 1:
+        raise ValueError("the size must be positive")
+    if tasks.limit(size + 1).count() <= size:
+        return tasks.withColumn("position", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(id_col)) - 1).cast("int"))
+    quotas = day_quotas(tasks.select(day).distinct(), size, seed, day)
+    first = Window.partitionBy(day, *balanced).orderBy("_h")
+    rows = tasks.select(id_col, day, *balanced, seeded_order(F.col(id_col), seed).alias("_h")).join(F.broadcast(quotas), day).filter("quota > 0")
+    rows = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= F.col("quota"))
+    code = lambda c: F.xxhash64(F.col(c).cast("string")).alias(f"_c{c}")
+    rows = rows.select(F.lit(0).alias("_one"), id_col, "rank", "quota", "_h", *map(code, balanced))
+
+    def choose(t: pd.DataFrame) -> pd.DataFrame:
+        if len(t) > MOST_CANDIDATES:
+            raise ValueError(f"more than {MOST_CANDIDATES} candidates for a sequential choice")
+        t = t.sort_values("_h", kind="stable").reset_index(drop=True)
+        codes = np.stack([pd.factorize(t[f"_c{c}"])[0] for c in balanced], axis=1)
+        at = _picks(t["rank"].to_numpy(), t["quota"].to_numpy(), codes)
+        return pd.DataFrame({id_col: t[id_col].to_numpy()[at], "position": np.arange(len(at), dtype=np.int32)})
+
+    kind = tasks.schema[id_col].dataType.simpleString()
+    order = rows.groupBy("_one").applyInPandas(choose, f"{id_col} {kind}, position int")
+    return tasks.join(order, id_col)

@@ -17,7 +17,7 @@ from .registry import OBS_SQL, query
 # scalar functions -----------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, 'content_sha256:' || sha256(text) AS content_id, CASE WHEN doc_id % 3 = 0 THEN 'registry:' || doc_id ELSE 'url_sha256:' || sha256(url) END AS article_id FROM fx_art")
+@query("SELECT doc_id, 'content_sha256:' || sha256(text) AS content_id, CASE WHEN doc_id % 3 = 0 THEN 'event_registry:' || doc_id ELSE 'url_sha256:' || sha256(url) END AS article_id FROM fx_art")
 def fn_04_05_content_and_article_ids(spark, d):
     uri = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id").cast("string"))
     return view(spark, d, "fx_art").select("doc_id", S.prefixed_sha("content_sha256", F.col("text")).alias("content_id"), S.article_id(uri, F.col("url")).alias("article_id"))
