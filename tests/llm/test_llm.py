@@ -205,10 +205,68 @@ def test_op5_recall_and_odd_vectors(spark):
         assert all(abs(r.score - v[q] @ v[r.vec_id]) < 1e-9 for r in g if r.vec_id != 1)
     assert hits / (20 * len(got)) >= 0.9
     assert forest.nearest(df.limit(0)).count() == 0
+    two = forest.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [1.0, 0.0, 2.0]), (21, [0.0, 0.0, 1.0])], "vec_id long, embedding array<double>")).orderBy("query_id").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in two] == [(0, 1, 0.5), (20, 21, 2.0)]  # either dimension by itself
     few = forest.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")).orderBy("rank").collect()
     assert [r.vec_id for r in few] == [1, 2]
 
 
+def test_op5_recall_on_the_shipped_vectors(spark):
+    for size in ("sf0.001", "sf0.01"):
+        df = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+        rows = sorted((r.vec_id, r.embedding) for r in df.collect())
+        ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+        got = defaultdict(set)
+        for r in forest.nearest(df).collect():
+            got[r.query_id].add(r.vec_id)
+        hits = 0
+        for i in np.flatnonzero(ids % 20 == 0):
+            s = v @ v[i]
+            s[i] = -np.inf
+            hits += len(got[ids[i]] & set(ids[np.argsort(-s)[:20]].tolist()))
+        assert hits >= 0.9 * 20 * len(got), size
+
+
+def test_op4_polynomial_collisions_stay_apart(spark):
+    """Thue-Morse words, whose polynomial values modulo 2**64 agree for every base, are different words."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = rows_of(minhash.near_duplicates(spark.createDataFrame([(1, a), (2, b), (3, b)], "doc_id long, text string")))
+    assert [(got[i].component_id, got[i].kept) for i in (1, 2, 3)] == [(1, True), (2, True), (2, False)]
+
+
+def test_op4_null_and_repeated_ids(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    a, b, c = say(40), say(40), say(40)
+    near = b.rsplit(" ", 2)[0] + " other end"
+    rows = [(1, a), (2, a), (2, b), (3, near), (None, a), (4, c), (4, c), (5, None), (None, None)]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 36, 1, True), (2, 36, 1, False), (2, 36, 1, False), (3, 36, 1, False), (0, 36, None, True), (4, 36, 4, True), (4, 36, 4, True), (5, 0, 5, True), (0, 0, None, True)], key=lambda x: (x[0], x[1]))
+
+
+def test_op9_the_budget_cuts_the_queue(spark):
+    """The mix is the whole queue up to its budget: the next copy in virtual time would not fit, whatever its source."""
+    rng = random.Random(7)
+    rows = [(i, "w " * rng.randint(1, 60), f"s{rng.choice((0, 0, 0, 1, 2, 3))}") for i in range(400)] + [(None, "w w", "s0"), (7, "w " * 9, "s0")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    total, taken = sum(r["size"] for r in got), sum(r.taken for r in got)
+    assert len(got) == len(rows) and abs(taken - total) <= max(r["size"] for r in got) / 2
+    per = defaultdict(lambda: [0, 0.0])
+    for r in got:
+        per[r.source_size][0] += r.taken
+        per[r.source_size][1] = r.target
+    assert any(t > target for t, target in per.values())  # a cut for each source alone would never pass its target
+
+
+def test_op6_colliding_hashes_and_dotted_names(spark, monkeypatch):
+    real = F.xxhash64
+    monkeypatch.setattr(lines.F, "xxhash64", lambda *a: F.pmod(real(*a), F.lit(2)))
+    df = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "e\nf\ng\nh"), (3, "e\nf\ng\nh"), (4, "a\nb\nc\nd")], "doc_id long, `te.xt` string")
+    got = rows_of(lines.dedup_lines(df, text="te.xt", mean=1 << 30))
+    assert {d: g.chunks_removed for d, g in got.items()} == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
 def test_op6_line_chunks(docs, empty):
     got = rows_of(lines.dedup_lines(docs))
     first, want = {}, {}

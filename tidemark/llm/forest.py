@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import named
+
 TREES = 48
 BITS = 20
-SHARE = 0.9  # candidates (over all trees, repeats counted) that end the ascent, as a share of a shard's rows
+SHARE = 1.3  # candidates (over all trees, repeats counted) that end the ascent, as a share of a shard's rows
 SHARD_ROWS = 16384
 QUERY_ROWS = 4096
 
@@ -80,43 +82,40 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, vec_id: str, column: str) -> DataFrame:
-    """``(vec_id, v)`` of the vectors that take part: not null, not zero, all components finite, and of the
-    commonest dimension (the smaller of equally common ones)."""
-    v = F.col(column)
+    """``(vec_id, v, dim)`` of the vectors that take part: not null, not zero, all components finite."""
+    v = named(column)
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    ok = vectors.filter(F.col(vec_id).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
-    size = ok.groupBy(F.size(v).alias("_d")).count().orderBy(F.desc("count"), "_d").limit(1)
-    dim = size.first()
-    return ok.filter(F.size(v) == (dim["_d"] if dim else 0)).select(F.col(vec_id).alias("vec_id"), v.cast("array<double>").alias("v"))
+    ok = vectors.filter(named(vec_id).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
+    return ok.select(named(vec_id).alias("vec_id"), v.cast("array<double>").alias("v"), F.size(v).alias("dim"))
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", column: str = "embedding", trees: int = TREES, share: float = SHARE, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found of each vector for which ``is_query`` holds.
 
     Queries are vectors of the table itself and never find rows of their own id. Fewer than k candidates are all
-    returned; a shard always yields at least k if it has them. Rows that repeat an id are candidates each; a
-    query that is repeated is asked once. An empty table gives an empty result; other columns are not read.
+    returned; a shard always yields at least k if it has them. Vectors of different dimensions have no inner product
+    and lie in shards apart: a query finds those of its own dimension. Rows that repeat an id are candidates each; a
+    query that is repeated is asked once for each dimension. An empty table gives an empty result; other columns are not read.
     """
     ok = usable(vectors, vec_id, column)
-    n = ok.count()
-    shards = max(1, -(-n // shard_rows))
-    asked = ok.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-ok.filter(is_query).count() // query_rows))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    rows = ok.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
-    queries = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
+    sizes = ok.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"), F.ceil(F.sum(F.when(is_query, 1).otherwise(0)) / query_rows).cast("int").alias("blocks")).filter("blocks > 0")
+    asked = ok.filter(is_query).groupBy("vec_id", "dim").agg(F.min("v").alias("v")).join(sizes, "dim")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    rows = ok.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).withColumn("block", every("blocks"))
+    queries = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("blocks")).cast("int")).withColumn("shard", every("shards"))
+    queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("vec_id", "v", "dim", "shard", "block")])  # both sides come from one table
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kinds = {"query_id": left.schema.field("vec_id").type, "vec_id": left.schema.field("vec_id").type, "score": pa.float64()}
         if not left.num_rows or not right.num_rows:
             return pa.table({c: pa.array([], kind) for c, kind in kinds.items()})
-        flat = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        flat = lambda t, c: t[c].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
         left = left.sort_by("vec_id")
-        ids, qs = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        forest = Forest(flat(left), trees)
+        ids, qs = left["vec_id"].to_numpy(), right["q_vec_id"].to_numpy()
+        forest = Forest(flat(left, "v"), trees)
         enough = max(8 * (k + 1), int(share * len(ids)))
         out_q, out_v, out_s = [], [], []
-        for q, (at, scores) in zip(qs, forest.search(flat(right), enough)):
+        for q, (at, scores) in zip(qs, forest.search(flat(right, "q_v"), enough)):
             other = ids[at] != q
             at, scores = at[other], scores[other]
             top = best(ids[at], scores, k)
@@ -126,7 +125,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", co
         return pa.table({"query_id": pa.array(np.concatenate(out_q), kinds["query_id"]), "vec_id": pa.array(np.concatenate(out_v), kinds["vec_id"]), "score": np.concatenate(out_s)})
 
     kind = vectors.schema[vec_id].dataType.simpleString()
-    found = rows.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(run, f"query_id {kind}, vec_id {kind}, score double")
+    found = rows.groupBy("dim", "shard", "block").cogroup(queries.groupBy("q_dim", "q_shard", "q_block")).applyInArrow(run, f"query_id {kind}, vec_id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
