@@ -69,6 +69,28 @@ def test_op1_media_round_trip(docs, empty, spark):
     assert isomedia.text_media_features(empty).count() == 0
 
 
+def test_op1_hostile_boxes_are_errors(spark, docs):
+    import struct
+
+    stsz = isomedia.box(b"stsz", struct.pack(">III", 0, 1, 0xFFFFFFFF))
+    track = lambda *tables: isomedia.box(b"moov", isomedia.box(b"trak", isomedia.box(b"mdia", isomedia.box(b"minf", isomedia.box(b"stbl", *tables)))))
+    deep = b""
+    for _ in range(3000):
+        deep = isomedia.box(b"moov", deep)
+    three = isomedia.box(b"stsz", struct.pack(">III3I", 0, 0, 3, 5, 7, 11)), isomedia.box(b"stco", struct.pack(">III", 0, 1, 100))
+    wide = track(*three, isomedia.box(b"stsc", struct.pack(">IIIII", 0, 1, 1, 0xFFFFFFFF, 1)))
+    zero = track(*three, isomedia.box(b"stsc", struct.pack(">IIIII", 0, 1, 1, 3, 1)), isomedia.box(b"stss", struct.pack(">III", 0, 1, 0)))
+    rows = [(1, track(stsz)), (2, deep), (3, wide + bytes(200)), (4, zero), (5, None), (6, b"")]
+    got = {r.doc_id: r for r in isomedia.probe_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert [got[i].error is None for i in range(1, 7)] == [False, False, True, False, False, True]
+    assert [(k.start, k.size) for k in got[3].tracks[0].keyframes] == [(100, 5), (105, 7), (112, 11)]
+    media = {r.doc_id: bytes(r.media) for r in isomedia.encode_media(docs).collect()}
+    for r in isomedia.text_media_features(docs).collect():
+        m = media[r.doc_id]
+        assert (r.media_bytes, r.media_sha256, r.codec, r.duration) == (len(m), hashlib.sha256(m).hexdigest(), "raw", r.payload_bytes)
+        assert b"".join(m[k.start : k.start + k.size] for k in r.keyframes) == b"".join(m[-r.payload_bytes :][i : i + 64] for i in range(0, r.payload_bytes, 1024))
+
+
 def test_op1_reads_variable_samples():
     import struct
 

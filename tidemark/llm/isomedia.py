@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 UNIT = 64  # bytes of a sample
 CHUNK = 16  # samples of a chunk; a chunk's first sample is a keyframe
 TIMESCALE = 8000  # bytes played in a second
+DEPTH = 32  # levels of boxes that are walked
 
 #: Boxes that hold other boxes, with the bytes of header before them.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"dinf": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0}
@@ -94,7 +95,9 @@ def boxes(data, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes,
 
 
 def walk(data, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """Every box at any depth, parents first: (path of kinds, start of the body, end)."""
+    """Every box at any depth, parents first: (path of kinds, start of the body, end); over DEPTH levels are an error."""
+    if len(path) > DEPTH:
+        raise ValueError("boxes are nested too deeply")
     for kind, body, stop in boxes(data, start, end):
         yield (*path, kind), body, stop
         if kind in CONTAINERS:
@@ -106,6 +109,8 @@ def _expand(data, body: int, stop: int, kind: bytes) -> np.ndarray:
     if kind == b"stsz":
         fixed, count = struct.unpack_from(">II", data, body + 4)
         if fixed:
+            if fixed * count > len(data):
+                raise ValueError("more samples than the file has bytes for")
             return np.full(count, fixed, dtype=np.int64)
         return np.frombuffer(data, ">u4", count, body + 12).astype(np.int64)
     field, count = struct.unpack_from(">3xBI", data, body + 4)
@@ -124,11 +129,14 @@ def _offsets(sizes: np.ndarray, chunk_at: np.ndarray, runs: np.ndarray) -> np.nd
     per_chunk = np.zeros(len(chunk_at), np.int64)
     for k, (first, count, _) in enumerate(runs):
         until = runs[k + 1][0] - 1 if k + 1 < len(runs) else len(chunk_at)
-        per_chunk[first - 1 : until] = count
-    if per_chunk.sum() < len(sizes):
+        if first < 1:
+            raise ValueError("chunks are numbered from 1")
+        per_chunk[first - 1 : until] = min(count, len(sizes))
+    upto = np.cumsum(per_chunk)
+    if not len(upto) or upto[-1] < len(sizes):
         raise ValueError("the sample tables place fewer samples than they size")
-    firsts = np.concatenate(([0], np.cumsum(per_chunk)[:-1]))
-    chunk_of = np.repeat(np.arange(len(chunk_at)), per_chunk)[: len(sizes)]
+    firsts = np.concatenate(([0], upto[:-1]))
+    chunk_of = np.searchsorted(upto, np.arange(len(sizes)), "right")
     before = np.cumsum(sizes) - sizes
     start_of_chunk = before[np.minimum(firsts, len(sizes) - 1)]
     return chunk_at[chunk_of] + before - start_of_chunk[chunk_of]
@@ -173,6 +181,8 @@ def probe(data: bytes) -> list[dict]:
     for t in tracks:
         at = _offsets(t["stsz"], t["stco"], t["stsc"])
         keys = np.arange(len(at)) if t["stss"] is None else t["stss"] - 1
+        if len(keys) and (keys.min() < 0 or keys.max() >= len(at)):
+            raise ValueError("a keyframe is no sample of its track")
         new = np.ones(len(at), bool)
         new[1:] = at[1:] != at[:-1] + t["stsz"][:-1]
         first = np.flatnonzero(new)
@@ -220,7 +230,7 @@ def probe_media(media: DataFrame, key: str = "doc_id", column: str = "media") ->
             return None, "null"
         try:
             return [{k: t[k] for k in ("codec", "handler", "timescale", "duration", "samples")} | {"keyframes": [{"start": a, "size": n} for a, n in t["keyframes"].tolist()]} for t in probe(data)], None
-        except (ValueError, struct.error, IndexError) as e:
+        except (ValueError, struct.error, IndexError, OverflowError) as e:
             return None, str(e) or "broken"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,13 +247,15 @@ def text_media_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     Null and empty texts are 64 zero bytes. Equal texts give equal values; repeated rows are described each; an
     empty table gives an empty result; other columns are not read. ``feature`` is
-    ``codec:timescale:duration:samples:keyframes:crc32 of the keyframes' (start, size) table``.
+    ``codec:timescale:duration:samples:keyframes:crc32 of the keyframes' (start, size) table``; ``codec``,
+    ``duration`` (in units of the time scale) and ``keyframes`` (byte ranges of the stored form) follow.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in slices(big):
-                cols: tuple[list, ...] = ([], [], [], [], [], [], [])
+                cols: tuple[list, ...] = ([], [], [], [], [], [], [], [], [])
+                frames: list[np.ndarray] = []
                 for raw in b.column(1).cast(pa.binary()).to_pylist():
                     raw = raw or b""
                     media = to_media(padded(raw))
@@ -251,10 +263,14 @@ def text_media_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
                     back = payload(media, track)
                     table = zlib.crc32(track["keyframes"].astype(">u8").tobytes())
                     feature = f"{track['codec'].strip()}:{track['timescale']}:{track['duration']}:{track['samples']}:{len(track['keyframes'])}:{table:08x}"
-                    for c, v in zip(cols, (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature)):
+                    for c, v in zip(cols, (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature, track["codec"].strip(), track["duration"])):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols, kinds)], names)
-
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+                    frames.append(track["keyframes"])
+                flat = np.concatenate(frames)
+                ranges = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "size"])
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(f) for f in frames]))), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols, kinds), pa.ListArray.from_arrays(offsets, ranges)], names)
+
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration", "keyframes"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration long, keyframes array<struct<start:long,size:long>>")
