@@ -314,12 +314,102 @@ def _dense_links(members: DataFrame, texts: DataFrame, p: Params, kind: str) ->
     return m.groupBy("key", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_components(items: DataFrame, p: Params = Params(), id_col: str = "id", text_col: str = "text", unique: bool = False) -> DataFrame:
+def _estimated_links(members: DataFrame, tried: DataFrame, texts: DataFrame, p: Params, kind: str) -> DataFrame:
+    """``(a, b)``: links between components of buckets, by bit counts and then full sets. ``tried``: pairs (a, b) to pass over."""
+    met = cut(_across(members, p, kind))
+    more = met.filter(F.col("dense").isNull()).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    extra = confirm(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, p).filter("ok").select("a", "b")
+    dense = met.filter(F.col("dense").isNotNull()).select(F.col("dense").alias("key")).distinct()
+    if not dense.isEmpty():
+        extra = extra.unionByName(_dense_links(members.join(dense, "key", "left_semi"), texts, p, kind))
+    return extra
+
+
+def _meeting(members: DataFrame, texts: DataFrame, p: Params, kind: str) -> DataFrame:
+    """``(id, s)``: the sets, as sorted hashes, of those members ``(key, id, comp)`` that can have a link to another component.
+
+    All shingles have one order: first those that members of one component alone hold, then those of the fewest
+    members. Two sets that reach the threshold share one of the first size - ceil(num/100 * size) + 1 shingles of
+    each: were none of a set's first so many in the other, too few would be left. What only one component holds
+    takes a place among the first, yet none of another component meets there; so sets with words enough of their own
+    have no link, however common their other shingles are.
+    """
+    one = members.select("id", F.xxhash64("comp").alias("c")).dropDuplicates(["id"]).join(texts, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Shingler(p.width)
+        for batch in batches:
+            for i, block in blocks(batch.column(2).cast(pa.binary()).to_pylist()):
+                sets = [x.view(np.int64) for x in cutter.sets(block)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(block)), batch.column(1).slice(i, len(block)), pa.array(sets, pa.list_(pa.int64()))], ["id", "c", "s"])
+
+    sets = cut(one.mapInArrow(run, f"id {kind}, c long, s array<long>"))
+    each = sets.select("id", "c", F.size("s").alias("n"), F.explode("s").alias("h"))
+    met = each.groupBy("h").agg(F.count(F.lit(1)).alias("_c"), F.min("c").alias("_x"), F.max("c").alias("_y")).filter(F.col("_x") != F.col("_y")).select("h", "_c")
+    held = each.join(met, "h").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("_c", "h"))).alias("s"))
+    first = (F.size("s") + 1 - F.ceil(F.col("n") * F.lit(p.num) / F.lit(100))).cast("int")
+    keyed = cut(held.filter(first > 0).select("id", "c", F.explode(F.slice("s", F.lit(1), first)).alias("s")).select("id", "c", "s.h"))
+    still = keyed.groupBy("h").agg(F.min("c").alias("_x"), F.max("c").alias("_y")).filter(F.col("_x") != F.col("_y")).select("h")
+    ids = keyed.join(still, "h", "left_semi").select("id").distinct()
+    return sets.join(ids, "id", "left_semi").select("id", "s")
+
+
+def _links(members: DataFrame, sets: DataFrame, p: Params, kind: str) -> DataFrame:
+    """``(a, b)``: links between components of buckets, enough of them to connect what the buckets' links connect.
+
+    Full sets meet where they share one of their rarest shingles, as in ``_meeting``; all that a set meets are
+    counted at once, and what is connected by then is passed over, so no list of pairs leaves the task.
+    """
+    m = _blocks_of(members.join(sets, "id"), SHINGLES)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        bucket = _Bucket(t, p)
+        label, n = bucket.label, bucket.n
+        code, count = np.unique(t["s"].combine_chunks().flatten().to_numpy(), return_inverse=True, return_counts=True)[1:]
+        begin = np.cumsum(n) - n
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((code, count[code], owner))
+        place = np.arange(len(order)) - np.repeat(begin, n)
+        first = order[place < np.repeat(n - -(-p.num * n // 100) + 1, n)]
+        firsts = np.split(code[first], np.cumsum(n - -(-p.num * n // 100) + 1)[:-1])
+        first = first[np.argsort(code[first], kind="stable")]
+        holders, low, high = owner[first], *(np.searchsorted(code[first], np.arange(len(count)), side) for side in ("left", "right"))
+        other = np.ones(len(n), bool)
+        if not bucket.same:
+            other[bucket.left] = False
+        here = np.zeros(len(count), bool)
+        largest = np.bincount(label).argmax()
+        xs, ys = [], []
+        for i in bucket.left[label[bucket.left] != largest].tolist() if bucket.same else bucket.left.tolist():
+            js = np.concatenate([holders[low[c] : high[c]] for c in firsts[i].tolist()])
+            js = js[(label[js] != label[i]) & other[js]]
+            js = np.unique(js[100 * np.minimum(n[js], n[i]) >= p.num * np.maximum(n[js], n[i])])
+            if not len(js):
+                continue
+            here[code[begin[i] : begin[i] + n[i]]] = True
+            z = n[js]
+            at = np.cumsum(z) - z
+            both = np.add.reduceat(here[code[np.arange(z.sum()) + np.repeat(begin[js] - at, z)]].astype(np.int64), at)
+            here[code[begin[i] : begin[i] + n[i]]] = False
+            for j in js[100 * both >= p.num * (z + n[i] - both)].tolist():
+                if label[i] != label[j]:
+                    bucket.join(i, j)
+                    xs.append(i)
+                    ys.append(j)
+        return pa.table({"a": t["id"].take(pa.array(xs, pa.int64())), "b": t["id"].take(pa.array(ys, pa.int64()))})
+
+    return m.groupBy("key", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def near_components(items: DataFrame, p: Params = Params(), id_col: str = "id", text_col: str = "text", unique: bool = False, rarest: bool = False) -> DataFrame:
     """``(id, n, component)`` of every item: its set's size and the least id that it reaches by links.
 
     Items with empty sets (null, empty or blank texts) are alone. Rows that share an id are one item that holds
     each of their texts, and each gets a row. Rows with a null id get a null component and link nothing. An
-    empty table gives an empty result; other columns are not read. ``unique`` says that no id is repeated.
+    empty table gives an empty result; other columns are not read. ``unique`` says that no id is repeated;
+    ``rarest``, that members of open buckets are first reduced to those with a rare shingle in common with another
+    component, which suits short items that hold parts of very common passages.
     """
     lean(items.sparkSession)
     kind = items.schema[id_col].dataType.simpleString()
@@ -351,14 +441,12 @@ def near_components(items: DataFrame, p: Params = Params(), id_col: str = "id",
     rest = cut(labelled.join(open_keys, "key", "left_semi"))
     if not rest.isEmpty():
         # buckets with the very same members need be compared once
+        if rarest:
+            sets = cut(_meeting(rest, texts, p, kind))
+            rest = rest.join(sets.select("id"), "id", "left_semi")
         once = rest.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("id").alias("_m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("_s")).groupBy("_c", "_m", "_s").agg(F.min("key").alias("key")).select("key")
         rest = cut(rest.join(once, "key", "left_semi").join(sigs, "id"))
-        met = cut(_across(rest, p, kind))
-        more = met.filter(F.col("dense").isNull()).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        extra = confirm(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, p).filter("ok").select("a", "b")
-        dense = met.filter(F.col("dense").isNotNull()).select(F.col("dense").alias("key")).distinct()
-        if not dense.isEmpty():
-            extra = extra.unionByName(_dense_links(rest.join(dense, "key", "left_semi"), texts, p, kind))
+        extra = _links(rest, sets, p, kind) if rarest else _estimated_links(rest, tried, texts, p, kind)
         comp = cut(components(links.unionByName(extra)))
     class_of = classes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("f", F.coalesce("component", "rep").alias("component"))
     return feats.select("id", "n", "f").join(class_of, "f", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))

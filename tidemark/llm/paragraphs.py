@@ -39,11 +39,16 @@ NAME = 5  # kind of the blocks of digests
 REPEATS, OPEN = 0, 1
 
 
+def _sums(hashes: np.ndarray, place: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of the words from each start to the next: the sum of a random function of (place, word)."""
+    return np.add.reduceat(mix64(hashes + mix64(place.astype(np.uint64) + np.uint64(1))), start)
+
+
 class Paragraphs:
     """The pieces and then the whole paragraphs of a block of texts: parallel arrays over them.
 
     ``doc``: index of the text; ``first``, ``last``: its bytes in the text; ``word``, ``words``: its first word in
-    the block and number of words.
+    the block and number of words; ``tag``: a hash of its words, by which a document knows its own paragraphs.
     """
 
     def __init__(self, texts: list[bytes], cutter: Shingler):
@@ -54,6 +59,7 @@ class Paragraphs:
         doc_of = np.repeat(np.arange(len(texts)), counts)
         if not n:
             self.doc = self.first = self.last = self.word = self.words = np.zeros(0, np.int64)
+            self.tag = np.zeros(0, np.uint64)
             return
         raw = np.frombuffer(b" ".join(texts), np.uint8)
         ends = np.flatnonzero(raw == 10)
@@ -76,6 +82,8 @@ class Paragraphs:
         size = np.diff(np.append(at, n))
         divided = np.diff(np.append(np.searchsorted(at, whole), len(at))) > 1  # of one piece: it stands there already
         self.word, self.words = np.append(at, whole[divided]), np.append(size, length[divided])
+        sums = [_sums(hashes, np.arange(n) - np.repeat(at, size), at), _sums(hashes, place, whole)[divided]]
+        self.tag = mix64(np.concatenate(sums) + self.words.astype(np.uint64))
         self.doc = doc_of[self.word]
         self.first = cutter.start[self.word] - begin[self.doc]
         self.last = cutter.end[self.word + self.words - 1] - begin[self.doc]
@@ -112,14 +120,14 @@ def said_of(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, signer = _tools(bands, rows)
         for ids, texts in _by_text(batches, FLUSH):
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
             seen: list[tuple[np.ndarray, np.ndarray]] = []
             total = 0
             for i, block in blocks(texts, 1 << 19):
                 p = Paragraphs(block, cutter)
                 if len(p.doc):
                     name = p.names()
-                    for col, v in zip(cols, (ids[i + p.doc], p.first, p.last, name[:, 0], name[:, 1])):
+                    for col, v in zip(cols, (ids[i + p.doc], p.first, p.last, name[:, 0], name[:, 1], p.tag)):
                         col.append(v)
                     keys = np.zeros((len(p.doc), bands), np.uint64)
                     long = np.flatnonzero(p.words >= WIDTH)  # the set of fewer words is their sequence: equal or disjoint
@@ -129,7 +137,7 @@ def said_of(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
                     total += len(p.doc)
             if not total:
                 continue
-            doc, first, last, one, two = map(np.concatenate, cols)
+            doc, first, last, one, two, tag = map(np.concatenate, cols)
             keys, long = (np.concatenate(x) for x in zip(*seen))
             order = np.lexsort((doc, two, one))
             new = _firsts([one[order], two[order]])
@@ -139,11 +147,11 @@ def said_of(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
             held = held[np.argsort(doc[held], kind="stable")]  # neighbours compress
             for part, at in _route((one[held] % np.uint64(n)).astype(np.int64), n):
                 at = held[at]
-                out.append((NAME, part, _pack(one[at].view(np.int64), two[at].view(np.int64), doc[at])))
+                out.append((NAME, part, _pack(one[at].view(np.int64), two[at].view(np.int64), tag[at].view(np.int64), doc[at])))
             held = held[long[held]]
             key, row = keys[held].ravel(), np.repeat(held, bands)
             for part, at in _route(((key >> np.uint64(8 * KEEP)) % np.uint64(n)).astype(np.int64), n):
-                out.append((ANCHOR, part, _pack(key[at] & _LOW, one[row[at]] & _LOW, doc[row[at]])))
+                out.append((ANCHOR, part, _pack(key[at] & _LOW, tag[row[at]] & _LOW, doc[row[at]])))
             if out:
                 yield _batch(out)
 
@@ -158,12 +166,12 @@ def answers(found: DataFrame, n: int) -> DataFrame:
         if kind == KNOWN:
             return t
         if kind == NAME:
-            one, two, doc = _gather(t["block"], np.int64, np.int64, np.int64)
+            one, two, tag, doc = _gather(t["block"], np.int64, np.int64, np.int64, np.int64)
             order = np.lexsort((doc, two, one))
-            one, two, doc = one[order].view(np.uint64), two[order].view(np.uint64), doc[order]
+            one, two, tag, doc = one[order], two[order], tag[order], doc[order]
             new = _firsts([one, two])
             say = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            mark, doc, verdict = _mark(doc[say], one[say] ^ mix64(two[say])), doc[say], REPEATS
+            mark, doc, verdict = _mark(doc[say], tag[say].view(np.uint64)), doc[say], REPEATS
         else:
             key, name, doc = _gather(t["block"], np.uint64, np.uint64, np.int64)
             order = np.lexsort((doc, name, key))
@@ -195,9 +203,9 @@ def colliding(texts: DataFrame, said: DataFrame) -> DataFrame:
                 p = Paragraphs(block, cutter)
                 if not len(p.doc):
                     continue
-                d, name = ids[i + p.doc], p.names()
-                repeats = np.isin(_mark(d, name[:, 0] ^ mix64(name[:, 1])), marks[REPEATS])
-                opened = np.flatnonzero(~repeats & np.isin(_mark(d, name[:, 0] & _LOW), marks[OPEN]))
+                d = ids[i + p.doc]
+                repeats = np.isin(_mark(d, p.tag), marks[REPEATS])
+                opened = np.flatnonzero(~repeats & np.isin(_mark(d, p.tag & _LOW), marks[OPEN]))
                 known.append((d[repeats], p.first[repeats], p.last[repeats]))
                 if len(opened):
                     a, b = p.first[opened], p.last[opened]
@@ -253,7 +261,7 @@ def dedup_paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, doc_
         texts = homes(given, n, FLUSH)
         met = cut(colliding(texts, answers(said_of(given, bands, rows, n), n)))
         items = cut(_items(met.filter(F.col("kind") == SPANS)))
-        groups = minhash.near_components(items, minhash.Params(bands=20, rows=5, width=WIDTH), unique=True)
+        groups = minhash.near_components(items, minhash.Params(bands=20, rows=5, width=WIDTH), unique=True, rarest=True)
         gone = groups.filter(F.col("component.doc") != F.col("id.doc")).select(F.col("id.doc").alias("d"), F.col("id.start").alias("a"), F.col("id.end").alias("b"))
         return removed(texts, met.filter(F.col("kind") == KNOWN).unionByName(_ranges(gone, n)), 1)
 

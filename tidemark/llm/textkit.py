@@ -8,6 +8,7 @@ import numpy as np
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SEED = 0x5851F42D4C957F2D
+_PLACES = 32  # places in a word whose terms are looked up
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -36,6 +37,12 @@ class Shingler:
         self.lower[65:91] += 32
         self.space = np.zeros(256, bool)
         self.space[[0x20, *range(0x09, 0x0E)]] = True
+        self.known = self._terms(np.arange(_PLACES, dtype=np.uint64).repeat(256), np.tile(self.lower, _PLACES))
+
+    @staticmethod
+    def _terms(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """A random function of (place in the word, byte)."""
+        return mix64(((place << np.uint64(8)) | byte) * _M + np.uint64(_SEED))
 
     def words(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(hash of every word, in order; number of words of each text). ``start`` and ``end`` then hold where
@@ -53,10 +60,12 @@ class Shingler:
         first = np.cumsum(size) - size
         # a word's hash sums a random function of (place in the word, byte): no polynomial, whose values modulo a
         # power of two agree for some words whatever the base
-        terms = (at - np.repeat(start, size)).astype(np.uint64) << np.uint64(8)
-        terms |= self.lower[raw[at]]
-        terms *= _M
-        terms = mix64(terms + np.uint64(_SEED))
+        place = at - np.repeat(start, size)
+        byte = raw[at]
+        terms = np.take(self.known, (place << 8) | byte, mode="clip")
+        if len(size) and size.max() > _PLACES:
+            far = np.flatnonzero(place >= _PLACES)
+            terms[far] = self._terms(place[far].astype(np.uint64), self.lower[byte[far]])
         hashes = mix64(np.add.reduceat(terms, first) + size.astype(np.uint64) * _M) if len(first) else np.zeros(0, np.uint64)
         bounds = np.concatenate(([0], np.cumsum(lens + 1)))
         return hashes, np.diff(np.searchsorted(start, bounds))
