@@ -260,9 +260,13 @@ def dedup_paragraphs(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, doc_
     def dedup(given: DataFrame) -> DataFrame:
         texts = homes(given, n, FLUSH)
         met = cut(colliding(texts, answers(said_of(given, bands, rows, n), n)))
-        items = cut(_items(met.filter(F.col("kind") == SPANS)))
-        groups = minhash.near_components(items, minhash.Params(bands=20, rows=5, width=WIDTH), unique=True, rarest=True)
-        gone = groups.filter(F.col("component.doc") != F.col("id.doc")).select(F.col("id.doc").alias("d"), F.col("id.start").alias("a"), F.col("id.end").alias("b"))
+        # numbers, fixed by the checkpoint, are a fifth as wide as (document, first byte, end) in every shuffle
+        items = cut(_items(met.filter(F.col("kind") == SPANS)).withColumn("no", F.monotonically_increasing_id()))
+        groups = minhash.near_components(items, minhash.Params(bands=20, rows=5, width=WIDTH), id_col="no", unique=True, rarest=True)
+        joined = groups.filter(F.col("id") != F.col("component")).select(F.col("id").alias("no"), "component")
+        joined = cut(joined.unionByName(joined.select(F.col("component").alias("no"), "component").distinct()).join(items.select("no", "id"), "no"))
+        first = joined.groupBy("component").agg(F.min("id.doc").alias("least"))
+        gone = joined.join(first, "component").filter(F.col("id.doc") != F.col("least")).select(F.col("id.doc").alias("d"), F.col("id.start").alias("a"), F.col("id.end").alias("b"))
         return removed(texts, met.filter(F.col("kind") == KNOWN).unionByName(_ranges(gone, n)), 1)
 
     return each_row(docs, doc_id, text, dedup)
