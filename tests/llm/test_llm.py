@@ -552,6 +552,32 @@ def test_op10_cuts_do_not_depend_on_other_texts(spark):
             assert cut <= {i for s in g.spans for i in range(s.start, s.end)} and (d >= 1000 or not g.spans), d
 
 
+def test_near_components_of_items_that_share_cores(spark):
+    """Many items hold the same core beside a few words of their own, near each other or not: all links between
+    different sets are found, as by brute force over all pairs."""
+    rng = np.random.default_rng(5)
+    cores = [[f"c{k}w{i}" for i in range(9 + 2 * k)] for k in range(4)]
+    texts = []
+    for i in range(400):
+        core = cores[rng.integers(4)]
+        lead = [f"o{rng.integers(0, 6 if i % 2 else 10**6)}" for _ in range(rng.integers(0, 5))]
+        texts.append(" ".join([*lead, *core[rng.integers(0, 2) : len(core) - rng.integers(0, 2)]]))
+    items = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    p = minhash.Params(bands=96, rows=2)
+    got = {r.id: r.component for r in minhash.near_components(items, p, unique=True, rarest=True).collect()}
+    plain = {r.id: r.component for r in minhash.near_components(items, p, unique=True).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root)) == plain
+    assert 4 < len(set(root)) < 400
+
+
 def test_op10_whole_paragraphs_at_the_threshold(spark):
     """Near copies of whole paragraphs of any length, inside differing texts or alone, go by exact Jaccard similarity."""
     rng = random.Random(12)

@@ -39,6 +39,7 @@ from .textkit import Shingler, blocks, mix64
 BITS = 2
 MARGIN = 5.5
 BLOCK = 8192  # rows of a bucket that one task compares with as many others
+GROUP = 4096  # rows, about, of small buckets that one call compares, each bucket for itself
 SHINGLES = 1 << 21  # shingles, about, of the rows of a bucket whose full sets one task compares with as many others
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -197,13 +198,15 @@ def hopeful(pairs: DataFrame, sigs: DataFrame, p: Params) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _blocks_of(members: DataFrame, shingles: int | None = None) -> DataFrame:
+def _blocks_of(members: DataFrame, shingles: int | None = None, groups: int = 0) -> DataFrame:
     """Members with the pair of blocks (lo, hi) in which they are compared; a bucket of up to BLOCK rows (and of up
-    to that many ``shingles``) is one."""
+    to that many ``shingles``) is one. ``at``: the bucket, or one of so many ``groups`` for a bucket of one block."""
     need = F.ceil(F.count(F.lit(1)) / BLOCK)
     sizes = members.groupBy("key").agg((F.greatest(need, F.ceil(F.sum("n") / shingles)) if shingles else need).cast("int").alias("_nb"))
     m = members.join(sizes, "key")
     m = m.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    if groups:
+        m = m.withColumn("at", F.when(F.col("_nb") > 1, F.struct(F.lit(True).alias("alone"), F.col("key").alias("no"))).otherwise(F.struct(F.lit(False).alias("alone"), F.pmod(F.xxhash64("key"), F.lit(groups)).alias("no"))))
     return m.withColumns({"lo": F.least("blk", "_o"), "hi": F.greatest("blk", "_o")}).drop("_nb", "_o")
 
 
@@ -214,7 +217,8 @@ class _Bucket:
 
     def __init__(self, t: pa.Table, p: Params):
         self.p, self.k, self.least = p, p.bands * p.rows, p.least_estimate
-        self.sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        if "sig" in t.column_names:
+            self.sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
         self.n = t["n"].to_numpy().astype(np.int64)
         code: dict = {}
         self.label = np.array([code.setdefault(repr(x), len(code)) for x in t["comp"].to_pylist()])
@@ -326,53 +330,59 @@ def _estimated_links(members: DataFrame, tried: DataFrame, texts: DataFrame, p:
 
 
 def _meeting(members: DataFrame, texts: DataFrame, p: Params, kind: str) -> DataFrame:
-    """``(id, s)``: the sets, as sorted hashes, of those members ``(key, id, comp)`` that can have a link to another component.
+    """``(id, comp, n, s)`` of those members ``(key, id, comp)`` that can have a link to another component: the set's
+    size, and those of its shingles that members of several components hold.
 
-    All shingles have one order: first those that members of one component alone hold, then those of the fewest
-    members. Two sets that reach the threshold share one of the first size - ceil(num/100 * size) + 1 shingles of
-    each: were none of a set's first so many in the other, too few would be left. What only one component holds
-    takes a place among the first, yet none of another component meets there; so sets with words enough of their own
-    have no link, however common their other shingles are.
+    ``s`` is in one order, the shingles of the fewest members first. Two sets of different components meet in
+    shingles of ``s`` alone. If they reach the threshold they share one of the first |s| - ceil(num/100 * size) + 1 of
+    each: were none of a set's first so many in the other, too few would be left. So sets with words enough of their
+    own have no link, however common their other shingles are.
     """
-    one = members.select("id", F.xxhash64("comp").alias("c")).dropDuplicates(["id"]).join(texts, "id")
+    one = members.select("id", "comp").dropDuplicates(["id"]).join(texts, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Shingler(p.width)
         for batch in batches:
             for i, block in blocks(batch.column(2).cast(pa.binary()).to_pylist()):
                 sets = [x.view(np.int64) for x in cutter.sets(block)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(block)), batch.column(1).slice(i, len(block)), pa.array(sets, pa.list_(pa.int64()))], ["id", "c", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(block)), batch.column(1).slice(i, len(block)), pa.array(sets, pa.list_(pa.int64()))], ["id", "comp", "s"])
 
-    sets = cut(one.mapInArrow(run, f"id {kind}, c long, s array<long>"))
-    each = sets.select("id", "c", F.size("s").alias("n"), F.explode("s").alias("h"))
-    met = each.groupBy("h").agg(F.count(F.lit(1)).alias("_c"), F.min("c").alias("_x"), F.max("c").alias("_y")).filter(F.col("_x") != F.col("_y")).select("h", "_c")
-    held = each.join(met, "h").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("_c", "h"))).alias("s"))
+    sets = cut(one.mapInArrow(run, f"id {kind}, comp {kind}, s array<long>"))
+    each = sets.select("id", "comp", F.size("s").alias("n"), F.explode("s").alias("h"))
+    met = each.groupBy("h").agg(F.count(F.lit(1)).alias("_c"), F.min("comp").alias("_x"), F.max("comp").alias("_y")).filter(F.col("_x") != F.col("_y")).select("h", "_c")
+    held = each.join(met, "h").groupBy("id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("_c", "h"))).alias("s"))
     first = (F.size("s") + 1 - F.ceil(F.col("n") * F.lit(p.num) / F.lit(100))).cast("int")
-    keyed = cut(held.filter(first > 0).select("id", "c", F.explode(F.slice("s", F.lit(1), first)).alias("s")).select("id", "c", "s.h"))
-    still = keyed.groupBy("h").agg(F.min("c").alias("_x"), F.max("c").alias("_y")).filter(F.col("_x") != F.col("_y")).select("h")
+    held = cut(held.withColumn("first", first).filter(F.col("first") > 0).withColumn("s", F.col("s.h")))
+    keyed = held.select("id", "comp", F.explode(F.slice("s", F.lit(1), F.col("first"))).alias("h"))
+    still = keyed.groupBy("h").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).filter(F.col("_x") != F.col("_y")).select("h")
     ids = keyed.join(still, "h", "left_semi").select("id").distinct()
-    return sets.join(ids, "id", "left_semi").select("id", "s")
+    return held.join(ids, "id", "left_semi").select("id", "comp", "n", "s")
 
 
 def _links(members: DataFrame, sets: DataFrame, p: Params, kind: str) -> DataFrame:
-    """``(a, b)``: links between components of buckets, enough of them to connect what the buckets' links connect.
+    """``(a, b)``: links between members ``(key, id)`` of a bucket with their ``sets`` ``(id, n, s, comp)``, enough of
+    them to connect what the bucket's links connect.
 
-    Full sets meet where they share one of their rarest shingles, as in ``_meeting``; all that a set meets are
-    counted at once, and what is connected by then is passed over, so no list of pairs leaves the task.
+    Sets meet where they share one of their rarest shingles, as in ``_meeting``; all that a set meets are
+    counted at once, and what is connected by then is passed over, so no list of pairs leaves the task. About GROUP
+    rows of small buckets are compared at a time, each bucket for itself: a shingle counts with its bucket's key.
     """
-    m = _blocks_of(members.join(sets, "id"), SHINGLES)
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
+        t = t.select(["key", "id", "comp", "n", "s", "blk", "lo", "hi"]).combine_chunks()
         bucket = _Bucket(t, p)
         label, n = bucket.label, bucket.n
-        code, count = np.unique(t["s"].combine_chunks().flatten().to_numpy(), return_inverse=True, return_counts=True)[1:]
-        begin = np.cumsum(n) - n
-        owner = np.repeat(np.arange(len(n)), n)
+        held = np.asarray(t["s"].combine_chunks().value_lengths()).astype(np.int64)
+        shingles = t["s"].combine_chunks().flatten().to_numpy().view(np.uint64)
+        shingles = mix64(shingles + np.repeat(mix64(t["key"].to_numpy().view(np.uint64)), held))
+        code, count = np.unique(shingles, return_inverse=True, return_counts=True)[1:]
+        begin = np.cumsum(held) - held
+        owner = np.repeat(np.arange(len(n)), held)
         order = np.lexsort((code, count[code], owner))
-        place = np.arange(len(order)) - np.repeat(begin, n)
-        first = order[place < np.repeat(n - -(-p.num * n // 100) + 1, n)]
-        firsts = np.split(code[first], np.cumsum(n - -(-p.num * n // 100) + 1)[:-1])
+        place = np.arange(len(order)) - np.repeat(begin, held)
+        most = np.maximum(held - -(-p.num * n // 100) + 1, 0)
+        first = order[place < np.repeat(most, held)]
+        firsts = np.split(code[first], np.cumsum(most)[:-1])
         first = first[np.argsort(code[first], kind="stable")]
         holders, low, high = owner[first], *(np.searchsorted(code[first], np.arange(len(count)), side) for side in ("left", "right"))
         other = np.ones(len(n), bool)
@@ -382,24 +392,53 @@ def _links(members: DataFrame, sets: DataFrame, p: Params, kind: str) -> DataFra
         largest = np.bincount(label).argmax()
         xs, ys = [], []
         for i in bucket.left[label[bucket.left] != largest].tolist() if bucket.same else bucket.left.tolist():
+            if not len(firsts[i]):
+                continue
             js = np.concatenate([holders[low[c] : high[c]] for c in firsts[i].tolist()])
             js = js[(label[js] != label[i]) & other[js]]
             js = np.unique(js[100 * np.minimum(n[js], n[i]) >= p.num * np.maximum(n[js], n[i])])
             if not len(js):
                 continue
-            here[code[begin[i] : begin[i] + n[i]]] = True
-            z = n[js]
+            here[code[begin[i] : begin[i] + held[i]]] = True
+            z = held[js]
             at = np.cumsum(z) - z
             both = np.add.reduceat(here[code[np.arange(z.sum()) + np.repeat(begin[js] - at, z)]].astype(np.int64), at)
-            here[code[begin[i] : begin[i] + n[i]]] = False
-            for j in js[100 * both >= p.num * (z + n[i] - both)].tolist():
+            here[code[begin[i] : begin[i] + held[i]]] = False
+            for j in js[100 * both >= p.num * (n[js] + n[i] - both)].tolist():
                 if label[i] != label[j]:
                     bucket.join(i, j)
                     xs.append(i)
                     ys.append(j)
         return pa.table({"a": t["id"].take(pa.array(xs, pa.int64())), "b": t["id"].take(pa.array(ys, pa.int64()))})
 
-    return m.groupBy("key", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
+    groups = -(-members.count() // GROUP) or 1
+    return _blocks_of(members.join(sets, "id"), SHINGLES, groups).groupBy("at", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def _class_links(members: DataFrame, texts: DataFrame, p: Params, kind: str) -> DataFrame:
+    """``(a, b)``: links between components of buckets of members ``(key, id, comp)``, by full sets.
+
+    Members of one size that hold the same shingles in common with other components (``s`` of ``_meeting``) have the
+    same similarity to each other and the same to any other member, as far as components differ. So they are compared
+    as one, the least of them, and all are linked with it if that is near one more of its own kind or any other.
+    Digests only gather the kinds; their sets are held against each other.
+    """
+    sets = _meeting(members, texts, p, kind).withColumn("d", F.md5(F.concat_ws(",", F.col("n").cast("string"), F.col("s").cast("array<string>"))))
+    sets = cut(sets)
+    kinds = sets.groupBy("d").agg(F.count(F.lit(1)).alias("_pairs"), F.min_by(F.struct("id", "n", "s"), "id").alias("r"))
+    of = hot_join(sets, cut(kinds), "d", "_pairs", "id").withColumn("rep", F.when((F.col("n") == F.col("r.n")) & (F.col("s") == F.col("r.s")), F.col("r.id")).otherwise(F.col("id")))
+    of = cut(of.select("id", "rep", "comp"))
+    own = 100 * F.size("s") >= F.lit(p.num) * (2 * F.col("n") - F.size("s"))
+    spread = of.groupBy("rep").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"))
+    # a kind's label is a component's only where all its members are connected or near each other
+    label = F.struct((own | (F.col("_x") == F.col("_y"))).alias("whole"), F.when(own | (F.col("_x") == F.col("_y")), F.col("_x")).otherwise(F.col("id")).alias("of"))
+    kinds = sets.join(spread.withColumnRenamed("rep", "id"), "id").select("id", "n", "s", own.alias("own"), label.alias("comp"))
+    rest = members.select("key", "id").join(of, "id").select("key", F.col("rep").alias("id")).distinct()
+    # buckets with the very same members need be compared once
+    once = rest.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("id").alias("_m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("_s")).filter(F.col("_c") > 1).groupBy("_c", "_m", "_s").agg(F.min("key").alias("key")).select("key")
+    links = cut(_links(cut(rest.join(once, "key", "left_semi")), kinds.drop("own"), p, kind))
+    near = links.select(F.col("a").alias("rep")).union(links.select("b")).union(kinds.filter("own").select("id")).distinct()
+    return links.unionByName(of.filter(F.col("id") != F.col("rep")).join(near, "rep", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b")))
 
 
 def near_components(items: DataFrame, p: Params = Params(), id_col: str = "id", text_col: str = "text", unique: bool = False, rarest: bool = False) -> DataFrame:
@@ -440,13 +479,12 @@ def near_components(items: DataFrame, p: Params = Params(), id_col: str = "id",
     open_keys = labelled.groupBy("key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).filter(F.col("_x") != F.col("_y")).select("key")
     rest = cut(labelled.join(open_keys, "key", "left_semi"))
     if not rest.isEmpty():
-        # buckets with the very same members need be compared once
         if rarest:
-            sets = cut(_meeting(rest, texts, p, kind))
-            rest = rest.join(sets.select("id"), "id", "left_semi")
-        once = rest.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("id").alias("_m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("_s")).groupBy("_c", "_m", "_s").agg(F.min("key").alias("key")).select("key")
-        rest = cut(rest.join(once, "key", "left_semi").join(sigs, "id"))
-        extra = _links(rest, sets, p, kind) if rarest else _estimated_links(rest, tried, texts, p, kind)
+            extra = _class_links(rest, texts, p, kind)
+        else:
+            # buckets with the very same members need be compared once
+            once = rest.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("id").alias("_m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("_s")).groupBy("_c", "_m", "_s").agg(F.min("key").alias("key")).select("key")
+            extra = _estimated_links(cut(rest.join(once, "key", "left_semi").join(sigs, "id")), tried, texts, p, kind)
         comp = cut(components(links.unionByName(extra)))
     class_of = classes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("f", F.coalesce("component", "rep").alias("component"))
     return feats.select("id", "n", "f").join(class_of, "f", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
