@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import forest, isomedia, langid, lines, minhash, mixing, paragraphs, suffix, unigram, url_filter
+from . import forest, isomedia, langid, lines, minhash, mixing, negatives, paragraphs, suffix, templates, unigram, url_filter, whitening
 from .common import table
 
 
@@ -50,9 +50,25 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.paragraph_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_url_filter, op3_language_id, op4_minhash_near_dedup, op5_forest_neighbours, op6_line_dedup, op7_unigram_pieces, op8_suffix_dedup, op9_source_mixing, op10_paragraph_dedup)}
+    listed = (
+        op1_media_columns, op2_url_filter, op3_language_id, op4_minhash_near_dedup, op5_forest_neighbours, op6_line_dedup, op7_unigram_pieces, op8_suffix_dedup, op9_source_mixing,
+        op10_paragraph_dedup, op11_embedding_whitening, op12_hard_negatives, op13_main_text,
+    )
+    return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.oracle(), "op6_line_dedup": lines.oracle(), "op9_source_mixing": mixing.oracle()}
+    return {"op2_url_filter": url_filter.oracle(), "op6_line_dedup": lines.oracle(), "op9_source_mixing": mixing.oracle(), "op12_hard_negatives": negatives.oracle()}
