@@ -57,13 +57,13 @@ def site(seed, host, n, declared):
     return out
 
 
-@pytest.mark.parametrize("declared", [True, False])
-def test_op13_templates_go_and_articles_stay(spark, declared):
+@pytest.mark.parametrize("declared, most", [(True, 1000), (False, 1000), (True, 0), (False, 0)])
+def test_op13_templates_go_and_articles_stay(spark, declared, most):
     """Parts that no tag or name marks go by their counts; a passage on a quarter of the pages, and copies of a page, stay."""
     pages = [*site(1, "a.example", 40, declared), *site(2, "b.example", 25, declared)]
     pages += [pages[3]] * 30
     rows = [(i, u, h, "t", "k", "h", 1, "s") for i, (u, h, _) in enumerate(pages)]
-    got = templates.extract(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect()
+    got = templates.extract(spark.createDataFrame(rows, SCHEMA).repartition(6), most_broadcast=most).collect()
     assert {r.page_id: r.text for r in got} == {i: t for i, (_, _, t) in enumerate(pages)}
     assert all(r.n_template >= 1 and r.n_chars == len(r.text) for r in got)
 

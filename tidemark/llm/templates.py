@@ -26,6 +26,9 @@ from .url_filter import split_url
 #: Least number of pages, and least share of the host's pages, on which a subtree recurs: outside the content, a container of it, prose of it.
 MANY = ((3, 0.005), (4, 0.3), (10, 0.5))
 
+#: Up to this many templates (24 bytes each) are broadcast; beyond, pages are joined with theirs.
+MOST_BROADCAST = 200_000
+
 TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^A-Za-z][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -307,8 +310,8 @@ def _analysed(pages: DataFrame) -> DataFrame:
 
 
 def site_templates(seen: DataFrame) -> DataFrame:
-    """``(subtree, level, held)``: subtrees that recur on many pages of their host, the level of ``MANY`` that they reach, and the
-    number of rows that hold them. Pages of one main text count once, with the least of their lists of subtrees."""
+    """``(subtree, level)``: subtrees that recur on many pages of their host, and the level of ``MANY`` that they reach.
+    Pages of one main text count once, with the least of their lists of subtrees."""
     once = seen.groupBy("host", "digest").agg(F.min("subtrees").alias("subtrees"))
     hosts = seen.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counted = once.select("host", F.explode("subtrees").alias("subtree")).groupBy("subtree").agg(F.count(F.lit(1)).alias("n"), F.min("host").alias("host"))
@@ -318,11 +321,19 @@ def site_templates(seen: DataFrame) -> DataFrame:
     level = F.lit(-1)
     for k, (least, share) in enumerate(MANY):
         level = F.when((F.col("n") >= least) & (F.col("n") >= share * F.col("pages")), k).otherwise(level)
+    return of_host.select("subtree", level.alias("level")).filter("level >= 0")
+
+
+def _hits(pages: DataFrame, seen: DataFrame, templates: DataFrame) -> DataFrame:
+    """``pages`` with ``hits``, the templates that stand on each, by joins; for sites too many to broadcast."""
     held = seen.select(F.explode("subtrees").alias("subtree")).groupBy("subtree").agg(F.count(F.lit(1)).alias("held"))
-    return of_host.select("subtree", level.alias("level")).filter("level >= 0").join(held, "subtree")
+    rows = seen.select("key", F.explode("subtrees").alias("subtree"))
+    hits = hot_join(rows, templates.join(held, "subtree"), "subtree", "held", "key").groupBy("key").agg(F.collect_set(F.struct("subtree", "level")).alias("hits"))
+    keys = seen.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).join(hits, "key", "left")
+    return hot_join(pages, keys, "key", "copies", "id")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``(id_col, url_col, text, n_chars, n_template, n_marked)`` for every row of ``pages``.
 
     References are decoded first; any Unicode white space (also a no-break space, ``br`` or the border of two table
@@ -337,16 +348,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     plain = plain.withColumn("key", F.unhex(F.sha2(F.concat("host", F.lit("\n"), "html"), 256)))
     seen = stored(_analysed(plain), "templates-seen")
     templates = stored(site_templates(seen), "templates")
-    rows = seen.select("key", F.explode(F.col("subtrees")).alias("subtree")).distinct()
-    hits = hot_join(rows, templates, "subtree", "held", "key").groupBy("key").agg(F.collect_list(F.struct("subtree", "level")).alias("hits"))
-    keys = seen.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).join(hits, "key", "left")
-    joined = hot_join(plain, keys, "key", "copies", "id")
+    # the templates of one host are at most the subtrees of an average page over the least share; those of all hosts are counted
+    few = templates.count() <= most_broadcast
+    shared = spark.sparkContext.broadcast({bytes(r.subtree): r.level for r in templates.collect()} if few else {})
+    joined = plain.withColumn("hits", F.lit(None).cast("array<struct<subtree:binary,level:int>>")) if few else _hits(plain, seen, templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for host, text, found in zip(*(b.column(c).to_pylist() for c in ("host", "html", "hits"))):
-                out.append(Page(text, host).text({h["subtree"]: h["level"] for h in found} if found else None))
+                out.append(Page(text, host).text({h["subtree"]: h["level"] for h in found or ()} or (shared.value if host else None)))
             texts = [t for t, _, _ in out]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([d for _, d, _ in out], pa.int32()), pa.array([m for _, _, m in out], pa.int32())], [id_col, url_col, "text", "n_chars", "n_template", "n_marked"])
 
