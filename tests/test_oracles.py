@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from tests.conftest import TINY
-from tidemark.plans import registry, registry_more  # noqa: F401
+from tidemark.plans import registry, registry_models, registry_more  # noqa: F401
 from tidemark.plans.fixtures import TABLES
 
 

@@ -147,7 +147,7 @@ def test_selection_ranks_simple_models_first(spark):
     df = spark.createDataFrame(rows, "match_id long, matchday int, result string, u double, v double").withColumn("kickoff", F.timestamp_seconds(F.col("matchday") * 604800))
     ranked, pred = selection.select(df, [(3, 4, 5), (5, 6, 7)], {"one": ["u"], "two": ["u", "v"]}, [0.1])
     got = ranked.orderBy("selection_rank").collect()
-    assert len(got) == 2 and got[0].feature_count == 1 and pred.count() == 2 * 36
+    assert len(got) == 2 and got[0].feature_count == 1 and pred.count() == 3 * 36
     with pytest.raises(selection.FrozenConfigurationChanged):
         selection.final_model(df, df, ranked, ["u", "v"], 0.1, "two")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import argparse
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +17,14 @@ from .functions import scalars as S
 from .operators import checks as C
 from .operators import evaluation as E
 from .operators import matches as M
+from .operators import multinomial as X
 from .operators import news as N
 from .operators import raw as R
 from .operators import selection
 from .sources import files
 
-FEATURES = ("rating_difference", "home_form_points", "away_form_points", "home_avg_goals_for", "away_avg_goals_for", "home_avg_goals_against", "away_avg_goals_against", "home_avg_shots_for", "away_avg_shots_for")
-SETS = {"rating": FEATURES[:1], "form": FEATURES}
-CS = (0.01, 0.1, 1.0)
+CS = (0.01, 0.1, 1.0, 10.0)
+FOLDS = {27: ((12, 13, 17), (17, 18, 22), (22, 23, 27))}  # by the last matchday of the training rows
 
 
 class Season:
@@ -65,7 +65,7 @@ def build_numerical_matches(s: Season, a) -> None:
 
 
 def build_numerical_features(s: Season, a) -> None:
-    out = M.match_features(s.read("interim", "numerical_matches")).withColumn("dataset_split", M.split_label(F.col("matchday"), a.train_end, a.last))
+    out = M.numerical_features(s.read("interim", "numerical_matches"), a.train_end, a.last)
     C.enforce(C.unique(out, ["match_id"]), C.chronological(out, F.col("dataset_split") == "train", F.col("dataset_split") == "test", "kickoff"))
     s.write(out, "processed", "numerical_features")
 
@@ -132,16 +132,24 @@ def evaluate_dummy(s: Season, a) -> None:
 
 def evaluate_reference(s: Season, a) -> None:
     train, test = _split(s)
-    _scored(s, E.logistic(train, test, FEATURES, c=1.0)[1], "reference")
+    _fitted(s, X.fit_predict(train, test, {"reference": (M.FEATURES, 1.0)}), "reference")
 
 
-def _folds(last: int) -> list[tuple[int, int, int]]:
+def _fitted(s: Season, out: tuple, name: str) -> None:
+    s.write(X.coefficients(out[0], s.spark), "processed", f"coefficients_{name}")
+    _scored(s, out[1], name)
+
+
+def _folds(last: int) -> Sequence[tuple[int, int, int]]:
+    if last in FOLDS:
+        return FOLDS[last]
     step = max(1, last // 6)
     return [(last - k * step, last - k * step + 1, last - (k - 1) * step) for k in (3, 2, 1)]
 
 
 def select_configuration(s: Season, a) -> None:
-    ranked, pred = selection.select(_split(s)[0], _folds(a.train_end), SETS, CS)
+    ranked, pred = selection.select(_split(s)[0], _folds(a.train_end), M.SETS, CS)
+    C.enforce(selection.validation_violations(pred).select(F.lit("validation").alias("check"), F.col("match_id").cast("string").alias("key"), F.col("times").cast("string").alias("detail")))
     s.write(ranked, "processed", "selection")
     s.write(pred, "processed", "selection_predictions")
 
@@ -151,7 +159,7 @@ def evaluate_final(s: Season, a) -> None:
     ranked = s.read("processed", "selection")
     best = ranked.filter("selection_rank = 1").first()
     name = best["model_id"].split("__")[1]
-    _scored(s, selection.final_model(train, test, ranked, SETS[name], best["c"], name)[1], "final")
+    _fitted(s, selection.final_model(train, test, ranked, M.SETS[name], best["c"], name), "final")
 
 
 def _news_columns(f: DataFrame) -> list[str]:
@@ -161,7 +169,7 @@ def _news_columns(f: DataFrame) -> list[str]:
 def evaluate_news_only(s: Season, a) -> None:
     n = s.read("processed", "news_features")
     train, test = (x.join(n, "match_id") for x in _split(s))
-    _scored(s, E.logistic(train, test, _news_columns(n), c=s.read("processed", "selection").filter("selection_rank = 1").first()["c"])[1], "news")
+    _fitted(s, X.fit_predict(train, test, {"news": (_news_columns(n), s.read("processed", "selection").filter("selection_rank = 1").first()["c"])}), "news")
 
 
 def evaluate_combined(s: Season, a) -> None:
@@ -169,8 +177,8 @@ def evaluate_combined(s: Season, a) -> None:
     C.enforce(C.covers(s.read("processed", "numerical_features"), n, ["match_id"]))
     train, test = (x.join(n, "match_id") for x in _split(s))
     best = s.read("processed", "selection").filter("selection_rank = 1").first()
-    columns = [*SETS[best["model_id"].split("__")[1]], *_news_columns(n)]
-    _scored(s, E.logistic(train, test, columns, c=best["c"])[1], "combined")
+    columns = [*M.SETS[best["model_id"].split("__")[1]], *_news_columns(n)]
+    _fitted(s, X.fit_predict(train, test, {"combined": (columns, best["c"])}), "combined")
 
 
 COMMANDS: dict[str, Callable] = {

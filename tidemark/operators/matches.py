@@ -114,12 +114,36 @@ def ratings(matches: DataFrame) -> DataFrame:
 
 
 def match_features(matches: DataFrame) -> DataFrame:
-    """One row a match: both sides' history and the rating difference, with the outcome."""
+    """One row a match: both sides' history and the rating difference, with the outcome.
+
+    The history is made once; a match's two sides meet in one aggregate over the match.
+    """
     h = history(observations(matches))
     names = [c for c in h.columns if c not in ("match_id", "season", "league", "matchday", "kickoff", "team_id", "venue")]
-    side = lambda v: h.filter(F.col("venue") == v).select("match_id", *[F.col(c).alias(f"{v}_{c}") for c in names])
+    sides = h.groupBy("match_id").agg(*[F.max(F.when(F.col("venue") == v, F.col(c))).alias(f"{v}_{c}") for v in ("home", "away") for c in names])
     base = matches.select("match_id", "season", "league", "matchday", "kickoff", outcome(F.col("home_goals"), F.col("away_goals")).alias("result"))
-    return base.join(side("home"), "match_id").join(side("away"), "match_id").join(ratings(matches), "match_id")
+    return base.join(sides, "match_id").join(ratings(matches), "match_id")
+
+
+# The columns of the feature table, by their names here.
+CONTRACT = {
+    "played": "matches_played", "points_per_game": "points_per_game", "form_points": "form_points_last_5", "avg_goals_for": "goals_for_last_5_avg", "avg_goals_against": "goals_against_last_5_avg",
+    "avg_shots_for": "shots_for_last_5_avg", "avg_shots_against": "shots_against_last_5_avg", "avg_sot_for": "shots_on_target_for_last_5_avg", "avg_sot_against": "shots_on_target_against_last_5_avg",
+    "avg_corners_for": "corners_for_last_5_avg", "avg_corners_against": "corners_against_last_5_avg", "avg_fouls": "fouls_committed_last_5_avg", "avg_yellow": "yellow_cards_last_5_avg",
+    "red_per_game": "red_cards_per_game", "venue_played": "venue_matches_played", "venue_points_per_game": "venue_points_per_game", "days_since": "days_since_last_match",
+}
+METADATA = ("match_id", "season", "league", "matchday", "kickoff", "home_team_id", "home_team", "away_team_id", "away_team", "dataset_split")
+FEATURES = (*[f"{side}_{name}" for name in CONTRACT.values() for side in ("home", "away")], "elo_difference_before")
+COUNTS = ("home_matches_played", "away_matches_played", "home_venue_matches_played", "away_venue_matches_played")
+SETS = {"full": FEATURES, "without_match_counts": tuple(c for c in FEATURES if c not in COUNTS)}
+
+
+def numerical_features(matches: DataFrame, train_end: int, last: int) -> DataFrame:
+    """The feature table: metadata (teams' names where there are any), the 35 features in their order, the result."""
+    named = {f"{side}_{c}": f"{side}_{name}" for c, name in CONTRACT.items() for side in ("home", "away")} | {"rating_difference": "elo_difference_before"}
+    f = match_features(matches).select("match_id", "result", *[F.col(c).alias(name) for c, name in named.items()])
+    meta = matches.withColumn("dataset_split", split_label(F.col("matchday"), train_end, last))
+    return meta.select(*[c for c in METADATA if c in meta.columns]).join(f, "match_id").select(*[c for c in METADATA if c in meta.columns], *FEATURES, "result")
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> dict[str, DataFrame]:

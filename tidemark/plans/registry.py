@@ -116,9 +116,31 @@ def win_19_fn_29_rating_difference(spark, d):
 ORACLES["win_19_fn_29_rating_difference"] = _recursive(ELO_SQL)
 
 
+HIST_SQL = f"hist AS (SELECT match_id, venue, {', '.join(f'{sql} AS {col}' for col, sql in HISTORY.values())} FROM obs {HIST_W})"
+SIDES_SQL = "SELECT m.match_id, m.season, m.league, m.matchday, {}, e.rating_difference AS {}, CASE WHEN home_goals > away_goals THEN 'H' WHEN home_goals = away_goals THEN 'D' ELSE 'A' END AS result{} FROM fx_match m JOIN hist h ON h.match_id = m.match_id AND h.venue = 'home' JOIN hist a ON a.match_id = m.match_id AND a.venue = 'away' JOIN elo e ON e.match_id = m.match_id"
+ELO_WITH, ELO_SELECT = ELO_SQL.rsplit("\nSELECT", 1)
+
+
+def _features_sql(names: dict[str, str], rating: str, more: str = "") -> str:
+    columns = ", ".join(f"{side[0]}.{c} AS {side}_{name}" for c, name in names.items() for side in ("home", "away"))
+    return _recursive(f"{ELO_WITH}, {OBS_SQL}, {HIST_SQL}, elo AS (SELECT{ELO_SELECT})\n" + SIDES_SQL.format(columns, rating, more))
+
+
 @query()
 def win_20_match_features(spark, d):
-    return M.match_features(view(spark, d, "fx_match"))
+    return M.match_features(view(spark, d, "fx_match")).drop("kickoff").withColumn("rating_difference", F.round("rating_difference", 4))
+
+
+ORACLES["win_20_match_features"] = _features_sql({c: c for c, _ in HISTORY.values()}, "rating_difference")
+
+
+@query()
+def prj_22_23_feature_table(spark, d):
+    """The whole feature table by its contract's names and order, kickoff left out."""
+    return M.numerical_features(view(spark, d, "fx_match"), TRAIN_END, LAST).drop("kickoff").withColumn("elo_difference_before", F.round("elo_difference_before", 4))
+
+
+ORACLES["prj_22_23_feature_table"] = _features_sql(M.CONTRACT, "elo_difference_before", f", m.home_team_id, m.away_team_id, CASE WHEN m.matchday <= {TRAIN_END} THEN 'train' ELSE 'test' END AS dataset_split")
 
 
 @query("SELECT match_id, home_team_id, away_team_id, h.team AS home_team, a.team AS away_team FROM fx_match m JOIN fx_team h ON h.team_id = m.home_team_id JOIN fx_team a ON a.team_id = m.away_team_id")
