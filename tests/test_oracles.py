@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from tests.conftest import TINY
-from tidemark.plans import registry, registry_models, registry_more  # noqa: F401
+from tidemark.plans import registry, registry_models, registry_more, registry_streams  # noqa: F401
 from tidemark.plans.fixtures import TABLES
 
 
@@ -45,4 +45,4 @@ def test_query_without_sql_gives_rows(spark, name):
 
 
 def test_names_carry_their_operators():
-    assert all(re.match(r"(prj|win|join|flt|agg|fn|stat|ml|ord|set|chk|src)_\d\d", n) for n in registry.QUERIES)
+    assert all(re.match(r"(prj|win|join|flt|agg|fn|stat|ml|ord|set|chk|src|str)_\d\d", n) for n in registry.QUERIES)

@@ -3,7 +3,7 @@
 import duckdb
 
 from tests.conftest import TINY
-from tidemark.plans import registry, registry_models, registry_more  # noqa: F401
+from tidemark.plans import registry, registry_models, registry_more, registry_streams  # noqa: F401
 from tidemark.plans.fixtures import view
 
 PERCENT_SQL = "SELECT o_orderkey, printf('%.1f %%', 100.0 * (o_orderkey % 1000) / 1000) AS shown FROM orders WHERE o_orderkey % 1000 % 5 = 0"
