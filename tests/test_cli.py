@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import TINY
 from tidemark import cli
+from tidemark.plans import registry_articles
 from tidemark.plans.fixtures import view
 
 
@@ -22,15 +23,29 @@ def test_models_from_features_to_reports(spark, tmp_path):
     assert cli.main(["evaluate-combined-model", *base], spark) == 1
 
 
+def judged_without_host(spark):
+    return view(spark, TINY, "fx_raw").filter("rq < 8 AND url_text IS NULL AND NOT has_source").count()
+
+
 def test_news_steps(spark, tmp_path):
     s = cli.Season(spark, str(tmp_path), 2025)
-    s.write(view(spark, TINY, "fx_art"), "interim", "occurrences")
-    s.write(view(spark, TINY, "fx_policy"), "processed", "source_policy")
+    folder = tmp_path / "raw" / "season=2025" / "responses"
+    folder.mkdir(parents=True)
+    asked = view(spark, TINY, "fx_ask").filter("rq < 8").drop("rq", "lang")
+    s.write(asked, "interim", "requests")
+    s.write(view(spark, TINY, "fx_rule"), "processed", "source_policy")
+    for r in registry_articles.responses(spark, TINY).filter("rq < 7").collect():
+        (folder / f"{r.request_id}.json").write_text(r.body)
     base = ["--root", str(tmp_path), "--season", "2025", "--lang", "en"]
+    assert cli.main(["build-news-articles", *base], spark) == 1  # a response is missing
+    (folder / "q7.json").write_text(registry_articles.responses(spark, TINY).filter("rq = 7").first().body)
     for command in ("export-news-source-review", "build-news-articles", "build-news-contents", "build-news-annotation-tasks"):
         assert cli.main([command, *base], spark) == 0, command
+    judged = registry_articles.judged(spark, TINY).join(asked.select("request_id"), "request_id").filter("reason IS NULL")
+    assert {r.article_id for r in s.read("interim", "articles").collect()} == {r.article_id for r in judged.collect()}
+    assert s.read("interim", "source_review").agg(F.sum("article_count")).first()[0] == 200 - judged_without_host(spark)
     assert s.read("interim", "tasks").select("task_id").distinct().count() == s.read("interim", "tasks").count() > 0
     bad = tmp_path / "raw" / "season=2025"
-    bad.mkdir(parents=True)
+    bad.mkdir(parents=True, exist_ok=True)
     (bad / "review.csv").write_text("website_url,article_count,legal_text,review_status,review_date\nhttps://a.de,x,,no_reservation_found,2025-09-01\n")
     assert cli.main(["build-news-source-policy", *base], spark) == 1

@@ -3,7 +3,7 @@
 import duckdb
 
 from tests.conftest import TINY
-from tidemark.plans import registry, registry_models, registry_more, registry_streams  # noqa: F401
+from tidemark.plans import registry, registry_articles, registry_models, registry_more, registry_streams  # noqa: F401
 from tidemark.plans.fixtures import view
 
 PERCENT_SQL = "SELECT o_orderkey, printf('%.1f %%', 100.0 * (o_orderkey % 1000) / 1000) AS shown FROM orders WHERE o_orderkey % 1000 % 5 = 0"
@@ -28,3 +28,11 @@ def test_numbered_elements_of_all_lines(spark):
     docs = view(spark, TINY, "documents").select("doc_id", "text").collect()
     assert got == sorted((r.doc_id, i, x) for r in docs if r.text is not None for i, x in enumerate(r.text.split("\n"), 1))
     assert [r for r in got if r[1] % 2 == 0] == by_sql(LINES_SQL, "documents")
+
+
+def test_normalized_titles_of_all_documents(spark):
+    import unicodedata
+
+    plain = lambda t: " ".join(unicodedata.normalize("NFKC", t.split("\n")[0]).casefold().split()) or None
+    got = {r.doc_id: r.title for r in registry.QUERIES["fn_03_normalized_titles"](spark, TINY).collect()}
+    assert got == {r.doc_id: None if r.text is None else plain(r.text) for r in view(spark, TINY, "documents").collect()}

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
+from .operators import articles as A
 from .operators import checks as C
 from .operators import evaluation as E
 from .operators import matches as M
@@ -82,28 +83,48 @@ def build_news_source_policy(s: Season, a) -> None:
     s.write(out, "processed", "source_policy")
 
 
+def _responses(s: Season) -> DataFrame:
+    """The stored responses, one a file named after its request, with what each is asked for."""
+    folder = s.layout.path("raw", "responses")
+    files_ = s.spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+    name = F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
+    out = files_.select(name.alias("request_id"), F.concat(F.lit(f"{folder}/"), F.col("_metadata.file_name")).alias("raw_response_path"), F.col("value").alias("body"))
+    asked = s.read("interim", "requests")
+    C.enforce(A.request_violations(asked), C.covers(asked, out, ["request_id"], "responses"), A.response_violations(out, ["request_id"]))
+    return out
+
+
 def export_news_source_review(s: Season, a) -> None:
-    out = s.read("interim", "occurrences").groupBy(S.homepage(F.col("url")).alias("website_url")).agg(F.count(F.lit(1)).alias("article_count"))
+    host = A.source_host(F.col("raw"))
+    out = A.occurrences(_responses(s)).withColumn("host", host).filter(F.col("host").isNotNull()).groupBy(F.concat(F.lit("https://"), "host").alias("website_url")).agg(F.count(F.lit(1)).alias("article_count"))
     s.write(out.orderBy(F.desc("article_count"), "website_url"), "interim", "source_review")
 
 
 def build_news_articles(s: Season, a) -> None:
-    judged = N.judged(s.read("interim", "occurrences"), s.read("processed", "source_policy"), a.lang, a.first_day, a.last_day)
-    s.report(N.occurrence_report(judged), "articles")
-    kept = judged.filter(F.col("reason").isNull()).withColumn("article_id", S.article_id(F.lit(None).cast("string"), S.canonical_url(F.col("url"))))
-    s.write(N.first_of_request(kept, ["request_id", "article_id"], ["doc_id"]), "interim", "articles")
+    """Occurrences of the stored responses judged by the whole chain; accepted articles, their links and the report."""
+    policy = s.read("processed", "source_policy").select("host", "decision")
+    asked = s.read("interim", "requests").withColumn("lang", F.lit(a.lang))
+    judged = A.judge(A.occurrences(_responses(s)), asked, policy, a.timezone).persist()
+    try:
+        s.report(N.occurrence_report(judged.withColumn("host", F.col("source_host"))), "articles")
+        s.write(A.articles(judged), "interim", "articles")
+        s.write(A.links(judged), "interim", "links")
+    finally:
+        judged.unpersist()
+    C.enforce(C.unique(s.read("interim", "articles"), ["article_id"]), C.unique(s.read("interim", "links"), ["request_id", "article_id"]))
 
 
 def build_news_contents(s: Season, a) -> None:
-    out = N.contents(s.read("interim", "articles"), S.normalized_body(F.col("text")), "article_id", "host")
+    out = N.contents(s.read("interim", "articles"), S.normalized_body(F.col("body")), "article_id", "source_host")
     s.report(N.duplicate_report(out), "contents")
     s.write(out, "interim", "contents")
 
 
 def build_news_annotation_tasks(s: Season, a) -> None:
-    links = s.read("interim", "articles").withColumn("content_id", S.prefixed_sha("content_sha256", S.normalized_body(F.col("text"))))
-    out = N.winners(links, ["request_id", "content_id"], ["doc_id", "article_id"], "host")
-    s.write(out.withColumn("task_id", S.json_array_id(1, F.lit(a.schema), F.col("request_id").cast("string"), F.col("content_id"))), "interim", "tasks")
+    bodies = s.read("interim", "articles").select("article_id", "source_host", S.prefixed_sha("content_sha256", S.normalized_body(F.col("body"))).alias("content_id"))
+    links = s.read("interim", "links").join(bodies, "article_id")
+    out = N.winners(links, ["request_id", "content_id"], ["request_article_index", "article_id"], "source_host")
+    s.write(out.withColumn("task_id", S.json_array_id(1, F.lit(a.schema), F.col("request_id"), F.col("content_id"))), "interim", "tasks")
 
 
 def build_news_features(s: Season, a) -> None:
@@ -201,8 +222,6 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--schema", default="v3")
     p.add_argument("--train-end", type=int, default=27)
     p.add_argument("--last", type=int, default=34)
-    p.add_argument("--first-day", type=int, default=0)
-    p.add_argument("--last-day", type=int, default=10**6)
     return p
 
 

@@ -45,6 +45,12 @@ VIEWS: dict[str, str] = {
     "fx_art": """SELECT d.doc_id, d.doc_id % 90 AS day_no, d.lang, d.source, d.text, p.url, lower(regexp_extract(p.url, HOSTRE)) AS host, d.doc_id % 40 AS request_id
         FROM documents d CROSS JOIN (SELECT count(*) AS n FROM pages) z JOIN pages p ON p.page_id = d.doc_id % z.n""",
     "fx_policy": "SELECT DISTINCT host, CASE WHEN length(host) % 3 = 0 THEN 'exclude' ELSE 'include' END AS decision, length(host) * 3 AS article_count FROM fx_art WHERE length(host) % 7 <> 0",
+    "fx_raw": """SELECT a.*, CAST(floor(doc_id / 25) AS BIGINT) AS rq, row_number() OVER (PARTITION BY CAST(floor(doc_id / 25) AS BIGINT) ORDER BY doc_id) AS idx, regexp_replace(host, '^www[.]', '') AS nhost, day, doc_id % 59 <> 0 AS has_uri, 'u' || (doc_id % 400) AS uri,
+        CASE WHEN doc_id % 29 = 0 THEN 'n/a' ELSE CAST(day AS STRING) END AS date_text, CAST(day AS STRING) || CASE WHEN doc_id % 31 = 0 THEN 'T10:00:00' WHEN doc_id % 37 = 0 THEN 'T23:30:00Z' ELSE 'T10:00:00Z' END AS pub_text,
+        CASE WHEN doc_id % 61 <> 0 THEN url END AS url_text, doc_id % 43 <> 0 AS has_source, CASE WHEN doc_id % 41 <> 0 THEN 'T ' || doc_id END AS title, CASE WHEN doc_id % 47 = 0 THEN 'text' WHEN doc_id % 53 = 0 THEN 'number' ELSE 'list' END AS authors_kind
+        FROM (SELECT *, CAST(DATE '2025-01-01' + CAST(day_no AS INTEGER) AS DATE) AS day FROM fx_art) a""",
+    "fx_rule": "SELECT DISTINCT nhost AS host, CASE WHEN length(nhost) % 3 = 0 THEN 'exclude' ELSE 'include' END AS decision FROM fx_raw WHERE length(nhost) % 7 <> 0",
+    "fx_ask": "SELECT DISTINCT 'q' || rq AS request_id, rq, CAST(floor(rq / 2) AS BIGINT) AS match_id, 2025 AS season, 'bl' AS league, CASE WHEN rq % 2 = 0 THEN 'home' ELSE 'away' END AS side, rq AS team_id, 't' || rq AS team, 'team' AS request_type, 'concept' AS query_strategy, '2025-01-11' AS date_start, '2025-03-22' AS date_end, 'en' AS lang FROM fx_raw",
     "fx_ascii": "SELECT doc_id, text, source, lang FROM documents WHERE length(text) = octet_length(CAST(text AS BLOB_)) ",
     "fx_score": "SELECT match_id, matchday, league, mdl, CASE WHEN home_goals > away_goals THEN 'H' WHEN home_goals < away_goals THEN 'A' ELSE 'D' END AS actual, "
     + ", ".join(f"CAST((match_id * ({a} + mdl)) % 97 + 1 AS DOUBLE) AS s_{c}" for c, a in (("h", 7), ("d", 11), ("a", 13)))
