@@ -233,6 +233,25 @@ def test_op5_recall_and_odd_vectors(spark):
     assert [r.vec_id for r in few] == [1, 2]
 
 
+def test_op5_equal_vectors_get_equal_scores(spark):
+    """Copies spread over shards: their scores agree to the last bit, so ties fall to the smaller id."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(600, 64))
+    v[495:] = v[rng.integers(0, 20, 105)]
+    ids = rng.permutation(6000)[:600]
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<double>").repartition(5)
+    of = {int(i): x for i, x in zip(ids, v)}
+    got = defaultdict(list)
+    for r in forest.search(df, F.col("vec_id") % 9 == 0, shard_rows=128).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r)
+    assert len(got) > 40
+    for q, found in got.items():
+        score = {}
+        for r in found:
+            assert score.setdefault(of[r.vec_id].tobytes(), r.score) == r.score
+        assert [(-r.score, r.vec_id) for r in found] == sorted((-r.score, r.vec_id) for r in found)
+
+
 def test_op5_recall_on_the_shipped_vectors(spark):
     for size in ("sf0.001", "sf0.01"):
         df = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")

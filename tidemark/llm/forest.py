@@ -61,7 +61,7 @@ class Forest:
         return lo, hi
 
     def search(self, queries: np.ndarray, enough: int):
-        """For each query the rows that are candidates and their inner products."""
+        """For each query the rows that are candidates and their inner products, right but for rounding."""
         lo, hi = self.ranges(queries, enough)
         seen = np.zeros(len(self.v), bool)
         for q, a, b in zip(queries, lo, hi):
@@ -72,6 +72,16 @@ class Forest:
             yield rows, self.v[rows] @ q
 
 
+def exact_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products, each summed in the same order, so equal vectors have equal ones wherever they stand."""
+    return (vectors * query).sum(axis=1)
+
+
+def contenders(scores: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Places of all that can be among the k largest if each score is off by up to half of ``slack``."""
+    return np.flatnonzero(scores >= np.partition(scores, -k)[-k] - slack) if len(scores) > k else np.arange(len(scores))
+
+
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k largest scores, ties to the smaller id."""
     if len(scores) > k:
@@ -115,9 +125,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", co
         forest = Forest(flat(left, "v"), trees)
         enough = max(8 * (k + 1), int(share * len(ids)))
         out_q, out_v, out_s = [], [], []
-        for q, (at, scores) in zip(qs, forest.search(flat(right, "q_v"), enough)):
+        asked, slack = flat(right, "q_v"), 8 * forest.v.shape[1] * np.finfo(float).eps * float(np.sqrt(forest.most))
+        for q, v, (at, scores) in zip(qs, asked, forest.search(asked, enough)):
             other = ids[at] != q
-            at, scores = at[other], scores[other]
+            at = at[other][contenders(scores[other], k, slack * float(np.sqrt(v @ v)))]
+            scores = exact_products(forest.v[at], v)
             top = best(ids[at], scores, k)
             out_q.append(np.full(len(top), q))
             out_v.append(ids[at[top]])
