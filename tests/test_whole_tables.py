@@ -3,7 +3,7 @@
 import duckdb
 
 from tests.conftest import TINY
-from tidemark.plans import registry, registry_articles, registry_models, registry_more, registry_streams  # noqa: F401
+from tidemark.plans import registry, registry_articles, registry_models, registry_more, registry_provenance, registry_streams  # noqa: F401
 from tidemark.plans.fixtures import view
 
 PERCENT_SQL = "SELECT o_orderkey, printf('%.1f %%', 100.0 * (o_orderkey % 1000) / 1000) AS shown FROM orders WHERE o_orderkey % 1000 % 5 = 0"
@@ -36,3 +36,11 @@ def test_normalized_titles_of_all_documents(spark):
     plain = lambda t: " ".join(unicodedata.normalize("NFKC", t.split("\n")[0]).casefold().split()) or None
     got = {r.doc_id: r.title for r in registry.QUERIES["fn_03_normalized_titles"](spark, TINY).collect()}
     assert got == {r.doc_id: None if r.text is None else plain(r.text) for r in view(spark, TINY, "documents").collect()}
+
+
+def test_seeded_sample_of_all_events(spark):
+    import random
+
+    ids = sorted(str(r.event_id) for r in view(spark, TINY, "events").select("event_id").collect())
+    got = [r.task_id for r in registry.QUERIES["ord_10_seeded_sample"](spark, TINY).orderBy("ordinal").collect()]
+    assert got == random.Random(20260101).sample(ids, 100)

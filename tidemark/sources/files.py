@@ -44,6 +44,44 @@ def read_csv(spark: SparkSession, path: str, required: tuple[str, ...] = (), enc
     return df.select(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in names]).na.drop("all")
 
 
+# What the bytes 0x80 to 0x9f stand for in the single-byte code page; five of them for nothing.
+HIGH = "\u20ac\x81\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\x8d\u017d\x8f\x90\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\x9d\u017e\u0178"
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, encoding, text)`` of whole files: UTF-8, a byte order mark dropped, or else the single-byte code page.
+
+    Each file is judged by its own bytes. A file that is neither (a byte that stands for nothing) is an error; an empty file
+    gives no row, as Spark does not read it.
+    """
+    f = spark.read.format("binaryFile").load(path).select("path", "content")
+    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
+    single = F.decode("content", "ISO-8859-1")
+    nothing = single.rlike("[\x81\x8d\x8f\x90\x9d]")
+    low = "".join(map(chr, range(0x80, 0xA0)))
+    decoded = F.when(nothing, F.raise_error(F.concat(F.lit("neither encoding fits "), "path"))).otherwise(F.translate(single, low, HIGH))
+    text = F.when(utf8, F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")).otherwise(decoded)
+    return f.select("path", F.when(utf8, "utf-8").otherwise("cp1252").alias("encoding"), text.alias("text"))
+
+
+def read_mixed_csv(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """CSV files of either encoding with one header: as ``read_csv``, with ``path``; a record is a line."""
+    lines = read_text(spark, path).select("path", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("at", "line")).filter(F.trim("line") != "")
+    heads = lines.groupBy("path").agg(F.min_by("line", "at").alias("head"), F.min("at").alias("first"))
+    found = [r.head for r in heads.select("head").distinct().limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError("no header" if not found else "files with different headers")
+    names = [(x or "").strip() for x in spark.createDataFrame([(found[0],)], "h string").select(F.from_csv("h", ", ".join(f"c{i} string" for i in range(found[0].count(",") + 1))).alias("h")).first().h]
+    if "" in names or len(set(names)) < len(names):
+        raise ValueError(f"bad header: {names}")
+    if lacking := [c for c in required if c not in names]:
+        raise ValueError(f"missing columns: {lacking}")
+    body = lines.join(F.broadcast(heads.select(F.col("path").alias("_p"), "first")), (F.col("path") == F.col("_p")) & (F.col("at") > F.col("first")))
+    rows = body.select("path", F.from_csv("line", ", ".join(f"c{i} string" for i in range(len(names)))).alias("r"))
+    out = rows.select("path", *[F.nullif(F.trim(F.col(f"r.c{i}")), F.lit("")).alias(n) for i, n in enumerate(names)])
+    return out.na.drop("all", subset=[f"`{n}`" for n in names])
+
+
 def is_utf8(spark: SparkSession, path: str) -> bool:
     """Whether all bytes of a file are UTF-8, to choose between two encodings."""
     return bool(spark.read.format("binaryFile").load(path).select(F.is_valid_utf8(F.col("content").cast("string")).alias("ok")).agg(F.min("ok")).first()[0])
