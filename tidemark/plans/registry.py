@@ -325,10 +325,10 @@ def agg_25_differing_indicators(spark, d):
     return t.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
 
 
-@query(f"WITH {PAIRS} SELECT indicator, count(a) AS mentions_a, count(b) AS mentions_b, round(count(a) / count(*), 6) AS share_a, round(count(b) / count(*), 6) AS share_b FROM r GROUP BY indicator")
+@query(f"WITH {PAIRS} SELECT indicator, count(a) AS mentions_a, count(b) AS mentions_b, round(count(a) / count(*), 6) AS share_a, round(count(b) / count(*), 6) AS share_b, CAST(sum(a) AS BIGINT) AS sum_a, CAST(sum(b) AS BIGINT) AS sum_b, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b FROM r GROUP BY indicator")
 def agg_23_27_mentions_by_run(spark, d):
     n = F.count(F.lit(1))
-    return _agreement(spark, d).groupBy("indicator").agg(F.count("a").alias("mentions_a"), F.count("b").alias("mentions_b"), F.round(F.count("a") / n, 6).alias("share_a"), F.round(F.count("b") / n, 6).alias("share_b"))
+    return _agreement(spark, d).groupBy("indicator").agg(F.count("a").alias("mentions_a"), F.count("b").alias("mentions_b"), F.round(F.count("a") / n, 6).alias("share_a"), F.round(F.count("b") / n, 6).alias("share_b"), *[f for c in "ab" for f in (F.sum(c).alias(f"sum_{c}"), F.round(F.avg(c), 6).alias(f"mean_{c}"))])
 
 
 @query(f"WITH {PAIRS} SELECT indicator, {', '.join(f'count(*) FILTER (a = {v}) AS a_{v + 2}, count(*) FILTER (b = {v}) AS b_{v + 2}' for v in N.SCALE)} FROM r GROUP BY indicator")
@@ -336,10 +336,11 @@ def agg_24_rating_histogram(spark, d):
     return _agreement(spark, d).groupBy("indicator").agg(*[f for v in N.SCALE for f in (F.count_if(F.col("a") == v).alias(f"a_{v + 2}"), F.count_if(F.col("b") == v).alias(f"b_{v + 2}"))])
 
 
-@query(f"WITH {LONG}, c AS (SELECT indicator, rating, count(*) AS n FROM l WHERE rating IS NOT NULL GROUP BY ALL) SELECT indicator, rating, n, round(100.0 * n / sum(n) OVER (PARTITION BY indicator), 6) AS percent FROM c")
+@query(f"WITH {LONG}, c AS (SELECT indicator, rating, count(*) AS n FROM l WHERE rating IS NOT NULL GROUP BY ALL) SELECT indicator, rating, n, round(100.0 * n / sum(n) OVER (PARTITION BY indicator), 6) AS percent, round(sum(n * rating) OVER (PARTITION BY indicator) / sum(n) OVER (PARTITION BY indicator), 6) AS mean FROM c")
 def agg_28_rating_percent(spark, d):
     n = _long(spark, d).filter(F.col("rating").isNotNull()).groupBy("indicator", "rating").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("percent", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy("indicator")), 6))
+    own = Window.partitionBy("indicator")
+    return n.withColumns({"percent": F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(own), 6), "mean": F.round(F.sum(F.col("n") * F.col("rating")).over(own) / F.sum("n").over(own), 6)})
 
 
 def _long(spark, d):
@@ -376,11 +377,11 @@ def flt_06_str_01_02_pending(spark, d):
     return N.pending(t, n, failed, True).select("task_id", F.lit(True).alias("retry")).unionByName(N.pending(t, n, failed).select("task_id", F.lit(False).alias("retry")))
 
 
-@query("WITH l AS (SELECT user_id AS task_id, count(*) AS last FROM events WHERE event_id % 3 = 0 GROUP BY user_id) SELECT e.user_id AS task_id, e.event_id AS recorded, coalesce(last, 0) + row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id) AS sequence FROM events e LEFT JOIN l ON l.task_id = e.user_id WHERE event_id % 3 = 1")
+@query("WITH l AS (SELECT user_id AS task_id, count(*) AS last FROM events WHERE event_type = 'error' GROUP BY user_id) SELECT e.user_id AS task_id, e.event_id AS recorded, coalesce(last, 0) + row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id) AS sequence FROM events e LEFT JOIN l ON l.task_id = e.user_id WHERE event_type <> 'error'")
 def win_24_agg_13_failure_sequence(spark, d):
-    e = view(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("recorded"))
-    log = e.filter("recorded % 3 = 0").withColumn("sequence", F.row_number().over(Window.partitionBy("task_id").orderBy("recorded")))
-    return N.next_sequence(e.filter("recorded % 3 = 1"), log).select("task_id", "recorded", "sequence")
+    e = view(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("recorded"), "event_type")
+    log = e.filter("event_type = 'error'").drop("event_type").withColumn("sequence", F.row_number().over(Window.partitionBy("task_id").orderBy("recorded")))
+    return N.next_sequence(e.filter("event_type <> 'error'").drop("event_type"), log).select("task_id", "recorded", "sequence")
 
 
 @query("WITH n AS (SELECT doc_id, length(text) AS len, row_number() OVER (ORDER BY length(text)) - 1 AS pos, count(*) OVER () AS n FROM documents), b AS (SELECT min(len) FILTER (pos = round_even((n - 1) * 0.25, 0)) AS q1, min(len) FILTER (pos = round_even((n - 1) * 0.5, 0)) AS q2, min(len) FILTER (pos = round_even((n - 1) * 0.75, 0)) AS q3 FROM n) SELECT doc_id, (len >= q1)::INT + (len >= q2)::INT + (len >= q3)::INT AS bin FROM n, b")
@@ -447,9 +448,9 @@ def agg_21_join_14_gain_by_matchday(spark, d):
     return _paired(spark, d).groupBy("league", "matchday").agg(F.round(F.avg("gain"), 9).alias("gain"))
 
 
-@query(f"WITH {PAIRED}, b AS (SELECT league, matchday, avg(gain) AS m FROM g WHERE matchday > 10 GROUP BY ALL), a AS (SELECT league, list(m ORDER BY matchday) AS ms FROM b GROUP BY league), v AS (SELECT league, ms, len(ms) AS k, unnest(range(0, 1 << len(ms))) AS v FROM a), s AS (SELECT league, k, list_sum(ms) / k AS gain, abs(list_sum(list_transform(range(0, k), lambda i: CASE WHEN (v >> i) & 1 = 1 THEN ms[i + 1] ELSE -ms[i + 1] END))) / k AS f FROM v) SELECT league, k::INT AS blocks, round(any_value(gain), 9) AS gain, round(count(*) FILTER (f >= abs(gain) - 1e-13) / count(*), 9) AS p_value FROM s GROUP BY league, k")
+@query(f"WITH {PAIRED}, b AS (SELECT league, floor((matchday + 1) / 2) AS pair, avg(gain) AS m FROM g GROUP BY ALL), a AS (SELECT league, list(m ORDER BY pair) AS ms FROM b GROUP BY league), v AS (SELECT league, ms, len(ms) AS k, unnest(range(0, 1 << len(ms))) AS v FROM a), s AS (SELECT league, k, list_sum(ms) / k AS gain, abs(list_sum(list_transform(range(0, k), lambda i: CASE WHEN (v >> i) & 1 = 1 THEN ms[i + 1] ELSE -ms[i + 1] END))) / k AS f FROM v) SELECT league, k::INT AS blocks, round(any_value(gain), 9) AS gain, round(count(*) FILTER (f >= abs(gain) - 1e-13) / count(*), 9) AS p_value FROM s GROUP BY league, k")
 def stat_01_sign_flip_test(spark, d):
-    return R9(E.sign_flip_test(_paired(spark, d).filter("matchday > 10"), ["league"]), ["gain", "p_value"])
+    return R9(E.sign_flip_test(_paired(spark, d).withColumn("pair", F.floor((F.col("matchday") + 1) / 2)), ["league"], block="pair"), ["gain", "p_value"])
 
 
 @query(f"WITH {PAIRED}, t AS (SELECT league, count(*) FILTER (bc AND cc) AS \"both\", count(*) FILTER (bc AND NOT cc) AS base_only, count(*) FILTER (NOT bc AND cc) AS cand_only, count(*) FILTER (NOT bc AND NOT cc) AS neither FROM g GROUP BY league) SELECT *, round(least(1.0, 2.0 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1))) FROM (SELECT base_only + cand_only AS n, unnest(range(0, least(base_only, cand_only) + 1)) AS i)) / pow(2.0, base_only + cand_only)), 9) AS p_value FROM t")
@@ -469,9 +470,9 @@ def agg_14_class_counts(spark, d):
     return R9(E.class_counts(view(spark, d, "fx_score"), ["league"], "actual"), ["share"])
 
 
-@query(f"WITH p AS (SELECT avg((actual = 'H')::DOUBLE) AS p_h, avg((actual = 'D')::DOUBLE) AS p_d, avg((actual = 'A')::DOUBLE) AS p_a FROM fx_score WHERE mdl = 0 AND matchday <= {TRAIN_END}) SELECT match_id, actual AS result, round(p_h, 9) AS p_h, round(p_d, 9) AS p_d, round(p_a, 9) AS p_a, CASE WHEN p_h >= p_d AND p_h >= p_a THEN 'H' WHEN p_d >= p_a THEN 'D' ELSE 'A' END AS predicted FROM fx_score, p WHERE mdl = 0 AND matchday > {TRAIN_END}")
+@query(f"WITH r AS (SELECT match_id, matchday, CASE WHEN home_goals > away_goals THEN 'H' WHEN home_goals < away_goals THEN 'A' ELSE 'D' END AS result FROM fx_match), p AS (SELECT avg((result = 'H')::DOUBLE) AS p_h, avg((result = 'D')::DOUBLE) AS p_d, avg((result = 'A')::DOUBLE) AS p_a FROM r WHERE matchday <= {TRAIN_END}) SELECT match_id, result, round(p_h, 9) AS p_h, round(p_d, 9) AS p_d, round(p_a, 9) AS p_a, CASE WHEN p_h >= p_d AND p_h >= p_a THEN 'H' WHEN p_d >= p_a THEN 'D' ELSE 'A' END AS predicted FROM r, p WHERE matchday > {TRAIN_END}")
 def ml_01_07_prior_predictions(spark, d):
-    s = view(spark, d, "fx_score").filter("mdl = 0").select("match_id", "matchday", F.col("actual").alias("result"))
+    s = view(spark, d, "fx_match").select("match_id", "matchday", M.outcome(F.col("home_goals"), F.col("away_goals")).alias("result"))
     out = E.prior_predictions(s.filter(F.col("matchday") <= TRAIN_END), s.filter(F.col("matchday") > TRAIN_END).drop("matchday"))
     return R9(out, ["p_h", "p_d", "p_a"])
 

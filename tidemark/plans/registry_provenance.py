@@ -82,3 +82,10 @@ def ord_10_seeded_sample(spark, d):
     """The hundred events that Python's seeded generator draws from all ids sorted as texts."""
     e = view(spark, d, "events").select(F.col("event_id").cast("string").alias("task_id"), "user_id")
     return P.seeded_sample(e, "task_id", 20260101, 100)
+
+
+@query("SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars NULLS FIRST, doc_id) - 1 AS position FROM documents")
+def ord_06_stable_order(spark, d):
+    """Every document's exact place by its metric, ties by id, without one task that holds all."""
+    docs = view(spark, d, "documents").select("doc_id", "n_chars", F.struct("n_chars", "doc_id").alias("place"))
+    return P.positions(docs, "place").drop("place")
