@@ -152,6 +152,19 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> dict[st
     return {"matched": left.join(right, list(keys)), "left_only": left.join(right, list(keys), "left_anti"), "right_only": right.join(left, list(keys), "left_anti"), "repeated": repeated}
 
 
+def reconcile_counts(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(part, n)`` of ``reconcile``'s parts, from one aggregate over the keys of both sides. Null keys match nothing."""
+    side = lambda df, a, b: df.select(*keys, F.lit(a).alias("_l"), F.lit(b).alias("_r"))
+    per = side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(*keys).agg(F.sum("_l").alias("l"), F.sum("_r").alias("r"))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    both = known & (F.col("l") > 0) & (F.col("r") > 0)
+    n = {"matched": F.when(both, F.col("l") * F.col("r")), "left_only": F.when(~both, F.col("l")), "right_only": F.when(~both, F.col("r")), "repeated": (F.col("l") > 1).cast("long") + (F.col("r") > 1).cast("long")}
+    total = per.agg(*[F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(k) for k, v in n.items()])
+    return total.select(F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.col(k).alias("n")) for k in n])).alias("x")).select("x.*")
+
+
 def mismatches(joined: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows of which any pair of columns differs, null-safely."""
     same = F.lit(True)

@@ -164,12 +164,7 @@ KEYS = ["matchday", "home_team_id", "away_team_id"]
 @query(f"WITH {SOURCE_B} SELECT 'matched' AS part, count(*) AS n FROM fx_match m JOIN b USING (matchday, home_team_id, away_team_id) UNION ALL SELECT 'left_only', count(*) FROM fx_match m ANTI JOIN b USING (matchday, home_team_id, away_team_id) UNION ALL SELECT 'right_only', count(*) FROM b ANTI JOIN fx_match m USING (matchday, home_team_id, away_team_id) UNION ALL SELECT 'repeated', 0")
 def join_02_set_01_02_agg_01_reconcile(spark, d):
     m = view(spark, d, "fx_match")
-    parts = M.reconcile(m, _source_b(m), KEYS)
-    out = None
-    for name in ("matched", "left_only", "right_only", "repeated"):
-        one = parts[name].agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return M.reconcile_counts(m, _source_b(m), KEYS)
 
 
 @query(f"WITH {SOURCE_B} SELECT match_id, home_goals, b_home, away_goals, b_away FROM fx_match JOIN b USING (matchday, home_team_id, away_team_id) WHERE home_goals <> b_home OR away_goals <> b_away")

@@ -1,9 +1,12 @@
-"""Registered queries of provenance: canonical digests, results of one configuration, schema walks, seeded samples."""
+"""Registered queries of provenance and bias: canonical digests, results of one configuration, schema walks, seeded samples,
+how ratings lean."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import bias as B
+from ..operators import news as N
 from ..operators import provenance as P
 from .fixtures import view
 from .registry import query
@@ -89,3 +92,24 @@ def ord_06_stable_order(spark, d):
     """Every document's exact place by its metric, ties by id, without one task that holds all."""
     docs = view(spark, d, "documents").select("doc_id", "n_chars", F.struct("n_chars", "doc_id").alias("place"))
     return P.positions(docs, "place").drop("place")
+
+
+LONG = "l AS (" + " UNION ALL ".join(f"SELECT task_id, team_id, '{i}' AS indicator, {i} AS rating FROM fx_note" for i in N.INDICATORS) + "), h AS (" + " UNION ALL ".join(f"SELECT a.task_id, '{i}' AS indicator, a.{i} AS a, b.{i} AS b FROM fx_note a JOIN fx_note2 b ON b.task_id = a.task_id WHERE a.{i} IS NOT NULL AND b.{i} IS NOT NULL" for i in N.INDICATORS) + ")"
+
+
+@query(f"""WITH {LONG} SELECT 'indicator' AS section, indicator, 'mean' AS name, count(rating) AS n, round(avg(rating), 9) AS value FROM l GROUP BY indicator
+UNION ALL SELECT 'rating', i.indicator, CAST(v AS VARCHAR), count(l.rating) FILTER (l.rating = v), round(100.0 * count(l.rating) FILTER (l.rating = v) / count(l.rating), 9) FROM (SELECT DISTINCT indicator FROM l) i JOIN l ON l.indicator = i.indicator CROSS JOIN range(-2, 3) s(v) GROUP BY i.indicator, v
+UNION ALL SELECT 'team', indicator, CAST(team_id AS VARCHAR), count(rating), round(avg(rating), 9) FROM l GROUP BY indicator, team_id
+UNION ALL SELECT 'human', indicator, 'equal', count(*), round(avg((a = b)::DOUBLE), 9) FROM h GROUP BY indicator
+UNION ALL SELECT 'human', indicator, 'difference', count(*), round(avg(a - b), 9) FROM h GROUP BY indicator""")
+def stat_05_bias_report(spark, d):
+    out = B.bias_report(view(spark, d, "fx_note"), view(spark, d, "fx_note2"), "task_id", "team_id", N.INDICATORS)
+    return out.withColumn("value", F.round("value", 9))
+
+
+@query("SELECT 'continuation' AS \"check\", CAST(event_id AS VARCHAR) AS key, 'rule broken' AS detail FROM events WHERE event_type = 'error' AND user_id % 3 = 0")
+def flt_12_continuation_rows(spark, d):
+    """Events without a key (errors) that carry a rating nevertheless."""
+    e = view(spark, d, "events")
+    key, rating = F.when(F.col("event_type") != "error", F.col("user_id")), F.when((F.col("event_type") != "error") | (F.col("user_id") % 3 == 0), 1)
+    return B.continuation_violations(e.select("event_id", key.alias("task_id"), rating.alias("rating")), "task_id", "event_id", ["rating"])
