@@ -63,7 +63,7 @@ def test_aborted_run_leaves_no_log_and_pays_once(spark, folders):
     requests = requests_of(spark, parts=1)
     bad = sorted(r.payload for r in requests.collect())[20]
     with pytest.raises(Exception, match="status 500"):
-        K.post_all(requests, out, K.response_sink(counted(seen, fail=lambda p, n: Reply(500, "no") if p == bad else None)))
+        K.post_all(requests, out, K.response_sink(counted(seen, fail=lambda p, n: Reply(500, "no") if p == bad else None)), tasks=1)
     assert K.committed_log(spark, out).count() == 0 and store.listed(f"{out}/parts") == [] and store.listed(f"{out}/commits") == []
     K.post_all(requests, out, K.response_sink(counted(seen)))
     assert K.committed_log(spark, out).select("request_id").distinct().count() == K.committed_log(spark, out).count() == 40

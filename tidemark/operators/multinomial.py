@@ -14,11 +14,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.scratch import scratch
 from .evaluation import LABELS, PROBS
 
 SLOTS = 64  # partial sums are merged in this many groups of tasks first
@@ -66,6 +67,14 @@ def masked(rows: DataFrame, features: Sequence[str], fit: Sequence[Column], test
     return rows.withColumns({"_x": F.array(*[F.col(c).cast("double") for c in features]), "_y": place, "_fit": flags(fit), "_test": flags(test)})
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """``rows`` written once to the shared folder and read again: every pass then reads one narrow table, whatever it took
+    to make it, also after executors are lost."""
+    path = scratch(rows.sparkSession, "candidates")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def _arrays(b: pa.RecordBatch, mask: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = b.num_rows
     matrix = lambda c: b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
@@ -183,7 +192,8 @@ def _curvature(v: np.ndarray, k: int, q: int) -> np.ndarray:
 
 
 def solve(rows: DataFrame, features: Sequence[str], jobs: Sequence[Candidate], labels: Sequence[str] = LABELS, most: int = 100, tol: float = 1e-7) -> list[Fit]:
-    """The fits of all candidates over rows from ``masked``, in the candidates' order.
+    """The fits of all candidates over rows from ``masked``, in the candidates' order. Each pass reads the rows anew: settle
+    them first where they are dear to make.
 
     A candidate is done when no entry of its objective's gradient exceeds ``tol`` (or 1e-12 of the weight of its rows,
     which sums in doubles cannot tell from 0); one that is not after ``most`` passes is an error, as are fit rows with
@@ -193,44 +203,41 @@ def solve(rows: DataFrame, features: Sequence[str], jobs: Sequence[Candidate], l
         raise ValueError(f"C must be positive and finite: {bad[0].model_id}")
     k, place = len(labels), {c: i for i, c in enumerate(features)}
     at = [[place[c] for c in j.columns] for j in jobs]
-    rows = rows.select("_x", "_y", "_fit").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        folds = _folds(rows, len(features), k)
-        if lost := {j.fold for j in jobs} - set(folds):
-            raise ValueError(f"folds without fit rows: {sorted(lost)}")
-        penalty = [np.tile(np.append(np.ones(len(a)), 0.0), (k, 1)) for a in at]
-        known = [np.zeros((k, len(a) + 1)) for a in at]
-        value: list[float] = [np.inf] * len(jobs)
-        slope: list[np.ndarray | None] = [None] * len(jobs)
-        towards: list[np.ndarray | None] = [None] * len(jobs)
-        length, done, steps = [1.0] * len(jobs), [np.inf] * len(jobs), [0] * len(jobs)
-        trials = dict(enumerate(known))
-        for _ in range(most):
-            sums = _sums(rows, trials, jobs, at, folds)
-            following = {}
-            for j, w in trials.items():
-                v, q, c = sums[j], w.shape[1], jobs[j].c
-                f = c * v[0] + 0.5 * float((penalty[j] * w * w).sum())
-                steps[j] += 1
-                if towards[j] is not None and not f <= value[j] + 1e-4 * length[j] * float((slope[j] * towards[j]).sum()) + 1e-12 * abs(value[j]):
-                    length[j] /= 2
-                else:
-                    g = c * v[1 : 1 + k * q].reshape(k, q) + penalty[j] * w
-                    known[j], value[j], slope[j], length[j] = w, f, g, 1.0
-                    done[j] = float(np.abs(g).max())
-                    if done[j] <= max(tol, 1e-12 * c * folds[jobs[j].fold].n):
-                        continue
-                    h = c * _curvature(v[1 + k * q :], k, q) + np.diag(penalty[j].reshape(-1))
-                    intercepts = np.arange(k) * q + q - 1
-                    h[np.ix_(intercepts, intercepts)] += c * folds[jobs[j].fold].n / k  # a common shift changes nothing: keep their sum
-                    towards[j] = -np.linalg.solve(h, g.reshape(-1)).reshape(k, q)
-                following[j] = known[j] + length[j] * towards[j]
-            trials = following
-            if not trials:
-                return [Fit(job, known[j], steps[j], done[j], folds[job.fold]) for j, job in enumerate(jobs)]
-        raise NotConverged(", ".join(f"{jobs[j].model_id} in fold {jobs[j].fold}" for j in trials))
-    finally:
-        rows.unpersist()
+    rows = rows.select("_x", "_y", "_fit")
+    folds = _folds(rows, len(features), k)
+    if lost := {j.fold for j in jobs} - set(folds):
+        raise ValueError(f"folds without fit rows: {sorted(lost)}")
+    penalty = [np.tile(np.append(np.ones(len(a)), 0.0), (k, 1)) for a in at]
+    known = [np.zeros((k, len(a) + 1)) for a in at]
+    value: list[float] = [np.inf] * len(jobs)
+    slope: list[np.ndarray | None] = [None] * len(jobs)
+    towards: list[np.ndarray | None] = [None] * len(jobs)
+    length, done, steps = [1.0] * len(jobs), [np.inf] * len(jobs), [0] * len(jobs)
+    trials = dict(enumerate(known))
+    for _ in range(most):
+        sums = _sums(rows, trials, jobs, at, folds)
+        following = {}
+        for j, w in trials.items():
+            v, q, c = sums[j], w.shape[1], jobs[j].c
+            f = c * v[0] + 0.5 * float((penalty[j] * w * w).sum())
+            steps[j] += 1
+            if towards[j] is not None and not f <= value[j] + 1e-4 * length[j] * float((slope[j] * towards[j]).sum()) + 1e-12 * abs(value[j]):
+                length[j] /= 2
+            else:
+                g = c * v[1 : 1 + k * q].reshape(k, q) + penalty[j] * w
+                known[j], value[j], slope[j], length[j] = w, f, g, 1.0
+                done[j] = float(np.abs(g).max())
+                if done[j] <= max(tol, 1e-12 * c * folds[jobs[j].fold].n):
+                    continue
+                h = c * _curvature(v[1 + k * q :], k, q) + np.diag(penalty[j].reshape(-1))
+                intercepts = np.arange(k) * q + q - 1
+                h[np.ix_(intercepts, intercepts)] += c * folds[jobs[j].fold].n / k  # a common shift changes nothing: keep their sum
+                towards[j] = -np.linalg.solve(h, g.reshape(-1)).reshape(k, q)
+            following[j] = known[j] + length[j] * towards[j]
+        trials = following
+        if not trials:
+            return [Fit(job, known[j], steps[j], done[j], folds[job.fold]) for j, job in enumerate(jobs)]
+    raise NotConverged(", ".join(f"{jobs[j].model_id} in fold {jobs[j].fold}" for j in trials))
 
 
 def priors(rows: DataFrame, features: Sequence[str], labels: Sequence[str] = LABELS) -> dict[int, np.ndarray]:
@@ -268,7 +275,7 @@ def fit_predict(train: DataFrame, test: DataFrame, models: Mapping[str, tuple[Se
     features = list(dict.fromkeys(c for columns, _ in models.values() for c in columns))
     need = list(dict.fromkeys([*keep, "result", *features]))
     both = train.select(*need, F.lit(True).alias("_train")).unionByName(test.select(*need, F.lit(False).alias("_train")))
-    rows = masked(both, features, [F.col("_train")], [~F.col("_train")])
+    rows = settled(masked(both, features, [F.col("_train")], [~F.col("_train")]).select(*keep, "_x", "_y", "_fit", "_test"))
     fits = solve(rows, features, [Candidate(name, tuple(columns), float(c)) for name, (columns, c) in models.items()])
     return fits, predict(rows, features, fits, keep)
 

@@ -63,6 +63,7 @@ def select(rows: DataFrame, folds: Sequence[tuple[int, int, int]], feature_sets:
     features = list(dict.fromkeys(c for columns in feature_sets.values() for c in select_features(rows.columns, columns)))
     cut, fit, validation = fold_masks(rows, folds)
     parts = X.masked(cut.filter(F.col("matchday") <= folds[-1][2]), features, fit, validation)
+    parts = X.settled(parts.select("match_id", "matchday", "result", "_x", "_y", "_fit", "_test"))
     fits = X.solve(parts, features, candidates(feature_sets, cs, len(folds)))
     shares = {f.candidate.fold: f.fold.counts / f.fold.n for f in fits}
     told = X.predict(parts, features, fits, ["match_id", "matchday", "result"], {PRIOR: shares}).withColumnRenamed("result", "actual")

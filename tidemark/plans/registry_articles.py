@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import articles as A
 from ..operators import checks as C
 from ..operators import matches as M
+from ..sources.scratch import scratch
 from .fixtures import view
 from .registry import query
 
@@ -44,7 +45,13 @@ def policy(spark, d):
 
 
 def judged(spark, d):
-    return A.judge(A.occurrences(responses(spark, d).drop("rq")), view(spark, d, "fx_ask").drop("rq"), A.policy_decisions(policy(spark, d)), ZONE)
+    """Responses, requests and policy stored as a run finds them, then the chain."""
+    path = scratch(spark, "raw")
+    stored = {"responses": responses(spark, d).drop("rq"), "requests": view(spark, d, "fx_ask").drop("rq"), "policy": policy(spark, d)}
+    for name, df in stored.items():
+        df.write.parquet(f"{path}/{name}")
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return A.judge(A.occurrences(read("responses")), read("requests"), A.policy_decisions(read("policy")), ZONE)
 
 
 STRIP = r"regexp_replace({}, '^[\s\x0B\x1c-\x1f\x{{85}}\p{{Z}}]+|[\s\x0B\x1c-\x1f\x{{85}}\p{{Z}}]+$', '', 'g')"

@@ -109,12 +109,13 @@ def response_sink(post: Callable[[str], Reply], count: Callable[[str], int | Non
     return Responses
 
 
-def post_all(requests: DataFrame, path: str, sink: type[DataSource], lease: store.Lease | None = None) -> None:
+def post_all(requests: DataFrame, path: str, sink: type[DataSource], lease: store.Lease | None = None, tasks: int | None = None) -> None:
     """Post the requests that no committed run lists, and commit them as one run; replies that an aborted run left are
-    listed without posting."""
+    listed without posting. ``tasks`` of them post at a time, one for each core where that is not said."""
     spark = requests.sparkSession
     spark.dataSource.register(sink)
     todo = requests.select("request_id", "payload").join(committed_log(spark, path).select("request_id"), "request_id", "left_anti")
+    todo = todo.repartition(tasks or spark.sparkContext.defaultParallelism, "request_id")
     writer = todo.write.format("responses").mode("append").option("path", path)
     (writer.option("lease", str(lease.number)) if lease else writer).save()
 
