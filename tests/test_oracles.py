@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from tests.conftest import TINY
-from tidemark.plans import registry, registry_articles, registry_models, registry_more, registry_provenance, registry_streams  # noqa: F401
+from tidemark.plans import registry, registry_articles, registry_models, registry_more, registry_provenance, registry_streams, registry_workbooks  # noqa: F401
 from tidemark.plans.fixtures import TABLES
 
 
