@@ -139,6 +139,8 @@ def utf16_chunks(c: Column, limit: int = 32767) -> Column:
         def one(x):
             if x is None:
                 return None
+            if len(x.encode("utf-16-le", "surrogatepass")) == 2 * len(x):  # no pairs
+                return [x[i : i + limit] for i in range(0, len(x), limit)] or [""]
             out, now, size = [], [], 0
             for ch in x:
                 w = 2 if ord(ch) > 0xFFFF else 1
