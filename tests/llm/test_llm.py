@@ -346,7 +346,12 @@ def test_op7_best_paths_and_round_trip(docs, empty, spark):
     assert {r.doc_id: r.text for r in odd.collect()} == {1: "", 2: None}
     pieces = {v.spell[a:b].tobytes(): s for a, b, s in zip(v.spell_at, v.spell_at[1:], v.score) if b > a and s < 0}
     worst = v.score.min() - unigram.UNKNOWN_PENALTY
-    for text in ("hello world", "naïve  café", "zzzzqqq unfathomably"):
+    byte_of = {int(i): b for b, i in enumerate(v.byte_id)}
+    draw = random.Random(5)
+    texts = ["hello world", "naïve  café", "zzzzqqq unfathomably", "\ue000", "a\ue000\U0001f9ffb", "▁▁ x▁", " \ue001 \ue001"]
+    texts += ["".join(draw.choices("aeinrst  ßé中\ue000\U0010fffd▁\x01", k=draw.randint(1, 25))) for _ in range(80)]
+    fallen = 0
+    for text in texts:
         u = b" " + text.encode()
         best = [0.0] + [-1e18] * len(u)
         for i in range(len(u)):
@@ -361,9 +366,19 @@ def test_op7_best_paths_and_round_trip(docs, empty, spark):
             if u[i : i + w] not in pieces:
                 best[i + w] = max(best[i + w], best[i] + worst)
         ids, _ = unigram.encode_block(v, [text.encode()])
-        plain = [i for i in ids if i not in set(v.byte_id.tolist())]
-        if len(plain) == len(ids):
-            assert abs(v.score[ids].sum() - best[-1]) < 1e-6
+        score, at = 0.0, 0
+        while at < len(ids):
+            lead = byte_of.get(int(ids[at]))
+            if lead is None:
+                score, at = score + v.score[ids[at]], at + 1
+                continue
+            width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4  # a character's bytes, one penalty
+            char = bytes(byte_of[int(i)] for i in ids[at : at + width])
+            assert len(char.decode()) == 1 and char not in pieces
+            score, at, fallen = score + worst, at + width, fallen + 1
+        assert abs(score - best[-1]) < 1e-6, text
+        assert unigram.decode_block(v, ids, np.array([len(ids)])) == [text.encode()]
+    assert fallen > 100
 
 
 def removed_by_windows(texts, length=50):
