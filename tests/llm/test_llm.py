@@ -143,6 +143,36 @@ def test_op3_gradients_and_held_out_accuracy(spark):
     assert {g.lang_pred for g in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_op3_inference_equals_the_training_pass():
+    rng = np.random.default_rng(3)
+    w = langid.Direction.init(rng, 5, "f") | langid.Direction.init(rng, 5, "b") | {"o": rng.normal(size=(10, 3)), "ob": rng.normal(size=3)}
+    w |= {"fb": rng.normal(size=5), "bb": rng.normal(size=5)}
+
+    def told(x):
+        """Probabilities (time, rows, languages) by the pass that training uses, in double precision."""
+        f, b = langid.Direction.forward(w, "f", x)[0], langid.Direction.forward(w, "b", x[::-1])[0][::-1]
+        e = np.exp(np.concatenate([f, b], axis=2) @ w["o"] + w["ob"])
+        return e / e.sum(axis=2, keepdims=True)
+
+    reader = langid.Reader({k: v.astype(np.float32) for k, v in w.items()})
+    x = rng.integers(0, 256, (17, 9))
+    assert np.abs(reader.positions(x).transpose(0, 2, 1) - told(x)).max() < 1e-5
+    size = 8
+    texts = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (0, 1, 7, 8, 9, 15, 16, 17, 100, 3)]
+    want = []
+    for t in texts:
+        logs = []
+        for k in range(-(-len(t) // size)):
+            at = max(min(k * size, len(t) - size), 0)
+            piece = np.frombuffer(t[at : at + size].ljust(size, b" "), np.uint8)[:, None]
+            logs += [np.log(p + 1e-6) for i, p in enumerate(told(piece)[:, 0]) if k * size <= at + i < len(t)]
+        assert len(logs) == len(t)  # every position counts once
+        e = np.exp(np.mean(logs, axis=0)) if logs else np.ones(3)
+        want.append(e / e.sum())
+    for rows in (1, 3, 1024):
+        assert np.abs(reader.documents(texts, size, rows) - np.array(want)).max() < 1e-5
+
+
 def test_op3_learns_every_labelled_language(spark):
     rows = [(i, f"some words {i}", f"l{i % 150:03}") for i in range(1500)]
     _, labels, langs = langid.sample_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(False), sample=640)
