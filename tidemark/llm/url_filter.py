@@ -44,13 +44,14 @@ def build_trie(rules: Iterable[tuple[str, str, str]]) -> dict:
         for label in reversed(host.split(".")):
             node = node["kids"].setdefault(label, {"kids": {}, "paths": None})
         if node["paths"] is None:
-            node["paths"] = {"kids": {}, "tails": {}}
+            node["paths"] = {"kids": {}, "tails": {}, "most": 0}
         *whole, tail = path.split("/")
         at = node["paths"]
         for segment in whole:
-            at = at["kids"].setdefault(segment, {"kids": {}, "tails": {}})
+            at = at["kids"].setdefault(segment, {"kids": {}, "tails": {}, "most": 0})
         if tail not in at["tails"] or verdict == "block":
             at["tails"][tail] = (host + path, verdict)
+            at["most"] = max(at["most"], len(tail))
     return root
 
 
@@ -59,7 +60,7 @@ def _longest(paths: dict, segments: list[str]) -> tuple[str, str] | None:
     for segment in segments:
         tails = at["tails"]
         if tails:
-            for k in range(min(len(segment), max(map(len, tails))), -1, -1):
+            for k in range(min(len(segment), at["most"]), -1, -1):
                 if segment[:k] in tails:
                     best = tails[segment[:k]]
                     break
