@@ -12,8 +12,8 @@ lower-cased text. The steps:
    are dealt by salt.
 4. Where a bucket still spans several components, its members of different components are compared in blocks
    by bit counts, and what may reach the threshold is confirmed likewise; in buckets where that is far more
-   pairs than rows, full sets are compared in place until the bucket is connected. Blocks are bounded by rows
-   and by shingles.
+   pairs than rows, full sets are held against each other in place, each pair at most once a bucket, until the
+   bucket is connected. Blocks are bounded by rows and by shingles.
 5. Components of the confirmed links.
 
 Nothing is capped: a pair is given up only if no band agrees or its bit counts are ``MARGIN`` standard
@@ -264,60 +264,6 @@ def _across(members: DataFrame, p: Params, kind: str) -> DataFrame:
     return _blocks_of(members).groupBy("key", "lo", "hi").applyInArrow(run, f"x {kind}, y {kind}, dense long")
 
 
-def _rare_first(sets: list[np.ndarray], num: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, shingle) pairs, by shingle: of every set the shingles that stand first, the rarest of the group first.
-
-    Two sets that reach the threshold share one of these: were all of a set's first size - ceil(num/100 * size) + 1
-    shingles, in an order common to all, missing in the other, too few would be left.
-    """
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
-    order = np.lexsort((code, count[code], owner))
-    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    first = order[place < np.repeat(sizes - -(-num * sizes // 100) + 1, sizes)]
-    first = first[np.lexsort((owner[first], code[first]))]
-    return owner[first], code[first]
-
-
-def _dense_links(members: DataFrame, texts: DataFrame, p: Params, kind: str) -> DataFrame:
-    """``(a, b)``: confirmed links between components of dense buckets, enough of them to connect what the
-    bucket's links connect. Full sets meet where they share one of their rarest shingles, and pairs that are
-    connected by then are passed over, so no list of pairs leaves the task."""
-    m = _blocks_of(members, SHINGLES).join(texts, "id")
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        bucket, cutter = _Bucket(t, p), Shingler(p.width)
-        sets: list[np.ndarray] = []
-        for _, block in blocks(t["text"].cast(pa.binary()).to_pylist()):
-            sets += cutter.sets(block)
-        xs, ys = [], []
-        side = np.ones(t.num_rows, np.int64)
-        if not bucket.same:
-            side[bucket.right] = 2
-        owner, code = _rare_first(sets, p.num)
-        ends = np.append(np.flatnonzero(np.append(True, code[1:] != code[:-1])), len(code))
-        for a, z in zip(ends[:-1].tolist(), ends[1:].tolist()):
-            if z - a < 2:
-                continue
-            rows = owner[a:z]
-            for at, i in enumerate(rows[:-1].tolist()):
-                js = rows[at + 1 :]
-                js = js[(bucket.label[js] != bucket.label[i]) & (bucket.same | (side[js] != side[i]))]
-                js = js[100 * np.minimum(bucket.n[js], bucket.n[i]) >= p.num * np.maximum(bucket.n[js], bucket.n[i])]
-                if len(js):
-                    js = js[estimate(bucket.sig[js], bucket.sig[i][None, :], bucket.k) >= bucket.least]
-                for j in js.tolist():
-                    if bucket.label[i] != bucket.label[j] and reaches(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j]), p.num):
-                        bucket.join(i, j)
-                        xs.append(i)
-                        ys.append(j)
-        return pa.table({"a": t["id"].take(pa.array(xs, pa.int64())), "b": t["id"].take(pa.array(ys, pa.int64()))})
-
-    return m.groupBy("key", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
-
-
 def _estimated_links(members: DataFrame, tried: DataFrame, texts: DataFrame, p: Params, kind: str) -> DataFrame:
     """``(a, b)``: links between components of buckets, by bit counts and then full sets. ``tried``: pairs (a, b) to pass over."""
     met = cut(_across(members, p, kind))
@@ -325,7 +271,7 @@ def _estimated_links(members: DataFrame, tried: DataFrame, texts: DataFrame, p:
     extra = confirm(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, p).filter("ok").select("a", "b")
     dense = met.filter(F.col("dense").isNotNull()).select(F.col("dense").alias("key")).distinct()
     if not dense.isEmpty():
-        extra = extra.unionByName(_dense_links(members.join(dense, "key", "left_semi"), texts, p, kind))
+        extra = extra.unionByName(_class_links(members.join(dense, "key", "left_semi").select("key", "id", "comp"), texts, p, kind))
     return extra
 
 
