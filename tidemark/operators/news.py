@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .multinomial import settled
 
 INDICATORS = ("i1", "i2", "i3", "i4")
 SCALE = (-2, -1, 0, 1, 2)
@@ -198,12 +199,39 @@ def _picks(rank: np.ndarray, quota: np.ndarray, codes: np.ndarray) -> np.ndarray
     return taken
 
 
+def _contenders(rows: DataFrame, size: int, day: str, balanced: Sequence[str]) -> DataFrame:
+    """The rows that some pick can take; ``_h`` orders them.
+
+    Take the rows of one day that agree in the columns of few values, and of these the fresh ones: first by hash with
+    each of their values in the other columns, so no two share one. A pick made before uses up one value a column, so
+    it spoils at most one fresh row for each of the ``many`` columns. Of ``many * (size - 1) + 1`` fresh rows one is
+    free and has unused values alone, and a row after all of them by hash cannot come before it.
+    """
+    few_at_most = 64
+    counts = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in balanced]).first()
+    many = [c for c in balanced if counts[c] > few_at_most]
+    if not many:
+        return rows
+    group = [day, *[c for c in balanced if c not in many]]
+    same = lambda cols: [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cols]
+    fresh = rows.select(*group, *many, "_h")
+    for c in many:
+        fresh = fresh.alias("l").join(rows.groupBy(*group, c).agg(F.min("_h").alias("_h")).alias("r"), same([*group, c, "_h"]), "left_semi")
+    need = len(many) * (size - 1) + 1
+    # the first ``need`` of a group, by way of the first of each of its slices
+    for by in ([F.pmod(F.xxhash64("_h"), F.lit(64))], []):
+        fresh = fresh.withColumn("_n", F.row_number().over(Window.partitionBy(*group, *by).orderBy("_h"))).filter(F.col("_n") <= need)
+    last = fresh.filter(F.col("_n") == need).select(*group, F.col("_h").alias("_last"))
+    kept = rows.alias("l").join(last.alias("r"), same(group), "left").filter(F.col("_last").isNull() | (F.col("_h") <= F.col("_last")))
+    return kept.select("l.*")
+
+
 def stratified_sample(tasks: DataFrame, size: int, seed: int = 42, id_col: str = "task_id", day: str = "matchday", balanced: Sequence[str] = BALANCED) -> DataFrame:
     """A deterministic pilot of ``size`` tasks with their ``position``, balanced over the given columns day by day.
 
     Quotas and candidates are tables: of every combination of the balanced columns a day keeps as many rows, first by
-    seeded hash, as its quota. The choice itself is sequential and runs in one task, which refuses more than
-    MOST_CANDIDATES rows. A size of at least all tasks gives all of them, in the order of their ids; a day with fewer
+    seeded hash, as its quota, and of these only those that can still be chosen (``_contenders``). The choice itself is
+    sequential and runs in one task, which refuses more than MOST_CANDIDATES rows. A size of at least all tasks gives all of them, in the order of their ids; a day with fewer
     tasks than its quota gives those it has.
     """
     if size < 1:
@@ -214,6 +242,7 @@ def stratified_sample(tasks: DataFrame, size: int, seed: int = 42, id_col: str =
     first = Window.partitionBy(day, *balanced).orderBy("_h")
     rows = tasks.select(id_col, day, *balanced, seeded_order(F.col(id_col), seed).alias("_h")).join(F.broadcast(quotas), day).filter("quota > 0")
     rows = rows.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= F.col("quota"))
+    rows = _contenders(settled(rows), size, day, balanced)
     code = lambda c: F.xxhash64(F.col(c).cast("string")).alias(f"_c{c}")
     rows = rows.select(F.lit(0).alias("_one"), id_col, "rank", "quota", "_h", *map(code, balanced))
 
