@@ -108,10 +108,10 @@ def fold_summary(fold_metrics: DataFrame, keys: Sequence[str], value: str) -> Da
 
 def one_standard_error(candidates: DataFrame) -> DataFrame:
     """Ranks candidates ``(model_id, feature_count, c, loss, se)``: strict by loss; eligible within one standard
-    error of the best, simplest first; the others after them. One row a candidate, so the unpartitioned windows
-    stay small."""
+    error of the best, simplest first; the others after them. Candidates equal in all of these go by their id, so
+    ranks are the same in every run. One row a candidate, so the unpartitioned windows stay small."""
     everything = Window.partitionBy(F.lit(1))
-    strict = F.row_number().over(everything.orderBy("loss", "feature_count", "c"))
+    strict = F.row_number().over(everything.orderBy("loss", "feature_count", "c", "model_id"))
     c = candidates.withColumn("strict_rank", strict)
     limit = F.min(F.when(F.col("strict_rank") == 1, F.col("loss") + F.col("se"))).over(everything)
     c = c.withColumn("eligible", F.col("loss") <= limit)
