@@ -379,7 +379,9 @@ def _class_links(members: DataFrame, texts: DataFrame, p: Params, kind: str) ->
     # a kind's label is a component's only where all its members are connected or near each other
     label = F.struct((own | (F.col("_x") == F.col("_y"))).alias("whole"), F.when(own | (F.col("_x") == F.col("_y")), F.col("_x")).otherwise(F.col("id")).alias("of"))
     kinds = sets.join(spread.withColumnRenamed("rep", "id"), "id").select("id", "n", "s", own.alias("own"), label.alias("comp"))
-    rest = members.select("key", "id").join(of, "id").select("key", F.col("rep").alias("id")).distinct()
+    # an id has a key a band at most, so its keys travel as one row
+    keys = members.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    rest = keys.join(of, "id").select(F.explode("keys").alias("key"), F.col("rep").alias("id")).distinct()
     # buckets with the very same members need be compared once
     once = rest.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("id").alias("_m"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("_s")).filter(F.col("_c") > 1).groupBy("_c", "_m", "_s").agg(F.min("key").alias("key")).select("key")
     links = cut(_links(cut(rest.join(once, "key", "left_semi")), kinds.drop("own"), p, kind))
