@@ -18,6 +18,12 @@ def _rows(df: DataFrame, check: str, key: Sequence[str], detail: Column) -> Data
     return df.select(F.lit(check).alias("check"), keyed.alias("key"), detail.cast("string").alias("detail"))
 
 
+def dealt(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows dealt by a key to as many tasks as the session's shuffles have. Adaptive execution sizes tasks by compressed
+    bytes, of which ids in order have next to none: it may put all of them into one. For keys that few rows share."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def holds(df: DataFrame, check: str, rule: Column, key: Sequence[str], detail: Column | None = None) -> DataFrame:
     """Rows for which ``rule`` is not true (null counts as a violation)."""
     return _rows(df.filter(~F.coalesce(rule, F.lit(False))), check, key, F.lit("rule broken") if detail is None else detail)

@@ -89,9 +89,10 @@ def result_violations(results: DataFrame, tasks: DataFrame, fields: Sequence[str
     """What keeps one configuration's results from being used: ids or tasks given twice, unknown tasks, a context that is not
     the task's, several models or digests."""
     key = ["task_id"]
+    by_task, known = C.dealt(results, key), C.dealt(tasks, key)
     return C.report(
-        C.unique(results, ["annotation_id"], "annotation id"), C.unique(results, key, "task"), C.covers(results, tasks, key, "unknown task", both=False),
-        C.equal_fields(results, tasks, key, fields, "context"), C.constant(results, ["model", "model_digest"], "provenance"),
+        C.unique(C.dealt(results, ["annotation_id"]), ["annotation_id"], "annotation id"), C.unique(by_task, key, "task"), C.covers(by_task, known, key, "unknown task", both=False),
+        C.equal_fields(by_task, known, key, fields, "context"), C.constant(results, ["model", "model_digest"], "provenance"),
     )
 
 
