@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 #: The ratings' labels and numbers, and the ports that a url need not name.
 RATINGS = {"strongly_negative": -2, "negative": -1, "neutral": 0, "positive": 1, "strongly_positive": 2, "not_mentioned": None}
 DEFAULT_PORTS = {"http": "80", "https": "443"}
+#: Unicode's white space, and the separators that Python counts as such.
+SPACE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def optional_text(c: Column) -> Column:
     """Stripped of Unicode white space; null where nothing is left."""
-    return F.nullif(F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), F.lit(""))
+    return F.nullif(F.btrim(c, F.lit(SPACE)), F.lit(""))
 
 
 @F.pandas_udf(T.StringType())

@@ -5,7 +5,7 @@ Responses are JSON of any shape, so they are read as variants: a field counts on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from zoneinfo import ZoneInfo, available_timezones
 
 from pyspark.sql import Column, DataFrame
@@ -39,11 +39,19 @@ def _kind(v: Column) -> Column:
 def _text(v: Column, path: str) -> Column:
     """A stripped string that is not empty; null for anything else."""
     x = F.try_variant_get(v, path, "variant")
-    return F.when(_kind(x) == "STRING", S.optional_text(F.try_variant_get(v, path, "string")))
+    return F.when(F.schema_of_variant(x) == "STRING", S.optional_text(F.try_variant_get(v, path, "string")))
+
+
+def _texts(rows: DataFrame, paths: Mapping[str, str], v: str = "raw") -> DataFrame:
+    """``_text`` of several paths as columns. Each step is a projection of its own, so that no field is read again for
+    every time that an expression names it; as one expression the chain outgrows what Java's compiler takes."""
+    rows = rows.withColumns({c: F.try_variant_get(v, path, "variant") for c, path in paths.items()})
+    rows = rows.withColumns({c: F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string")) for c in paths})
+    return rows.withColumns({c: S.optional_text(F.col(c)) for c in paths})
 
 
 def _is(v: Column, path: str, kind: str) -> Column:
-    return F.coalesce(F.startswith(_kind(F.try_variant_get(v, path, "variant")), F.lit(kind)), F.lit(False))
+    return F.coalesce(F.startswith(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit(kind)), F.lit(False))
 
 
 def occurrences(responses: DataFrame, body: str = "body") -> DataFrame:
@@ -117,15 +125,17 @@ def judge(found: DataFrame, requests: DataFrame, policy: DataFrame, time_zone: s
     The policy is a small table and joined as Catalyst sees fit; no occurrence is lost to it.
     """
     raw, tz = F.col("raw"), zone(time_zone)
-    o = found.join(requests, "request_id").withColumn("source_host", source_host(raw))
+    o = _texts(found.join(requests, "request_id"), {"_own": "$.url", "_from": "$.source.uri"})
+    o = o.withColumns({c: S.homepage(F.col(c)) for c in ("_own", "_from")}).withColumn("_home", F.coalesce("_own", "_from"))
+    o = o.withColumn("source_host", S.host_of(F.col("_home"))).drop("_own", "_from", "_home")
     o = o.join(policy.select(F.col("host").alias("source_host"), "decision"), "source_host", "left").withColumn("decision", F.coalesce("decision", F.lit("unknown")))
-    published = F.when(_text(raw, "$.dateTimePub").isNotNull(), S.iso_timestamp(_text(raw, "$.dateTimePub")))
-    o = o.withColumns({
-        "event_registry_uri": _text(raw, "$.uri"), "url": S.canonical_url(_text(raw, "$.url")), "language": _text(raw, "$.lang"), "title": _text(raw, "$.title"), "body": _text(raw, "$.body"),
-        "source_uri": _text(raw, "$.source.uri"), "source_title": _text(raw, "$.source.title"), "event_registry_date": S.iso_date(_text(raw, "$.date")), "publication_datetime": published, "authors": authors(raw),
+    o = _texts(o, {
+        "event_registry_uri": "$.uri", "url": "$.url", "language": "$.lang", "title": "$.title", "body": "$.body",
+        "source_uri": "$.source.uri", "source_title": "$.source.title", "event_registry_date": "$.date", "publication_datetime": "$.dateTimePub",
     })
+    o = o.withColumns({"url": S.canonical_url(F.col("url")), "event_registry_date": S.iso_date(F.col("event_registry_date")), "publication_datetime": S.iso_timestamp(F.col("publication_datetime")), "authors": authors(raw)})
     begin, end = F.to_date("date_start"), F.to_date("date_end")
-    title = F.try_variant_get(raw, "$.title", "variant")
+    title = F.schema_of_variant(F.try_variant_get(raw, "$.title", "variant"))
     rules = [
         ("missing_source_host", F.col("source_host").isNull() | (F.col("source_host") == "")),
         ("policy_exclude", F.col("decision") == "exclude"),
@@ -138,7 +148,7 @@ def judge(found: DataFrame, requests: DataFrame, policy: DataFrame, time_zone: s
         ("publication_datetime_outside_request_window", ~S.local_date(F.col("publication_datetime"), tz).between(begin, end)),
         ("invalid_article_url", F.col("url").isNull()),
         ("missing_article_body", F.col("body").isNull()),
-        ("invalid_article_title", _kind(title).isNotNull() & (_kind(title) != "STRING")),
+        ("invalid_article_title", ~title.isin("VOID", "STRING")),
         ("invalid_article_source", ~_is(raw, "$.source", "OBJECT")),
         ("invalid_article_authors", F.col("authors").isNull()),
     ]
