@@ -157,15 +157,19 @@ def judge(found: DataFrame, requests: DataFrame, policy: DataFrame, time_zone: s
 
 def articles(judged: DataFrame) -> DataFrame:
     """The accepted articles, each once: of one id's occurrences the first by request and place."""
-    kept = judged.filter(F.col("reason").isNull())
-    first = F.min_by(F.struct(*ARTICLE), F.struct("request_id", "request_article_index"))
-    return kept.groupBy("article_id").agg(first.alias("a")).select("a.*")
+    return _first(judged, ["article_id"], ARTICLE, F.struct("request_id", "request_article_index"))
 
 
 def links(judged: DataFrame) -> DataFrame:
     """Which request's occurrence brought an article, the first of a request that lists it more than once."""
-    kept = judged.filter(F.col("reason").isNull())
-    return kept.groupBy("request_id", "article_id").agg(F.min_by(F.struct(*LINK), "request_article_index").alias("l")).select("l.*")
+    return _first(judged, ["request_id", "article_id"], LINK, F.col("request_article_index"))
+
+
+def _first(judged: DataFrame, key: Sequence[str], columns: Sequence[str], order: Column) -> DataFrame:
+    """Each key's first accepted row. Rejected ones have no place in the order: a filter before the groups would carry the
+    whole chain down to the raw rows, every field written out wherever a rule names it."""
+    place = F.when(F.col("reason").isNull(), order)
+    return judged.groupBy(*key).agg(F.min_by(F.struct(*columns), place).alias("_a")).filter(F.col("_a").isNotNull()).select("_a.*")
 
 
 def normalized_title(c: Column) -> Column:
