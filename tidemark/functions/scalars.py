@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,14 @@ def optional_text(c: Column) -> Column:
     return F.nullif(F.btrim(c, F.lit(SPACE)), F.lit(""))
 
 
+def lean(spark: SparkSession, mb: int = 4) -> None:
+    """Let Arrow batches end at ``mb`` megabytes where the session sets no limit of its own, so that what a Python
+    task holds does not follow from how long the texts of 10,000 rows are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(mb << 20))
+
+
 @F.pandas_udf(T.StringType())
 def _folded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
@@ -28,6 +36,7 @@ def _folded(s: pd.Series) -> pd.Series:
 
 def normalized_body(c: Column) -> Column:
     """NFKC, case-folded, white space collapsed. Plain ASCII rows stay in the JVM."""
+    lean(SparkSession.active())
     plain = F.trim(F.regexp_replace(F.lower(c), r"[\s\x1c-\x1f]+", " "))
     ascii_only = F.length(c) == F.octet_length(c)
     return F.when(ascii_only, plain).otherwise(_folded(F.when(~ascii_only, c)))

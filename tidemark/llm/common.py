@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import lean  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark alone (the store may be one that only Spark can open)."""
@@ -35,14 +37,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lean(spark: SparkSession, mb: int = 4) -> None:
-    """Let Arrow batches end at ``mb`` megabytes where the session sets no limit of its own, so that what a Python
-    task holds does not follow from how long the texts of 10,000 rows are."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if name not in spark.conf.getAll:
-        spark.conf.set(name, str(mb << 20))
-
-
 def named(column: str):
     """A column by its very name, dots and all."""
     return F.col("`" + column.replace("`", "``") + "`")
