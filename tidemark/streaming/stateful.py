@@ -1,8 +1,9 @@
 """Stateful streams in event order: rolling features a team and a season, the log of a task.
 
-Rows of a key may come in any order within the watermark. They wait in the key's state; a timer at the earliest of
-them fires when the watermark has passed it, and then all rows that cannot be overtaken any more are taken in order.
-A batch touches the keys that it holds rows or due timers of, whatever went before.
+Rows of a key may come in any order within the watermark. They wait in state; a timer at the earliest of them fires
+when the watermark has passed it, and then all rows that cannot be overtaken any more are taken in order. State is asked
+for through a socket, at milliseconds a group, so SHARE neighbouring keys make one group: their rows wait together and
+their totals stand side by side. A batch touches the groups that it holds rows or due timers of, whatever went before.
 """
 
 from __future__ import annotations
@@ -10,58 +11,83 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SHARE = 32  # keys a group: those whose last column lies in one span of SHARE numbers
+ROW = ["member", "at", "unnamed", "id", "value"]  # a waiting row; ``unnamed`` is 1 where the id is null, which sorts last
+
+
+class Runs:
+    """Rows in the order of their members: where each member's run starts, and each row's place in its run."""
+
+    def __init__(self, member: np.ndarray):
+        self.starts = np.flatnonzero(np.r_[True, member[1:] != member[:-1]])
+        self.members = member[self.starts]
+        self.counts = np.diff(np.r_[self.starts, len(member)])
+        self.place = np.arange(len(member)) - self.each(self.starts)
+
+    def each(self, of_run: np.ndarray) -> np.ndarray:
+        """A value of each run, given to each of its rows."""
+        return np.repeat(of_run, self.counts)
 
 
 class Ordered(StatefulProcessor):
-    """Takes each key's rows ``(at, id, value)`` in the order of ``(at, id)``; subclasses say what a row does to the state."""
+    """Takes each key's rows ``(at, id, value)`` in the order of ``(at, id)``; subclasses say what rows do to the state.
+
+    A group's key ends with the least number of its span; a row's ``member`` is what its own key lies above that."""
 
     columns: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getValueState("waiting", "rows array<struct<at:long,id:long,value:long>>")
+        self.waiting = handle.getValueState("waiting", "rows binary")
         self.open(handle)
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         """Make the state of the subclass."""
 
-    def take(self, rows: list[tuple[int, int, int]]) -> list[tuple]:
-        """Results of rows in order."""
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Rows in the order of ``(member, at, id)``: those that have results, and these."""
         raise NotImplementedError
 
-    def _pending(self) -> list[tuple[int, int, int]]:
-        held = self.waiting.get() if self.waiting.exists() else None
-        return [tuple(r) for r in held[0]] if held else []
+    def _pending(self) -> np.ndarray:
+        held = self.waiting.get()
+        return np.frombuffer(held[0] if held else b"", "<i8").reshape(-1, len(ROW))
 
-    def _keep(self, rows: list[tuple[int, int, int]]) -> None:
-        if rows:
-            self.waiting.update((rows,))
-            self.handle.registerTimer(min(r[0] for r in rows) // 1000)
+    def _keep(self, rows: np.ndarray) -> None:
+        if len(rows):
+            self.waiting.update((rows.astype("<i8").tobytes(),))
+            self.handle.registerTimer(int(rows[:, 1].min()) // 1000)
         else:
             self.waiting.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self._pending()
+        held = [self._pending()]
         for b in rows:
             at = b["at"].astype("datetime64[us]").astype("int64")
-            held += list(zip(at.tolist(), b["id"].tolist(), b["value"].tolist()))
-        self._keep(held)
-        yield from ()
+            held.append(b.assign(at=at).reindex(columns=ROW, fill_value=0).to_numpy("int64"))
+        yield from self._settle(key, np.concatenate(held), timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seen = timerValues.getCurrentWatermarkInMs()
-        held = self._pending()
-        due = sorted(r for r in held if r[0] // 1000 <= seen)
-        if due:
-            self._keep([r for r in held if r[0] // 1000 > seen])
-            out = self.take(due)
-            if out:
-                yield pd.DataFrame([(*key, *r) for r in out], columns=list(self.columns))
+        yield from self._settle(key, self._pending(), timerValues, changed=False)
+
+    def _settle(self, key, held: np.ndarray, timerValues, changed: bool = True) -> Iterator[pd.DataFrame]:
+        """Take what the watermark has passed and let the rest wait."""
+        passed = held[:, 1] // 1000 <= timerValues.getCurrentWatermarkInMs()
+        if changed or passed.any():
+            self._keep(held[~passed])
+        if passed.any():
+            due = held[passed]
+            due, results = self.take(due[np.lexsort((due[:, 3], due[:, 2], due[:, 1], due[:, 0]))])
+            if len(due):
+                ids = pd.arrays.IntegerArray(due[:, 3].copy(), due[:, 2] != 0)
+                out = dict(zip(self.columns, key[:-1])) | {self.columns[len(key) - 1]: key[-1] + due[:, 0], "id": ids} | results
+                yield pd.DataFrame(out, columns=list(self.columns))
 
     def close(self) -> None:
         pass
@@ -76,19 +102,28 @@ class Rolling(Ordered):
         self.form = form
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", "played long, points long")
-        self.last = handle.getListState("last", "points long")
-
-    def take(self, rows: list[tuple[int, int, int]]) -> list[tuple]:
-        played, points = self.totals.get() if self.totals.exists() else (0, 0)
-        last = [r[0] for r in self.last.get()] if self.last.exists() else []
-        out = []
-        for _, i, value in rows:
-            out.append((i, played, points, sum(last)))
-            played, points, last = played + 1, points + value, [*last, value][-self.form :]
-        self.totals.update((played, points))
-        self.last.put([(v,) for v in last])
-        return out
+        self.totals = handle.getValueState("totals", "played array<long>, points array<long>")
+        self.last = handle.getListState("last", "points array<long>")
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        held, form = self.totals.get(), self.form
+        played, points = np.array(held, "int64") if held else np.zeros((2, SHARE), "int64")
+        last = np.array([r[0] for r in self.last.get()], "int64") if held else np.zeros((form, SHARE), "int64")
+        member, value = rows[:, 0], rows[:, -1]
+        runs = Runs(member)
+        before = np.cumsum(value) - value
+        # each run with the member's last values put before it, and the sums up to each place
+        line = np.insert(value, np.repeat(runs.starts, form), last[:, runs.members].T.ravel())
+        sums = np.r_[0, np.cumsum(line)]
+        at = np.arange(len(rows)) + form * (1 + runs.each(np.arange(len(runs.starts))))
+        out = {"played": played[member] + runs.place, "points": points[member] + before - runs.each(before[runs.starts]), "form_points": sums[at] - sums[at - form]}
+        played[runs.members] += runs.counts
+        points[runs.members] += np.add.reduceat(value, runs.starts)
+        ends = at[runs.starts + runs.counts - 1] + 1
+        last[:, runs.members] = line[ends - form + np.arange(form)[:, None]]
+        self.totals.update((played.tolist(), points.tolist()))
+        self.last.put([(v,) for v in last.tolist()])
+        return rows, out
 
 
 class TaskLog(Ordered):
@@ -98,29 +133,30 @@ class TaskLog(Ordered):
     columns = ("task", "id", "kind", "sequence")
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.done = handle.getValueState("done", "id long")
-        self.failures = handle.getValueState("failures", "sequence long")
-
-    def take(self, rows: list[tuple[int, int, int]]) -> list[tuple]:
-        if self.done.exists():
-            return []
-        out, n = [], self.failures.get()[0] if self.failures.exists() else 0
-        for _, i, value in rows:
-            if value:
-                self.done.update((i,))
-                out.append((i, "annotation", 0))
-                break
-            n += 1
-            out.append((i, "failure", n))
-        self.failures.update((n,))
-        return out
+        self.seen = handle.getValueState("seen", "done array<long>, failures array<long>")
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        held = self.seen.get()
+        done, failures = np.array(held, "int64") if held else np.zeros((2, SHARE), "int64")
+        member, good = rows[:, 0], rows[:, -1] != 0
+        runs = Runs(member)
+        first = np.minimum.reduceat(np.where(good, runs.place, len(rows)), runs.starts)  # place of a run's first success
+        told = (runs.place <= runs.each(first)) & (done[member] == 0)
+        out = {"kind": np.where(good, "annotation", "failure"), "sequence": np.where(good, 0, failures[member] + runs.place + 1)}
+        done[runs.members] |= first < len(rows)
+        failures[runs.members] += np.minimum(first, runs.counts)
+        self.seen.update((done.tolist(), failures.tolist()))
+        return rows[told], {c: v[told] for c, v in out.items()}
 
 
 def _stateful(stream: DataFrame, keys: list[str], processor: Ordered, schema: str, delay: str) -> DataFrame:
     """``stream`` is ``(keys, at, id, value)``; rows that come later than ``delay`` after the newest are dropped by Spark."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return stream.withWatermark("at", delay).groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    member = F.pmod(keys[-1], F.lit(SHARE))
+    named = {"unnamed": F.col("id").isNull().cast("long"), "id": F.coalesce("id", F.lit(0)), "value": F.coalesce("value", F.lit(0))}
+    rows = stream.withWatermark("at", delay).withColumns({"member": member, keys[-1]: F.col(keys[-1]) - member} | named)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def rolling_features(stream: DataFrame, delay: str, form: int = 5) -> DataFrame:
